@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.llm import quality
+from graphweft.llm import minhash, quality
 from graphweft.llm.common import staged, table
 
 
@@ -12,7 +12,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality_rules", quality_rules)]
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicate_filter(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("minhash_near_dedup", minhash_near_dedup)]
 
 ORACLE_SQL = None
 

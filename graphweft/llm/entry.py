@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracle, quality
+from . import minhash, oracle, quality
 from .common import table
 
 
@@ -14,13 +14,19 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_quality_rules": op4_quality_rules,
+        "op7_minhash_near_dedup": op7_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_quality_rules": oracle.QUALITY,
+        "op7_minhash_near_dedup": oracle.NEAR_DUPLICATES,
     }

@@ -69,3 +69,21 @@ from f
 
 
 QUALITY = _quality()
+
+NEAR_DUPLICATES = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents
+), g as materialized (
+  select distinct doc_id, case when len(words) < 4 then array_to_string(words, ' ') else array_to_string(words[i : i + 3], ' ') end as gram
+  from (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) as i from w where len(words) > 0)
+), sizes as materialized (select doc_id, count(*) as n from g group by doc_id),
+links as materialized (
+  select p.a, p.b from (select x.doc_id as a, y.doc_id as b, count(*) as both from g x join g y on x.gram = y.gram and x.doc_id < y.doc_id group by all) p
+  join sizes s on s.doc_id = p.a join sizes t on t.doc_id = p.b where 100 * p.both >= 80 * (s.n + t.n - p.both)
+), ends as materialized (select a as u, b as v from links union all select b, a from links),
+reach(u, v) as (select u, v from ends union select r.u, e.v from reach r join ends e on r.v = e.u)
+select d.doc_id, coalesce(sizes.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(m.v, d.doc_id)) as component_id,
+  d.doc_id <= coalesce(m.v, d.doc_id) as kept
+from documents d left join sizes on d.doc_id = sizes.doc_id
+left join (select u, min(v) as v from reach group by u) m on d.doc_id = m.u
+"""
