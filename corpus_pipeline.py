@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.llm import minhash, quality
+from graphweft.llm import decontamination, minhash, mixing, quality
 from graphweft.llm.common import staged, table
 
 
@@ -16,7 +16,20 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return minhash.near_duplicate_filter(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("minhash_near_dedup", minhash_near_dedup)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixture_sample(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
+]
 
 ORACLE_SQL = None
 

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, oracle, quality
+from . import decontamination, minhash, mixing, oracle, quality
 from .common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -18,15 +23,23 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op4_quality_rules": op4_quality_rules,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op9_mixing": op9_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontamination": oracle.CONTAMINATION,
         "op4_quality_rules": oracle.QUALITY,
         "op7_minhash_near_dedup": oracle.NEAR_DUPLICATES,
+        "op9_mixing": oracle.MIXTURE,
     }

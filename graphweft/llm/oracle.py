@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import mixing, quality
 
 
 def _quality() -> str:
@@ -87,3 +87,56 @@ select d.doc_id, coalesce(sizes.n, 0)::bigint as n_shingles, least(d.doc_id, coa
 from documents d left join sizes on d.doc_id = sizes.doc_id
 left join (select u, min(v) as v from reach group by u) m on d.doc_id = m.u
 """
+
+_ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+CONTAMINATION = rf"""
+with d as materialized (select doc_id, {_ALNUM} as words from documents),
+b as (select item_id::varchar as item, {_ALNUM} as words from benchmark),
+windows as materialized (
+  select distinct item, least(len(words), 10) as width, array_to_string(words[i : i + least(len(words), 10) - 1], ' ') as gram
+  from (select item, words, unnest(range(1, len(words) - least(len(words), 10) + 2)) as i from b where len(words) > 0)
+), widths as (select distinct width from windows),
+places as (
+  select doc_id, width, i, array_to_string(words[i : i + width - 1], ' ') as gram
+  from (select doc_id, words, width, unnest(range(1, len(words) - width + 2)) as i from d, widths where len(words) >= width)
+), hits as materialized (select doc_id, places.width, i, item from places join windows on places.gram = windows.gram and places.width = windows.width),
+words as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + width)) as p from hits) group by doc_id),
+items as (select doc_id, count(distinct item) as n, array_to_string(list_sort(list(distinct item)), ',') as names from hits group by doc_id)
+select d.doc_id, len(d.words)::bigint as n_words, coalesce(words.n, 0)::bigint as n_hit, coalesce(items.n, 0)::bigint as n_items,
+  sha256(coalesce(items.names, '')) as items_sha256, coalesce(words.n, 0) > 0 as contaminated
+from d left join words on d.doc_id = words.doc_id left join items on d.doc_id = items.doc_id
+"""
+
+
+def _mixture() -> str:
+    columns = {"_source": "source", "_lang": "lang", "_topic": "topic"}
+    steps, last = [], "cells"
+    for i in range(mixing.ROUNDS):
+        for m in mixing.MARGINS:
+            c = columns[m]
+            steps.append(f"r{i}{m} as materialized (select x.source, x.lang, x.topic, tokens, fitted * share / nullif(sum(fitted) over (partition by x.{c}), 0) as fitted from {last} x join t{m} s on x.{c} = s.v)")
+            last = f"r{i}{m}"
+    shares = ", ".join(
+        f"t{m} as materialized (select {c} as v, pow(sum(tokens), {mixing.FLATTEN[m]}) / sum(pow(sum(tokens), {mixing.FLATTEN[m]})) over () as share from cells group by {c})"
+        for m, c in columns.items()
+    )
+    return rf"""
+with d as materialized (
+  select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang,
+    case when regexp_matches(lower(substr(coalesce(text, ''), 1, 2000)), 'licen[sc]e|copyright') then 'legal'
+      when contains(coalesce(text, ''), ' | ') then 'table' when contains(coalesce(text, ''), '@') then 'contact'
+      when contains(coalesce(text, ''), chr(10) || chr(10)) then 'sections' else 'prose' end as topic,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n_tokens
+  from documents
+), cells as materialized (select source, lang, topic, sum(n_tokens)::double as tokens, sum(n_tokens)::double as fitted from d group by all),
+{shares},
+{", ".join(steps)},
+p as (select source, lang, topic, coalesce(fitted / nullif(tokens, 0) / (select max(fitted / nullif(tokens, 0)) from {last}), 1.0) as probability from {last})
+select doc_id, d.source, d.lang, d.topic, n_tokens, round(probability, 9) as probability,
+  ('0x' || substr(md5(doc_id::varchar || ':mix'), 1, 8))::bigint / 4294967296.0::double < probability as sampled
+from d join p on d.source = p.source and d.lang = p.lang and d.topic = p.topic
+"""
+
+
+MIXTURE = _mixture()
