@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.llm import decontamination, minhash, mixing, quality
+from graphweft.llm import decontamination, minhash, mixing, quality, tokenbin
 from graphweft.llm.common import staged, table
+from graphweft.llm.entry import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +25,16 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return mixing.mixture_sample(docs)
 
 
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return tokenbin.token_output(docs, tokenizer_path())
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("minhash_near_dedup", minhash_near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
     ("source_mixing", source_mixing),
+    ("token_ids", token_ids),
 ]
 
 ORACLE_SQL = None

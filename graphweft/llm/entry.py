@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, minhash, mixing, oracle, quality
+from . import decontamination, linededup, minhash, mixing, oracle, quality, tokenbin
 from .common import table
 
 
@@ -19,6 +19,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.token_output(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -27,12 +37,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op4_quality_rules": op4_quality_rules,
+        "op5_token_ids": op5_token_ids,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op9_mixing": op9_mixing,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
@@ -42,4 +58,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": oracle.QUALITY,
         "op7_minhash_near_dedup": oracle.NEAR_DUPLICATES,
         "op9_mixing": oracle.MIXTURE,
+        "op10_line_dedup": oracle.LINES,
     }

@@ -140,3 +140,24 @@ from d join p on d.source = p.source and d.lang = p.lang and d.topic = p.topic
 
 
 MIXTURE = _mixture()
+
+_TRIM = r"regexp_replace(regexp_replace(x, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
+
+LINES = rf"""
+with l as materialized (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents
+), b as materialized (
+  select doc_id, i, {_TRIM} as t, row_number() over (partition by doc_id order by i) as k from l where regexp_matches(x, '[^\x20\x09-\x0D]')
+), w as materialized (
+  select a.doc_id, a.k, a.t || chr(10) || b2.t || chr(10) || c.t as gram
+  from b a join b b2 on a.doc_id = b2.doc_id and b2.k = a.k + 1 join b c on a.doc_id = c.doc_id and c.k = a.k + 2
+), later as (select doc_id, k from (select *, row_number() over (partition by gram order by doc_id, k) as n from w) where n > 1),
+gone as (select distinct doc_id, k + s as k from later, (values (0), (1), (2)) as v(s)),
+kept as (
+  select l.doc_id, l.i, l.x, b.k from l left join b on l.doc_id = b.doc_id and l.i = b.i
+  where b.k is null or not exists (select 1 from gone g where g.doc_id = b.doc_id and g.k = b.k)
+)
+select d.doc_id, len(string_split(coalesce(d.text, ''), chr(10)))::bigint as n_lines,
+  (len(string_split(coalesce(d.text, ''), chr(10))) - coalesce(k.n, 0))::bigint as n_removed, sha256(coalesce(k.x, '')) as kept_sha256
+from documents d left join (select doc_id, count(*) as n, string_agg(x, chr(10) order by i) as x from kept group by doc_id) k on d.doc_id = k.doc_id
+"""
