@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, linededup, minhash, mixing, oracle, quality, tokenbin
+from . import chat, decontamination, linededup, minhash, mixing, oracle, quality, tokenbin
 from .common import table
 
 
@@ -33,6 +33,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.injection_probe(spark))
+    return chat.conversation_digests(chat.formatted_turns(rows))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_token_ids": op5_token_ids,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op8_chat_formatting": op8_chat_formatting,
         "op9_mixing": op9_mixing,
         "op10_line_dedup": op10_line_dedup,
     }
