@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, linededup, minhash, mixing, oracle, quality, tokenbin, toxicity
+from . import chat, decontamination, linededup, minhash, mixing, oracle, quality, suffixdedup, tokenbin, toxicity
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeats_removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_toxicity": op2_toxicity,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_quality_rules": op4_quality_rules,
         "op5_token_ids": op5_token_ids,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
@@ -68,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": oracle.CONTAMINATION,
+        "op3_suffix_dedup": oracle.REPEATS,
         "op4_quality_rules": oracle.QUALITY,
         "op7_minhash_near_dedup": oracle.NEAR_DUPLICATES,
         "op9_mixing": oracle.MIXTURE,

@@ -161,3 +161,24 @@ select d.doc_id, len(string_split(coalesce(d.text, ''), chr(10)))::bigint as n_l
   (len(string_split(coalesce(d.text, ''), chr(10))) - coalesce(k.n, 0))::bigint as n_removed, sha256(coalesce(k.x, '')) as kept_sha256
 from documents d left join (select doc_id, count(*) as n, string_agg(x, chr(10) order by i) as x from kept group by doc_id) k on d.doc_id = k.doc_id
 """
+
+REPEATS = r"""
+with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+g as materialized (
+  select doc_id, p, substr(x, 2 * p + 1, 100) as gram from (select doc_id, x, unnest(range(0, greatest(length(x) // 2 - 49, 0))) as p from d)
+), first as (select gram, min(doc_id) as low from g group by gram having min(doc_id) < max(doc_id)),
+starts as materialized (select doc_id, p from g join first on g.gram = first.gram where doc_id > low),
+bytes as materialized (
+  select b.doc_id, b.p, substr(x, 2 * b.p + 1, 2) as y, max(s.p) over (partition by b.doc_id order by b.p) as near
+  from (select doc_id, x, unnest(range(0, length(x) // 2)) as p from d where doc_id in (select doc_id from starts)) b
+  left join starts s on s.doc_id = b.doc_id and s.p = b.p
+), marked as (select doc_id, p, y, coalesce(p - near < 50, false) as gone from bytes),
+spans as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by p), false) as opens from marked),
+found as (
+  select doc_id, count(*) filter (where gone) as n, count(*) filter (where opens) as spans, coalesce(string_agg(y, '' order by p) filter (where not gone), '') as kept
+  from spans group by doc_id
+)
+select d.doc_id, (length(x) // 2)::bigint as n_bytes, coalesce(n, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(kept, x))) as kept_sha256
+from d left join found on d.doc_id = found.doc_id
+"""
