@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, linededup, minhash, mixing, oracle, quality, suffixdedup, tokenbin, toxicity
+from . import chat, decontamination, linededup, lmscore, minhash, mixing, oracle, quality, suffixdedup, tokenbin, toxicity
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.scores(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_quality_rules": op4_quality_rules,
         "op5_token_ids": op5_token_ids,
+        "op6_lm_scoring": op6_lm_scoring,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_mixing": op9_mixing,

@@ -164,13 +164,20 @@ from documents d left join (select doc_id, count(*) as n, string_agg(x, chr(10)
 
 REPEATS = r"""
 with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
-g as materialized (
-  select doc_id, p, substr(x, 2 * p + 1, 100) as gram from (select doc_id, x, unnest(range(0, greatest(length(x) // 2 - 49, 0))) as p from d)
+blocks as materialized (
+  -- 256 bytes each and the 49 after them, as a long text's far substrings are slow
+  select doc_id, b, length(x) // 2 as n, substr(x, 512 * b + 1, 512 + 98) as y from (select doc_id, x, unnest(range(0, length(x) // 512 + 1)) as b from d)
+), g as materialized (
+  select doc_id, 256 * b + p as p, substr(y, 2 * p + 1, 100) as gram
+  from (select doc_id, b, n, y, unnest(range(0, least(256, greatest(n - 49 - 256 * b, 0)))) as p from blocks)
 ), first as (select gram, min(doc_id) as low from g group by gram having min(doc_id) < max(doc_id)),
 starts as materialized (select doc_id, p from g join first on g.gram = first.gram where doc_id > low),
 bytes as materialized (
-  select b.doc_id, b.p, substr(x, 2 * b.p + 1, 2) as y, max(s.p) over (partition by b.doc_id order by b.p) as near
-  from (select doc_id, x, unnest(range(0, length(x) // 2)) as p from d where doc_id in (select doc_id from starts)) b
+  select b.doc_id, b.p, b.y, max(s.p) over (partition by b.doc_id order by b.p) as near
+  from (
+    select doc_id, 256 * b + p as p, substr(y, 2 * p + 1, 2) as y
+    from (select doc_id, b, y, unnest(range(0, least(256, n - 256 * b))) as p from blocks where doc_id in (select doc_id from starts))
+  ) b
   left join starts s on s.doc_id = b.doc_id and s.p = b.p
 ), marked as (select doc_id, p, y, coalesce(p - near < 50, false) as gone from bytes),
 spans as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by p), false) as opens from marked),
