@@ -20,8 +20,19 @@ from ..model import MULTIVALUED, Graph
 _NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 
 
+def _nullable(kind: T.DataType) -> T.DataType:
+    """``kind`` with nulls allowed everywhere inside."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_nullable(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(_nullable(kind.keyType), _nullable(kind.valueType))
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _nullable(f.dataType)) for f in kind])
+    return kind
+
+
 def _common_type(kinds: Sequence[T.DataType]) -> T.DataType:
-    distinct = list(dict.fromkeys(k for k in kinds if not isinstance(k, T.NullType)))
+    distinct = list(dict.fromkeys(_nullable(k) for k in kinds if not isinstance(k, T.NullType)))
     if len(distinct) == 1:
         return distinct[0]
     if not distinct:
@@ -35,7 +46,7 @@ def _common_type(kinds: Sequence[T.DataType]) -> T.DataType:
 
 
 def _as_type(df: DataFrame, column: str, kind: T.DataType) -> Column:
-    own, c = df.schema[column].dataType, F.col(column)
+    own, c = _nullable(df.schema[column].dataType), F.col(column)
     if own == kind:
         return c
     if isinstance(kind, T.ArrayType) and isinstance(own, T.StringType):
