@@ -119,7 +119,7 @@ def edge_report(
         value = F.coalesce(F.size(c), F.lit(0)).cast("double") if is_list(full, c) else F.col(c).cast("double")
         out += [F.round(F.avg(value), 3).alias(f"{c}_avg"), quantile(value, list(QUANTILES)).alias(f"{c}_quantiles")]
     grouped = full.groupBy(*by).agg(*out)
-    whole = F.broadcast(full.agg(F.count(F.lit(1)).alias("_all")))  # one row
+    whole = F.broadcast(grouped.agg(F.sum("count").alias("_all")))  # one row, from the same exchange
     return grouped.crossJoin(whole).withColumn("proportion", F.col("count") / F.col("_all")).drop("_all")
 
 

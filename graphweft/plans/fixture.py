@@ -7,11 +7,23 @@ one-to-many mappings and multivalued cells, so every operator has work to do.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import cached_property
 
-from ..model import Graph
+from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
+#: The columns that the views name; with these given, no job is needed to read the files' schemas.
+COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string",
+    "events": "event_id long, user_id long, event_type string, value double",
+    "documents": "doc_id long, lang string, source string",
+}
+TABLES = tuple(COLUMNS)
 _S = "varchar(400)"
 
 NODES = f"""
@@ -57,14 +69,36 @@ VIEWS = {"nodes": NODES, "edges": EDGES, "closure": CLOSURE, "mappings": MAPPING
 def relation(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """``sql`` over the tables; a table is read only if the text names it."""
     words = set(sql.replace("\n", " ").replace("(", " ").replace(")", " ").split())
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if t in words}
+    frames = {t: spark.read.schema(COLUMNS[t]).parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if t in words}
     for t in frames:
         sql = sql.replace(f"from {t} ", f"from {{{t}}} ").replace(f"from {t}\n", f"from {{{t}}}\n").replace(f"join {t} ", f"join {{{t}}} ")
     return spark.sql(sql, **frames)
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(relation(spark, sf_dir, NODES), relation(spark, sf_dir, EDGES), {"closure": relation(spark, sf_dir, CLOSURE), "mappings": relation(spark, sf_dir, MAPPINGS)})
+class FixtureGraph:
+    """The graph of a data folder; each table is planned when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return relation(self._spark, self._dir, NODES)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return relation(self._spark, self._dir, EDGES)
+
+    @property
+    def tables(self) -> FixtureGraph:
+        return self
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return relation(self._spark, self._dir, VIEWS[name])
+
+
+def graph(spark: SparkSession, sf_dir: str) -> FixtureGraph:
+    return FixtureGraph(spark, sf_dir)
 
 
 def with_views(sql: str) -> str:
