@@ -13,11 +13,13 @@
    been missed because both its ends were compared with a third text only. In
    buckets of up to ``SMALL`` members all pairs across components are then
    tested. Larger ones are split into sub-buckets by a second band, each of
-   which gives a further star; the work stays linear in the bucket's size.
+   which gives a further star.
+6. The members of large buckets that span components even then are joined by an
+   exact prefix filter: linked sets share one of their rarest shingles, at places
+   in the order of rarity from which the needed overlap can still be reached.
 
 At 32 bands of 4 rows a pair at similarity 0.8 shares no bucket with
-probability 5e-8. Links are lost otherwise only in step 5, between members of
-one large bucket that never meet in a star: see the README for figures.
+probability 5e-8. No link inside a bucket of any size is lost.
 
 Null, empty and blank texts have no shingles, are linked with nothing and make
 components of their own. Repeated rows of a doc_id give one row. Ties go to the
@@ -41,6 +43,8 @@ BANDS, ROWS = 32, 4
 SMALL = 32
 #: Distances between the two bands that make a sub-bucket.
 SECOND_BANDS = (1, 2, 3, 4, 5, 6)
+#: Holders of a shingle for each of the parts that its pairs are dealt to.
+HOT = 500
 _STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -155,7 +159,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     more = checkpointed(_second_pairs(buckets, reps, components, percent).join(pairs, ["a", "b"], "left_anti"))
     found = checkpointed(_confirmed(more, sets, percent))
     if not found.isEmpty():
-        components = checkpointed(connected_components(links.unionByName(found), "a", "b"))
+        links = links.unionByName(found)
+        components = checkpointed(connected_components(links, "a", "b"))
+    mixed = _mixed(buckets.where(F.col("size") > SMALL), components).select("rep", "n", "component").distinct()
+    mixed = checkpointed(mixed)
+    if not mixed.isEmpty():
+        tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(more)
+        last = checkpointed(_prefix_pairs(mixed, sets, percent).join(tested, ["a", "b"], "left_anti"))
+        found = checkpointed(_confirmed(last, sets, percent))
+        if not found.isEmpty():
+            components = checkpointed(connected_components(links.unionByName(found), "a", "b"))
     rep_of = (
         signed.where("n_shingles > 0")
         .join(reps.select(*key, "rep"), key)
@@ -172,12 +185,45 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     )
 
 
-def _second_pairs(buckets: DataFrame, reps: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) across components for step 5."""
+def _mixed(buckets: DataFrame, components: DataFrame) -> DataFrame:
+    """The members, with their components, of the buckets that span several."""
     own = components.select(F.col("id").alias("rep"), "component")
     placed = buckets.join(own, "rep", "left").select("bucket", "rep", "n", "size", F.coalesce("component", "rep").alias("component"))
     spread = placed.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("bucket")
-    mixed = checkpointed(placed.join(spread, "bucket"))
+    return placed.join(spread, "bucket")
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of ``members`` (rep, n, component) across components, with all that are linked.
+
+    Shingles are ordered by the number of members that hold them. A linked pair
+    shares at least ``need`` of n shingles, so its first shared one is among the
+    first n - need + 1 of each; after it no more than the shorter rest can be
+    shared. Shingles of one member only come first and pair with nothing.
+    """
+    held = members.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "n", "component", F.explode("hashes").alias("h"))
+    common = held.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    mine = held.join(common, "h").groupBy("rep", "n", "component").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("common"))
+    own = F.col("n") - F.size("common")
+    first = F.expr(f"n * {100 - percent} div 100") + 1 - own
+    cut = mine.withColumns({"own": own, "first": first.cast("int")}).where("first > 0")
+    placed = cut.select("rep", "n", "component", "own", F.posexplode(F.slice("common", F.lit(1), F.col("first"))).alias("at", "x"))
+    placed = placed.select("rep", "n", "component", F.col("x.h").alias("h"), (F.col("n") - F.col("own") - F.col("at") - 1).alias("rest"))
+    # a hot shingle's left rows are dealt to parts, its right rows go to each of them
+    parts = placed.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h", F.ceil(F.col("k") / HOT).cast("long").alias("parts"))
+    placed = checkpointed(placed.join(parts, "h"))
+    left = placed.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).drop("parts")
+    right = placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    right = right.select("h", "part", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("rest").alias("rest2"))
+    near = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    enough = (100 + percent) * (1 + F.least("rest", "rest2")) >= percent * (F.col("n") + F.col("n2"))
+    both = left.join(right, ["h", "part"]).where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & near & enough)
+    return both.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+
+
+def _second_pairs(buckets: DataFrame, reps: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) across components for step 5."""
+    mixed = checkpointed(_mixed(buckets, components))
     near = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
     few = mixed.where(F.col("size") <= SMALL)
     other = few.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))

@@ -92,6 +92,36 @@ def test_near_duplicates_in_a_large_group(spark):
     assert sum(a != b for a, b in zip(got, want, strict=True)) <= 2
 
 
+def test_near_duplicates_behind_an_unlinked_hub(spark):
+    words = prose(9, 123).split(" ")
+
+    def changed(places, tag):
+        return " ".join(f"{tag}y{k}" if k in places else w for k, w in enumerate(words))
+
+    # texts of four scattered changes are the hubs, linked with none; the last four make the only group
+    r = random.Random(5)
+    texts = [changed(r.sample(range(10, 110, 5), 4), i) for i in range(150)]
+    texts += [changed([20], "a"), changed([90], "b"), changed([33, 52], "c"), changed([33, 52, 71], "d")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(df, shingle=4).collect())
+    want = [(i, c) for i, _, c, _ in expected_components(texts, 4)]
+    assert got == want and len({c for _, c in want}) > 50
+
+
+def test_prefix_pairs_hold_every_link(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    sets = [sorted(r.sample(range(40), r.randint(5, 30))) for _ in range(150)]
+    sets += [sorted({*s[1:], 40 + r.randrange(9)}) for s in sets]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, hashes array<long>")
+    members = df.select(F.col("id").alias("rep"), F.size("hashes").cast("long").alias("n"), F.col("id").alias("component"))
+    pairs = minhash._prefix_pairs(members, df, 80)
+    want = {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if 100 * len({*x} & {*y}) >= 80 * len({*x} | {*y})}
+    assert want and {tuple(p) for p in minhash._confirmed(pairs, df, 80).collect()} == want
+    assert pairs.count() < len(sets) * (len(sets) - 1) // 4
+
+
 def test_near_duplicate_filter(spark, docs, empty):
     kept = minhash.near_duplicate_filter(docs)
     assert kept.columns == docs.columns and 1 not in {r.doc_id for r in kept.collect()}
