@@ -33,10 +33,10 @@ FLATTEN = {"_source": 0.9, "_lang": 0.9, "_topic": 0.95}
 
 
 def topic_of(text: Column) -> Column:
-    """A coarse topic from the text's form: legal, table, code-like markup, contact, prose."""
+    """A coarse topic from the whole text's form: legal, table, code-like markup, contact, prose."""
     t = F.coalesce(text, F.lit(""))
     return (
-        F.when(F.lower(F.substring(t, 1, 2000)).rlike("licen[sc]e|copyright"), "legal")
+        F.when(F.lower(t).rlike("licen[sc]e|copyright"), "legal")
         .when(F.contains(t, F.lit(" | ")), "table")
         .when(F.contains(t, F.lit("@")), "contact")
         .when(F.contains(t, F.lit("\n\n")), "sections")

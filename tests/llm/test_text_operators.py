@@ -367,6 +367,14 @@ def test_mixing(spark, docs, empty):
     assert mixing.mixture_report(docs).count() == docs.count()
 
 
+def test_topic_reads_the_whole_text(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, "w " * 3000 + "Copyright 2020"), (1, "w " * 3000 + "a | b"), (2, "LICENCE"), (3, None), (4, "w " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r[0] for r in df.orderBy("doc_id").select(mixing.topic_of(F.col("text"))).collect()] == ["legal", "table", "legal", "prose", "prose"]
+
+
 def test_lines(spark, docs, texts, empty):
     rows = [(0, "a\nb\nc\nd"), (1, "x\n a \n\nb\nc\ny"), (2, "a\nb\nc\nd\nb\nc\nd"), (3, None), (4, "a\nb"), (5, "z\nz\nz\nz\nz")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F_lit(1))
