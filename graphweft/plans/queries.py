@@ -247,7 +247,7 @@ def denormalized_edges(g):
 hits as (select r.id, n.id as nid, n.name from (select id, unnest(ends) as e from r) r join nodes n on r.e = n.id)
 select r.id, r.predicate, h.name as ends_label from r left join hits h on r.id = h.id""")
 def denormalized_edges_multivalued(g):
-    rows = g.edges.where("predicate = 'located_in'").select("id", "predicate", F.array("subject", "object").alias("ends"))
+    rows = g.edges.select("id", "predicate", F.array("subject", "object").alias("ends"))
     return cl.denormalized_edges(rows, g.nodes, config=cl.Denormalize(fields=(), label_only=("ends",))).select("id", "predicate", "ends_label")
 
 
@@ -385,14 +385,10 @@ def profile_marginals(g):
 # --- connectivity ----------------------------------------------------------------------------------
 
 
+# the queries run on the whole graph; the recursive SQL still on a part of it, see the README
 _SPARSE = """nation_edges as (select subject, object, predicate, provided_by from edges where predicate = 'supplies' and score <= 1 and id like '%-1')"""
 
 
-def _sparse(g: Graph) -> tuple[DataFrame, DataFrame]:
-    edges = g.edges.where("predicate = 'supplies' and score <= 1 and id like '%-1'").select("subject", "object", "predicate", "provided_by")
-    return _n(g).where("category in ('Part', 'Supplier')"), edges
-
-
 _CC = f"""recursive {_DEDUPED}, vertices as materialized (select * from kept where category in ('Part', 'Supplier')), {_SPARSE},
 links as materialized (select subject as u, object as v from nation_edges where subject in (select id from vertices) and object in (select id from vertices)),
 twoway as materialized (select u, v from links union select v, u from links),
@@ -405,12 +401,12 @@ placed as materialized (select id, component_id, component_size from roots join
 
 @query(f"with {_CC} select id, component_id, component_size from placed")
 def connected_components(g):
-    return cc.node_components(*_sparse(g))
+    return cc.node_components(_n(g), g.edges)
 
 
 @query(f"with {_CC} select component_id, provided_by, predicate, count(*) as edge_count from nation_edges join placed on id = subject where component_size > 1 group by all")
 def cc_component_sources(g):
-    nodes, edges = _sparse(g)
+    nodes, edges = _n(g), g.edges
     return cc.cc_component_sources(edges, cc.node_components(nodes, edges))
 
 
@@ -422,7 +418,7 @@ select s.component_id, s.size, d.deprecated_count, d.n_categories, coalesce(e.ed
 case when size = (select max(size) from s) then 'LCC' when size >= 100 then '100+' when size >= 10 then '10-99' when size >= 2 then '2-9' else 'Isolated' end as bucket
 from s join d on s.component_id = d.component_id join x on s.component_id = x.component_id left join e on s.component_id = e.component_id""")
 def cc_components(g):
-    nodes, edges = _sparse(g)
+    nodes, edges = _n(g), g.edges
     found = cc.cc_components(nodes, edges, cc.node_components(nodes, edges))
     return found.select("component_id", "size", "deprecated_count", "n_categories", "edge_count", "sample_node_ids", "bucket")
 
@@ -430,13 +426,13 @@ def cc_components(g):
 @query(f"""with {_CC}, s as (select component_id, max(component_size) as size from placed group by 1)
 select sum(size)::bigint as nodes, count(*) as components, count(*) filter (where size = 1) as singletons, max(size) as largest, round(max(size) / sum(size), 6) as lcc_fraction from s""")
 def connectivity_summary(g):
-    nodes, edges = _sparse(g)
+    nodes, edges = _n(g), g.edges
     return cc.connectivity_summary(cc.cc_components(nodes, edges, cc.node_components(nodes, edges))).drop("deprecated")
 
 
 @query(f"""with {_CC}, big as (select id from placed where component_size >= 3) select e.subject, e.object from nation_edges e join big on e.subject = big.id where e.object in (select id from vertices)""")
 def prune_small_components(g):
-    nodes, edges = _sparse(g)
+    nodes, edges = _n(g), g.edges
     return it.prune_graph(Graph(nodes, edges), min_component=3).edges.select("subject", "object")
 
 

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from graphweft.operators import modelcheck as mc
 from graphweft.operators import profile as pf
 from graphweft.operators import reports as rp
 from graphweft.operators.catalogue import UnknownSlotsError, default_catalogue, ensure_slots, export_schema
+from graphweft.plans import queries as plans
 
 
 def rows(df, *columns):
@@ -115,6 +119,63 @@ def test_components(spark):
     assert (s.nodes, s.components, s.singletons, s.deprecated, s.lcc_fraction) == (10, 4, 2, 1, 0.5)
 
 
+def union_find(ids, pairs):
+    """(id, component_id, component_size): 0 is the largest component, ties by least id."""
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a in root and b in root:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    size = Counter(map(find, ids))
+    rank = {r: k for k, r in enumerate(sorted(size, key=lambda r: (-size[r], r)))}
+    return sorted((i, rank[find(i)], size[find(i)]) for i in ids)
+
+
+def test_components_equal_union_find(spark):
+    r = random.Random(4)
+    ids = [f"n{i}" for i in range(300)]
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(60)] + [("n100", f"n{i}") for i in range(101, 160)]
+    pairs += [(f"n{r.randrange(160, 300)}", f"n{r.randrange(160, 300)}") for _ in range(60)] + [("n5", "gone"), ("n5", "n5"), (None, "n7")]
+    r.shuffle(pairs)
+    nodes = spark.createDataFrame([(i,) for i in ids], "id string")
+    edges = spark.createDataFrame(pairs, "subject string, object string")
+    assert rows(cc.node_components(nodes, edges), "id", "component_id", "component_size") == union_find(ids, pairs)
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    """A graph in which every query below would lose rows to a filter on ids or values."""
+    nodes = [("P1", "Part", "p", "f1"), ("P1", "Part", "p", "f2"), ("P2", "Part", "p", "f1"), ("S1", "Supplier", "s", "f1"), ("C1", "Customer", "c", "f1"), ("N1", "Nation", "n", "f1"), ("N2", "Nation", "obsolete n", "f1"), ("D1", "Document", None, "f1")]
+    edges = [("L:1-1", "S1", "supplies", "P1", 1.0), ("L:1-2", "S1", "supplies", "P2", 9.0), ("C:1", "C1", "located_in", "N1", 5.0), ("L:1-2", "S1", "supplies", "P2", 8.0), ("C:1", "C1", "located_in", "N1", 5.0), ("E:1", None, "performed", "X1", 1.0)]
+    return Graph(
+        spark.createDataFrame([(*n, "src") for n in nodes], "id string, category string, name string, file_source string, provided_by string"),
+        spark.createDataFrame([(*e, "src", "f1") for e in edges], "id string, subject string, predicate string, object string, score double, provided_by string, file_source string"),
+        {"mappings": spark.createDataFrame([], "subject_id string, predicate_id string, object_id string, mapping_source string")},
+    )
+
+
+def test_connectivity_queries_cover_the_whole_graph(small):
+    q = plans._QUERIES
+    ids = {r.id for r in small.nodes.collect()}
+    pairs = [(r.subject, r.object) for r in small.edges.collect()]
+    want = union_find(ids, pairs)
+    of = {i: c for i, c, _ in want}
+    assert rows(q["connected_components"](small), "id", "component_id", "component_size") == want
+    n_edges = Counter(of[a] for a, _ in pairs if a in of)
+    assert rows(q["cc_component_sources"](small), "component_id", "predicate", "edge_count") == [(0, "supplies", 3), (1, "located_in", 2)]
+    assert rows(q["cc_components"](small), "component_id", "size", "edge_count") == sorted({(c, s, n_edges[c]) for _, c, s in want})
+    assert tuple(q["connectivity_summary"](small).first()) == (7, 4, 2, 3, round(3 / 7, 6))
+    assert rows(q["prune_small_components"](small), "subject", "object") == [("S1", "P1"), ("S1", "P2"), ("S1", "P2")]
+    labels = rows(q["denormalized_edges_multivalued"](small.__class__(small.nodes.dropDuplicates(["id"]), small.edges.where("id = 'L:1-1'"))), "id", "ends_label")
+    assert labels == [("L:1-1", "p"), ("L:1-1", "s")]
+
+
 def test_reports(spark):
     nodes = spark.createDataFrame([("A", "G"), ("B", "D")], "id string, category string")
     edges = spark.createDataFrame([("A", "B", "p", ["x", "y"]), ("A", "B", "p", ["y"]), ("B", "A", "q", None)], "subject string, object string, predicate string, pubs array<string>")
