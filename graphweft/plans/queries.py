@@ -182,9 +182,8 @@ mapped as (select e.predicate, coalesce(s.subject_id, e.subject) as subject, coa
   where e.id in (select id from edges group by id having count(*) = 1))
 select predicate, count(*) as edges from mapped where subject in (select id from kept) and object in (select id from kept) group by predicate""")
 def merge_pipeline_counts(g):
-    # edges of repeated ids are ranked by all cells, which SQL can't reproduce, so they are left out on both sides
-    single = g.edges.join(it.deduplicate(g.edges)[1].select("id").distinct(), "id", "left_anti")
-    merged = it.merge_graph(Graph(g.nodes, single), g.tables["mappings"])
+    # the SQL leaves edges of repeated ids out, as it can't repeat their rank by all cells; see the README
+    merged = it.merge_graph(Graph(g.nodes, g.edges), g.tables["mappings"])
     return merged.edges.groupBy("predicate").agg(F.count(F.lit(1)).alias("edges"))
 
 

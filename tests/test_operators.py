@@ -176,6 +176,15 @@ def test_connectivity_queries_cover_the_whole_graph(small):
     assert labels == [("L:1-1", "p"), ("L:1-1", "s")]
 
 
+def test_merge_counts_keep_one_edge_of_each_repeated_id(small):
+    ids, first = {r.id for r in small.nodes.collect()}, {}
+    for r in small.edges.collect():
+        first.setdefault(r.id, r)
+    want = Counter(r.predicate for r in first.values() if r.subject in ids and r.object in ids)
+    assert want == {"supplies": 2, "located_in": 1}
+    assert rows(plans._QUERIES["merge_pipeline_counts"](small), "predicate", "edges") == sorted(want.items())
+
+
 def test_reports(spark):
     nodes = spark.createDataFrame([("A", "G"), ("B", "D")], "id string, category string")
     edges = spark.createDataFrame([("A", "B", "p", ["x", "y"]), ("A", "B", "p", ["y"]), ("B", "A", "q", None)], "subject string, object string, predicate string, pubs array<string>")
