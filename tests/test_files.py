@@ -1,3 +1,4 @@
+from pathlib import Path
 import gzip
 import json
 import tarfile
@@ -129,3 +130,23 @@ def test_streaming_append(spark, tmp_path):
             (source / name).write_text('{"id": "A", "name": "z"}\n{"id": "B", "name": "b"}\n')
         stream.append_stream(spark, str(source), schema, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(120)
         assert spark.read.parquet(str(tmp_path / "t")).count() == n
+
+
+def test_large_exports_are_folders_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "ONE_FILE", 10)
+    nodes = spark.range(40).selectExpr("concat('N:', id) as id").repartition(3)
+    edges = spark.createDataFrame([("N:1", "N:2")], "subject string, object string")
+    large, small = sinks.export_graph(Graph(nodes, edges), str(tmp_path / "out"), "g", "tsv")
+    assert len(list(Path(large).glob("part-*"))) == 3 and Path(small).is_file()
+    assert spark.read.csv(large, sep="\t", header=True).distinct().count() == 40
+    (archive,) = sinks.export_graph(Graph(nodes, edges), str(tmp_path / "tar"), "g", "jsonl", archive=True)
+    with tarfile.open(archive) as t:
+        assert sum("part-" in n and not n.endswith(".crc") for n in t.getnames()) == 3
+    assert sinks.write_report(nodes, str(tmp_path / "report.tsv")) == 40 and (tmp_path / "report.tsv").is_dir()
+
+
+def test_a_lost_part_file_is_an_error(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "write", lambda *a: None)
+    with pytest.raises(RuntimeError):
+        sinks.write_one_file(spark.range(3), str(tmp_path / "x.tsv"), "tsv")
+    assert list(tmp_path.iterdir()) == []
