@@ -36,6 +36,8 @@ from .common import alnum_words, shuffle_partitions, staged
 WINDOW = 10
 #: Rarest terms of a window whose posting lists are intersected.
 PROBES = 3
+#: Words that an item has at least to remove a document.
+SHORT_ITEM = 5
 BLOCK_WORDS = 200_000
 #: Pieces into which the postings of one term are dealt out by document.
 SALTS = 64
@@ -288,10 +290,17 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int, window:
     return (spark.createDataFrame([], "doc_id long, item_id string") if out is None else out).distinct()
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, min_hit: int = WINDOW, **options) -> DataFrame:
-    """The rows of ``docs`` without a document that has ``min_hit`` or more hit words, with the columns of ``docs``.
+def decontaminated(docs: DataFrame, benchmark: DataFrame, min_item: int = SHORT_ITEM, **options) -> DataFrame:
+    """The rows of ``docs`` without the documents that hold a benchmark passage, with the columns of ``docs``.
 
-    An item shorter than a window alone doesn't remove a document. Rows with a null doc_id stay.
+    Each item decides alone: one full window of it removes a document, or, for an
+    item shorter than a window, all its words in a row. Items of fewer than
+    ``min_item`` words never remove a document, as such words meet by chance; op1
+    reports them all the same. Rows with a null doc_id stay.
     """
-    bad = contamination(docs, benchmark, **options).where(F.col("n_hit") >= min_hit).select("doc_id").distinct()
+    window, block_words = options.get("window", WINDOW), options.get("block_words", BLOCK_WORDS)
+    names = sorted({n for block in blocks_of(benchmark, window, block_words) for n, words in block.items if len(words) >= min_item})
+    deciding = docs.sparkSession.createDataFrame([(n,) for n in names], "item string")
+    held = contamination(docs, benchmark, **options).select("doc_id", F.explode("items").alias("item"))
+    bad = held.join(deciding, "item", "left_semi").select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)

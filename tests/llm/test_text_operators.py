@@ -175,6 +175,14 @@ def test_contamination_edges(spark, docs, empty):
     assert [tuple(r) for r in near.collect()] == [(1, "7")]
 
 
+def test_each_item_decides_alone(spark):
+    items = [(1, "red fox"), (2, "the answer is forty two"), (3, " ".join(f"q{i}" for i in range(12)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(0, "a red fox b red fox c red fox d red fox e red fox f"), (1, "so The answer is forty two, yes"), (2, "x " + " ".join(f"q{i}" for i in range(1, 11))), (3, " ".join(f"q{i}" for i in range(9))), (4, "the answer is forty three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in decontamination.decontaminated(docs, bench).collect()) == [0, 3, 4]
+
+
 # --- suffix dedup -----------------------------------------------------------------
 
 
