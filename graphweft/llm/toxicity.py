@@ -68,9 +68,11 @@ class Field:
     document: np.ndarray | None = None
 
 
-def marginals(emissions: list[np.ndarray], transitions: np.ndarray) -> list[np.ndarray]:
+def marginals(emissions: list[np.ndarray], transitions: np.ndarray, pairs: np.ndarray | None = None) -> list[np.ndarray]:
     """P(offending) of every token. The sequences are worked through side by side, longest first.
 
+    The expected numbers of neighbours in each two states are added to ``pairs``.
+
     The ratio of the two states' forward, and backward, sums is all that the
     marginals need, so it is all that is carried on.
     """
@@ -97,6 +99,10 @@ def marginals(emissions: list[np.ndarray], transitions: np.ndarray) -> list[np.n
     for t in range(steps - 2, -1, -1):
         n = active[t + 1]
         x = grid[t + 1, :n] * b[:n]
+        if pairs is not None:
+            r = odds[t, :n]  # still the forward ratio alone
+            joint = np.stack([np.full(n, oo), ot * x, to * r, tt * r * x])
+            pairs += (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
         b[:n] = (to + tt * x) / (oo + ot * x)
         odds[t, :n] *= b[:n]
     p = odds / (1 + odds)
@@ -116,10 +122,10 @@ def in_groups(lengths: list[int], cells: int = 400_000) -> Iterator[list[int]]:
         at += n
 
 
-def grouped_marginals(emissions: list[np.ndarray], transitions: np.ndarray) -> list[np.ndarray]:
+def grouped_marginals(emissions: list[np.ndarray], transitions: np.ndarray, pairs: np.ndarray | None = None) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.zeros(0)] * len(emissions)
     for group in in_groups([len(e) for e in emissions]):
-        for i, p in zip(group, marginals([emissions[i] for i in group], transitions), strict=True):
+        for i, p in zip(group, marginals([emissions[i] for i in group], transitions, pairs), strict=True):
             out[i] = p
     return out
 
@@ -163,16 +169,11 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 25, rate: float = 1.0,
     pace, slow = np.full(1 << BITS, 1e-8), np.full(5, 1e-8)
     for _ in range(rounds):
         score = np.bincount(word_of_slot, weights=field.weights[slot], minlength=len(vocabulary)) + field.bias
-        p = grouped_marginals([score[x] for x in ids], field.transitions)
+        got_pairs = np.zeros((2, 2))
+        p = grouped_marginals([score[x] for x in ids], field.transitions, got_pairs)
         got_words = np.bincount(every, weights=np.concatenate(p), minlength=len(vocabulary))
         by_word = want_words - got_words
         step = np.bincount(slot, weights=by_word[word_of_slot], minlength=1 << BITS) / len(rows) - ridge * field.weights
-        # pairs of neighbours: independent given the marginals, which is what a field of near-certain tokens comes to
-        got_pairs = np.zeros((2, 2))
-        for x in p:
-            if len(x) > 1:
-                a, b = np.stack([1 - x[:-1], x[:-1]]), np.stack([1 - x[1:], x[1:]])
-                got_pairs += a @ b.T
         rest = np.append((want_pairs - got_pairs).ravel() / len(rows), by_word.sum() / len(rows))
         rest[0] = 0.0  # one transition weight is free
         pace += step * step

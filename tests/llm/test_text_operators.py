@@ -427,3 +427,19 @@ def test_marginals_equal_enumeration():
     want = [sum(w for s, w in weights.items() if s[k]) / sum(weights.values()) for k in range(3)]
     got, short = toxicity.marginals([e, e[:1]], t)
     assert np.allclose(got, want) and math.isclose(short[0], math.exp(0.5) / (1 + math.exp(0.5)))
+
+
+def test_pair_marginals_equal_enumeration():
+    from itertools import product
+
+    t = np.array([[0.0, -0.3], [0.4, 1.9]])
+    want = np.zeros((2, 2))
+    lists = [np.array([0.5, -1.0, 2.0, -0.2]), np.array([0.5, -1.0]), np.array([3.0]), np.zeros(0)]
+    for e in lists:
+        weights = {s: math.exp(sum(x * k for x, k in zip(e, s, strict=True)) + sum(t[a][b] for a, b in zip(s, s[1:]))) for s in product((0, 1), repeat=len(e))}
+        for s, w in weights.items():
+            for a, b in zip(s, s[1:]):
+                want[a, b] += w / sum(weights.values())
+    got = np.zeros((2, 2))
+    toxicity.grouped_marginals(lists, t, got)
+    assert np.allclose(got, want)
