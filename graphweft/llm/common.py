@@ -42,6 +42,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` marked for broadcast if it was counted to have at most ``rows`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for each row.
 

@@ -1,186 +1,279 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The test items are a stated query set. They are taken in blocks of at most
-``block_words`` words (documented bound of everything that is broadcast):
-
-1. the corpus frequency of every term of the block is counted over all documents;
-2. each window of ``window`` consecutive item words names its rarest terms;
-3. the postings (term, doc_id, positions) of these terms over all documents are
-   stored as a sorted table, hot terms salted by document;
-4. the rarest term's list, adjusted by the term's offset in the item, gives
-   diagonals (doc_id, item, shift); the next rarest lists are intersected with
-   it on (doc_id, item, shift);
-5. a surviving diagonal is checked word by word against the document.
+1. One pass counts the corpus frequency of every term of the items.
+2. Each window of ``window`` consecutive item words names its ``probes`` rarest terms.
+3. A second pass stores the index, once for all items: shards of documents, in
+   each the posting lists (term, documents, positions) of the probe terms.
+4. Per shard the list of a window's rarest term, adjusted by the term's offset in
+   the item, gives diagonals (document, item, shift). These are intersected with
+   the next rarest term's offset-adjusted list, and the survivors with the next.
+5. Diagonals that survive exactly are checked word by word against their texts.
 
 A document without a surviving diagonal holds no window, because every window
-has all its rarest terms on its diagonal.
+has all its rarest terms on its diagonal. Proximity matches come from the same
+lists: a document is near an item if, for some window, the rarest term occurs and
+each other probe term lies at most ``slop`` words off its place beside it.
+
+Bounds: a shard has at most about ``SHARD_WORDS`` words, or one document, so a
+frequent term's list is dealt to many shards. The items stream through the driver
+in blocks of ``block_words`` words; the terms to look for are broadcast as a filter
+of fixed size, whose false hits meet no item. Only documents with a surviving
+diagonal are shuffled.
 
 Null or empty texts have no words: such documents aren't hit, such items never
-occur. Repeated rows of a doc_id are judged each for itself. Empty tables give
-empty results or untouched documents. Clashing column names can't matter, as
-only doc_id, item_id and text are read.
+occur. An item without an item_id is skipped. Repeated rows and rows with a null
+doc_id are judged each for itself. Empty tables give empty results or untouched
+documents. Clashing column names can't matter, as only doc_id, item_id and text
+are read.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, shuffle_partitions, staged
+from .common import alnum_words, small, staged
 
 WINDOW = 10
 #: Rarest terms of a window whose posting lists are intersected.
 PROBES = 3
+#: Words that a probe term may be off its place in a proximity match.
+SLOP = 2
 #: Words that an item has at least to remove a document.
 SHORT_ITEM = 5
 BLOCK_WORDS = 200_000
-#: Pieces into which the postings of one term are dealt out by document.
-SALTS = 64
+SHARD_WORDS, SHARD_DOCS = 2_000_000, 20_000
+#: Bits of a term's hash that number its place in a filter of terms.
+FILTER_BITS = 23
+#: Diagonals that a task holds at once.
+HELD = 2_000_000
+
+
+def term_hash(word: bytes) -> int:
+    """A signed 64-bit hash, never 0."""
+    h = xxhash.xxh64_intdigest(word)
+    return (h - (1 << 64) if h >> 63 else h) or 1
+
+
+class Finder:
+    """The hashes of words that pass a filter of terms, 0 for others; forgets all when ``limit`` are held."""
+
+    def __init__(self, packed: bytes, limit: int = 1_000_000):
+        self.passes = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
+        self.limit = limit
+        self.known: dict[bytes, int] = {}
 
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        if len(known) > self.limit:
+            known.clear()
+        for w in set(words).difference(known):
+            h = term_hash(w)
+            known[w] = h if self.passes[h & ((1 << FILTER_BITS) - 1)] else 0
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
+
+def term_filter(terms: Iterator[int]) -> bytes:
+    passes = np.zeros(1 << FILTER_BITS, bool)
+    for t in terms:
+        passes[t & ((1 << FILTER_BITS) - 1)] = True
+    return np.packbits(passes).tobytes()
+
+
+@dataclass
 class Block:
-    """Items with words, their windows, and the vocabulary of these."""
-
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        self.window = window
-        self.items = items
-        self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, words in items for w in words))}
-        self.ids = [np.fromiter((self.vocabulary[w] for w in words), np.int64, len(words)) for _, words in items]
-
-    def spans(self) -> Iterator[tuple[int, int, int]]:
-        """(item number, start, length) of each window."""
-        for i, ids in enumerate(self.ids):
-            width = min(self.window, len(ids))
-            for start in range(len(ids) - width + 1):
-                yield i, start, width
-
-    def probes(self, frequency: np.ndarray, count: int) -> dict[int, list[tuple[int, int, int]]]:
-        """Of each probe term: (item number, offset in the item, rank in its window)."""
-        found: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
-        for i, start, width in self.spans():
-            ids = self.ids[i][start : start + width]
-            order = sorted(range(width), key=lambda k: (frequency[ids[k]], k))
-            for rank, k in enumerate(order[:count]):
-                found[int(ids[k])].add((i, start + k, rank))
-        return {t: sorted(x) for t, x in found.items()}
-
-    def needs(self, frequency: np.ndarray, count: int) -> dict[int, list[tuple[int, ...]]]:
-        """Of each item the sets of offsets of which one set must be on a diagonal in full."""
-        found: dict[int, set[tuple[int, ...]]] = defaultdict(set)
-        for i, start, width in self.spans():
-            ids = self.ids[i][start : start + width]
-            order = sorted(range(width), key=lambda k: (frequency[ids[k]], k))[:count]
-            found[i].add(tuple(sorted(start + k for k in order)))
-        return {i: sorted(x) for i, x in found.items()}
-
-
-def blocks_of(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Block]:
+    """Items with words: their keys, and the hashes of their words."""
+
+    keys: list[int]
+    terms: list[np.ndarray]
+
+    def windows(self, frequency: dict[int, int], window: int, probes: int) -> pd.DataFrame:
+        """Distinct rows (item, t0, o0, t1, o1, ...): each window's probe terms and their offsets, rarest first.
+
+        A window of fewer words than probes repeats its last one.
+        """
+        found = set()
+        for key, terms in zip(self.keys, self.terms, strict=True):
+            own = terms.tolist()
+            seen = [frequency.get(t, 0) for t in own]
+            width = min(window, len(own))
+            for start in range(len(own) - width + 1):
+                order = sorted(range(start, start + width), key=lambda k: (seen[k], k))[:probes]
+                order += order[-1:] * (probes - len(order))
+                found.add((key, *(x for k in order for x in (own[k], k))))
+        columns = ["item", *(f"{c}{r}" for r in range(probes) for c in "to")]
+        return pd.DataFrame(sorted(found), columns=columns, dtype=np.int64).sort_values(["t0", "item", "o0"], ignore_index=True)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item (a key), item_id, text of the rows that can occur."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return rows.where("item_id is not null and text is not null").select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").dropDuplicates(["item"])
+
+
+def blocks_of(items: DataFrame, block_words: int) -> Iterator[Block]:
     """The query set in blocks; each holds at most ``block_words`` words, or one longer item."""
-    held: list[tuple[str, list[bytes]]] = []
-    size = 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():
-        words = alnum_words(row["t"])
-        if not words or row["i"] is None:
+    held, size = Block([], []), 0
+    for row in items.toLocalIterator():
+        words = alnum_words(row["text"])
+        if not words:
             continue
-        if held and size + len(words) > block_words:
-            yield Block(held, window)
-            held, size = [], 0
-        held.append((row["i"], words))
+        if size and size + len(words) > block_words:
+            yield held
+            held, size = Block([], []), 0
+        held.keys.append(row["item"])
+        held.terms.append(np.array([term_hash(w) for w in words], np.int64))
         size += len(words)
-    if held:
-        yield Block(held, window)
+    if size:
+        yield held
 
 
-def term_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
-    """Occurrences of each term over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def term_frequencies(docs: DataFrame, packed: bytes) -> DataFrame:
+    """(term, n): occurrences over all documents of the terms that pass the filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, held = np.zeros(len(shared.value), np.int64), []
+        find, held = Finder(shared.value), []
+        total = pd.Series(dtype=np.int64)
+
+        def added() -> pd.Series:
+            terms, n = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
+            return total.add(pd.Series(n[terms != 0], terms[terms != 0]), fill_value=0).astype(np.int64)
+
+        size = 0
         for batch in batches:
-            find = shared.value.get
             for text in batch["text"]:
-                ids = [i for i in map(find, alnum_words(text)) if i is not None]
-                held += ids
-                if len(held) > 1_000_000:
-                    total += np.bincount(held, minlength=len(total))
-                    held = []
-        total += np.bincount(np.array(held, np.int64), minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pd.DataFrame({"term": used, "n": total[used]})
-
-    rows = docs.select("text").mapInPandas(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = np.zeros(len(vocabulary), np.int64)
-    for r in rows:  # at most one row for each term of the block
-        found[r["term"]] = r["n"]
-    return found
-
-
-def positional_index(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
-    """Postings (term, salt, doc_id, positions) of ``terms``, stored sorted by term and doc_id."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+                held.append(find(alnum_words(text)))
+                size += len(held[-1])
+                if size > 1_000_000:
+                    total, held, size = added(), [], 0
+        total = added()
+        yield pd.DataFrame({"term": total.index.to_numpy(np.int64), "n": total.to_numpy(np.int64)})
+
+    return staged(docs.select("text").mapInPandas(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "term-frequencies")
+
+
+INDEX = "ids array<long>, no_id array<boolean>, row_keys array<long>, n_words array<int>, terms array<long>, starts array<int>, documents array<int>, positions array<int>"
+
+
+def positional_index(docs: DataFrame, packed: bytes) -> DataFrame:
+    """Shards of documents (ids, row_keys, n_words) with the posting lists of the terms that pass the filter.
+
+    The list of ``terms[k]`` is ``documents`` (places in ``ids``) and ``positions`` from
+    ``starts[k]`` to ``starts[k + 1]``, in ascending order.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = shared.value.get
+        find = Finder(shared.value)
+        ids, no_id, keys, n_words, terms, positions = [], [], [], [], [], []
+        size = 0
+
+        def shard() -> pd.DataFrame:
+            document = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in terms])
+            term, position = np.concatenate(terms), np.concatenate(positions)
+            order = np.argsort(term, kind="stable")
+            distinct, starts = np.unique(term[order], return_index=True)
+            row = [ids, no_id, keys, n_words, distinct, np.append(starts, len(term)).astype(np.int32), document[order], position[order]]
+            return pd.DataFrame({c.split(" ")[0]: [x] for c, x in zip(INDEX.split(", "), row, strict=True)})
+
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                words = alnum_words(text)
-                lists: dict[int, list[int]] = defaultdict(list)
-                for position, term in enumerate(map(find, words)):
-                    if term is not None:
-                        lists[term].append(position)
-                for term, positions in lists.items():
-                    out[0].append(term)
-                    out[1].append(doc_id)
-                    out[2].append(positions)
-            yield pd.DataFrame({"term": np.array(out[0], np.int64), "doc_id": pd.array(out[1], "Int64"), "positions": pd.Series(out[2], dtype=object)})
-
-    postings = docs.select("doc_id", "text").mapInPandas(run, "term long, doc_id long, positions array<int>")
-    salted = postings.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    n = shuffle_partitions(docs.sparkSession)
-    return staged(salted.repartition(n, "term", "salt").sortWithinPartitions("term", "doc_id"), "postings")
-
-
-def diagonals(index: DataFrame, block: Block, frequency: np.ndarray, probes: int = PROBES, slop: int = 0) -> DataFrame:
-    """(doc_id, item, shift): the shifts on which one window has all its rarest terms.
-
-    ``slop`` above 0 gives proximity matches instead: the terms may lie that
-    many words off their place, so shifts count in steps of ``slop + 1`` and a
-    neighbouring step counts too.
+            for doc_id, no, key, text in zip(batch["id"], batch["no_id"], batch["row_key"], batch["text"], strict=True):
+                found = find(alnum_words(text))
+                at = np.flatnonzero(found)
+                ids.append(doc_id)
+                no_id.append(no)
+                keys.append(key)
+                n_words.append(len(found))
+                terms.append(found[at])
+                positions.append(at.astype(np.int32))
+                size += len(found)
+                if size >= SHARD_WORDS or len(ids) >= SHARD_DOCS:
+                    yield shard()
+                    ids, no_id, keys, n_words, terms, positions, size = [], [], [], [], [], [], 0
+        if ids:
+            yield shard()
+
+    return staged(docs.select("id", "no_id", "row_key", "text").mapInPandas(run, INDEX), "postings")
+
+
+def intersected(shard, windows: pd.DataFrame, probes: int, slop: int) -> Iterator[pd.DataFrame]:
+    """Diagonals (document, item, shift, exact) of one shard on which a window has its probe terms.
+
+    The rarest term lies at ``shift`` + its offset and the others at most ``slop`` words
+    off theirs; ``exact`` where they aren't off at all.
     """
-    spark = index.sparkSession
-    wanted = [(t, i, o) for t, places in block.probes(frequency, probes).items() for i, o in sorted({(i, o) for i, o, _ in places})]
-    places = F.broadcast(spark.createDataFrame(wanted, "term long, item int, offset int"))  # bounded by the block
-    needs = F.broadcast(spark.createDataFrame([(i, [list(x) for x in sets]) for i, sets in block.needs(frequency, probes).items()], "item int, needs array<array<int>>"))
-    hits = index.join(places, "term").select("doc_id", "item", "offset", F.explode("positions").alias("p"))
-    shift = F.col("p") - F.col("offset")
-    if slop:
-        step = F.floor(shift / (slop + 1)).cast("int")
-        hits = hits.select("doc_id", "item", "offset", F.explode(F.array(step - 1, step, step + 1)).alias("shift"))
-    else:
-        hits = hits.select("doc_id", "item", "offset", shift.alias("shift"))
-    return (
-        hits.groupBy("doc_id", "item", "shift")
-        .agg(F.collect_set("offset").alias("offsets"))
-        .join(needs, "item")
-        .where(F.exists("needs", lambda x: F.size(F.array_except(x, F.col("offsets"))) == 0))
-        .select("doc_id", "item", "shift")
-    )
+    terms, starts = np.asarray(shard.terms), np.asarray(shard.starts, np.int64)
+    if not len(terms) or not len(windows):
+        return
+    width = int(max(shard.n_words))
+    document, position = np.asarray(shard.documents, np.int64), np.asarray(shard.positions, np.int64)
+    # one ascending key for each posting: its term's number, document and position
+    n_docs = len(shard.ids)
+    postings = (np.repeat(np.arange(len(terms)), np.diff(starts)) * n_docs + document) * width + position
+    numbers = {}
+    for r in range(probes):
+        wanted = windows[f"t{r}"].to_numpy()
+        at = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
+        numbers[r] = np.where(terms[at] == wanted, at, -1)
+    live = np.flatnonzero(np.all([n >= 0 for n in numbers.values()], axis=0))
+    if not len(live):
+        return
+    lengths = np.diff(starts)[numbers[0][live]]
+    items = windows["item"].to_numpy()
+    offsets = [windows[f"o{r}"].to_numpy() for r in range(probes)]
+
+    def held(number: np.ndarray, doc: np.ndarray, place: np.ndarray, off: int) -> np.ndarray:
+        low, high = np.maximum(place - off, 0), np.minimum(place + off, width - 1)
+        base = (number * n_docs + doc) * width
+        at = np.minimum(np.searchsorted(postings, base + low), len(postings) - 1)
+        return (low <= high) & (postings[at] >= base + low) & (postings[at] <= base + high)
+
+    # so many windows at once as make about HELD diagonals; a longer list is cut in parts
+    total = np.cumsum(lengths)
+    for begin in range(0, int(total[-1]), HELD):
+        end = min(begin + HELD, int(total[-1]))
+        first, last = np.searchsorted(total, [begin, end - 1], side="right")
+        own = live[first : last + 1]
+        low = np.maximum(begin - (total[first : last + 1] - lengths[first : last + 1]), 0)
+        high = np.minimum(lengths[first : last + 1], end - (total[first : last + 1] - lengths[first : last + 1]))
+        n = high - low
+        window = np.repeat(own, n)
+        rank = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low + starts[numbers[0][own]], n)
+        doc, shift = document[rank], position[rank] - offsets[0][window]
+        for r in range(1, probes):
+            stay = held(numbers[r][window], doc, shift + offsets[r][window], slop)
+            window, doc, shift = window[stay], doc[stay], shift[stay]
+        exact = np.ones(len(window), bool)
+        for r in range(1, probes):
+            exact &= held(numbers[r][window], doc, shift + offsets[r][window], 0)
+        yield pd.DataFrame({"document": doc, "item": items[window], "shift": shift, "exact": exact}).drop_duplicates()
+
+
+def diagonals(index: DataFrame, windows: pd.DataFrame, probes: int, slop: int) -> DataFrame:
+    """(id, row_key, item, shift, exact) over all shards, for one block's windows."""
+    shared = index.sparkSession.sparkContext.broadcast(windows)  # bounded by the block
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shard in batch.itertuples(index=False):
+                ids, keys = np.asarray(shard.ids), np.asarray(shard.row_keys)
+                for found in intersected(shard, shared.value, probes, slop):
+                    yield pd.DataFrame({"id": ids[found["document"]], "row_key": keys[found["document"]], "item": found["item"], "shift": found["shift"], "exact": found["exact"]})
+
+    return index.mapInPandas(run, "id long, row_key long, item long, shift int, exact boolean")
 
 
-def hit_words(words: list[bytes], items: dict[int, list[bytes]], found: list[tuple[int, int]], window: int) -> tuple[np.ndarray, set[int]]:
-    """Which words lie in an occurrence of a window, and the items that have one, on the given diagonals."""
-    hit = np.zeros(len(words) + 1, np.int64)
-    having = set()
-    for item, shift in found:
-        own = items[item]
-        width = min(window, len(own))
+def hit_words(words: list[bytes], own: list[bytes], shifts: list[int], window: int, hit: np.ndarray) -> bool:
+    """Mark in ``hit`` (a difference array) the occurrences of an item's windows on the given diagonals."""
+    width, any_found = min(window, len(own)), False
+    for shift in shifts:
         low, high = max(0, shift), min(len(words), shift + len(own))
         run = 0
         for p in range(low, high + 1):
@@ -190,106 +283,78 @@ def hit_words(words: list[bytes], items: dict[int, list[bytes]], found: list[tup
             if run >= width:
                 hit[p - run] += 1
                 hit[p] -= 1
-                having.add(item)
+                any_found = True
             run = 0
-    return np.cumsum(hit[:-1]) > 0, having
-
+    return any_found
 
-def _marked(block: Block):
-    items, names, window = [w for _, w in block.items], [n for n, _ in block.items], block.window
 
+def _marked(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n_words, spans, found_items = [], [], []
+            spans, found_items = [], []
             for text, found in zip(batch["text"], batch["found"], strict=True):
                 words = alnum_words(text)
-                n_words.append(len(words))
-                if found is None or not len(found):
-                    spans.append([])
-                    found_items.append([])
-                    continue
-                pairs = [(x["item"], x["shift"]) for x in found]
-                hit, having = hit_words(words, {i: items[i] for i, _ in pairs}, pairs, window)
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-                spans.append(edges.tolist())
-                found_items.append(sorted(names[i] for i in having))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "_row": batch["_row"], "n_words": n_words, "spans": spans, "items": found_items})
+                hit, having = np.zeros(len(words) + 1, np.int64), set()
+                for x in found:
+                    if hit_words(words, alnum_words(x["text"]), x["shifts"], window, hit):
+                        having.add(x["item_id"])
+                covered = np.cumsum(hit[:-1]) > 0
+                spans.append(np.flatnonzero(np.diff(np.concatenate(([0], covered.astype(np.int8), [0])))).tolist())
+                found_items.append(sorted(having))
+            yield pd.DataFrame({"id": batch["id"], "row_key": batch["row_key"], "spans": spans, "items": found_items})
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, probes: int = PROBES, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, hit_spans (word ranges, end exclusive)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, probes: int = PROBES, slop: int = SLOP, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items, items, hit_spans (word ranges, end exclusive), near_items."""
+    key = ["id", "row_key"]
+    # equal rows share a key, and have equal answers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # equal rows are told apart by their text only; equal rows have equal answers
-    rows = rows.withColumn("_row", F.xxhash64("text"))
-    parts = []
-    for block in blocks_of(benchmark, window, block_words):
-        frequency = term_frequencies(rows, block.vocabulary)
-        terms = block.probes(frequency, probes)
-        index = positional_index(rows, {w: i for w, i in block.vocabulary.items() if i in terms})
-        found = diagonals(index, block, frequency, probes).groupBy("doc_id").agg(F.collect_set(F.struct("item", "shift")).alias("found"))
-        parts.append(
-            rows.join(found, "doc_id", "left").mapInPandas(
-                _marked(block), "doc_id long, _row long, n_words long, spans array<int>, items array<string>"
-            )
-        )
-    if not parts:
-        nothing = Block([], window)
-        parts = [
-            rows.withColumn("found", F.lit(None).cast("array<struct<item:int,shift:int>>")).mapInPandas(
-                _marked(nothing), "doc_id long, _row long, n_words long, spans array<int>, items array<string>"
-            )
-        ]
-    marked = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            marked = marked.unionByName(part)
-        # the blocks' spans of one document are merged
-        merge = F.udf(_merged, "array<int>")
-        marked = (
-            marked.groupBy("doc_id", "_row")
-            .agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(parts)).cast("int").alias("copies"))
-            .select("doc_id", "_row", "n_words", merge("all").alias("spans"), "items", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("row_key"), "text")
+    items = staged(_items(benchmark), "items")
+    frequencies = term_frequencies(rows, term_filter(int(t) for block in blocks_of(items, block_words) for x in block.terms for t in x))
+
+    def windows() -> Iterator[pd.DataFrame]:
+        for block in blocks_of(items, block_words):
+            wanted = docs.sparkSession.createDataFrame(pd.DataFrame({"term": np.unique(np.concatenate(block.terms))}))
+            near = dict(map(tuple, frequencies.join(F.broadcast(wanted), "term").collect()))  # a row for each term of the block at most
+            yield block.windows(near, window, probes)
+
+    index = positional_index(rows, term_filter(int(t) for w in windows() for r in range(probes) for t in w[f"t{r}"].unique()))
+    found = index.sparkSession.createDataFrame([], "id long, row_key long, item long, shift int, exact boolean")
+    for part in windows():
+        found = found.unionByName(diagonals(index, part, probes, slop))
+    shifts = F.collect_set(F.when(F.col("exact"), F.col("shift")))
+    by_item = found.groupBy(*key, "item").agg(shifts.alias("shifts")).join(items, "item")
+    found = staged(by_item.groupBy(*key).agg(F.collect_list(F.struct("item_id", "text", "shifts")).alias("found")), "found")
+    exact = found.select(*key, F.filter("found", lambda x: F.size(x["shifts"]) > 0).alias("found")).where(F.size("found") > 0)
+    held = rows.join(small(exact.select(*key)), key, "left_semi").dropDuplicates(key)
+    marked = held.join(exact, key).mapInPandas(_marked(window), "id long, row_key long, spans array<int>, items array<string>")
+    near = found.select(*key, F.array_sort(F.array_distinct("found.item_id")).alias("near_items"))
+    every = index.select(F.explode(F.arrays_zip("ids", "no_id", "row_keys", "n_words")).alias("x"))
+    every = every.select(F.col("x.ids").alias("id"), F.col("x.no_id").alias("no_id"), F.col("x.row_keys").alias("row_key"), F.col("x.n_words").cast("long").alias("n_words"))
+    none = F.array().cast("array<string>")
+    names, spans = F.coalesce("items", none), F.coalesce("spans", F.array().cast("array<int>"))
+    ends = F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
+    return (
+        every.join(near, key, "left")
+        .join(marked, key, "left")
+        .select(
+            F.when(~F.col("no_id"), F.col("id")).alias("doc_id"),
+            "n_words",
+            F.aggregate(ends, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_hit"),
+            F.size(names).cast("long").alias("n_items"),
+            F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+            (F.size(spans) > 0).alias("contaminated"),
+            F.size(F.coalesce("near_items", none)).cast("long").alias("n_near_items"),
+            names.alias("items"),
+            spans.alias("hit_spans"),
+            F.coalesce("near_items", none).alias("near_items"),
         )
-    ends = F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
-    ids = F.array_sort(F.array_distinct("items"))
-    return marked.select(
-        "doc_id",
-        "n_words",
-        F.aggregate(ends, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_hit"),
-        F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
-        (F.size("spans") > 0).alias("contaminated"),
-        ids.alias("items"),
-        F.col("spans").alias("hit_spans"),
     )
 
 
-def _merged(lists: list[list[int]]) -> list[int]:
-    out: list[int] = []
-    for start, end in sorted((x[i], x[i + 1]) for x in lists for i in range(0, len(x), 2)):
-        if out and start <= out[-1]:
-            out[-1] = max(out[-1], end)
-        else:
-            out += [start, end]
-    return out
-
-
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int, window: int = WINDOW, probes: int = PROBES, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Distinct (doc_id, item_id): the rarest terms of one window lie within about ``slop`` words of their places."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spark, out = docs.sparkSession, None
-    for block in blocks_of(benchmark, window, block_words):
-        frequency = term_frequencies(rows, block.vocabulary)
-        terms = block.probes(frequency, probes)
-        index = positional_index(rows, {w: i for w, i in block.vocabulary.items() if i in terms})
-        names = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(block.items)], "item int, item_id string")
-        part = diagonals(index, block, frequency, probes, slop).select("doc_id", "item").distinct().join(F.broadcast(names), "item").select("doc_id", "item_id")
-        out = part if out is None else out.unionByName(part)
-    return (spark.createDataFrame([], "doc_id long, item_id string") if out is None else out).distinct()
-
-
 def decontaminated(docs: DataFrame, benchmark: DataFrame, min_item: int = SHORT_ITEM, **options) -> DataFrame:
     """The rows of ``docs`` without the documents that hold a benchmark passage, with the columns of ``docs``.
 
@@ -298,9 +363,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, min_item: int = SHORT_
     ``min_item`` words never remove a document, as such words meet by chance; op1
     reports them all the same. Rows with a null doc_id stay.
     """
-    window, block_words = options.get("window", WINDOW), options.get("block_words", BLOCK_WORDS)
-    names = sorted({n for block in blocks_of(benchmark, window, block_words) for n, words in block.items if len(words) >= min_item})
-    deciding = docs.sparkSession.createDataFrame([(n,) for n in names], "item string")
-    held = contamination(docs, benchmark, **options).select("doc_id", F.explode("items").alias("item"))
-    bad = held.join(deciding, "item", "left_semi").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    words = F.regexp_count(F.col("text").cast("string"), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
+    deciding = benchmark.where(words >= min_item).select(F.col("item_id").cast("string").alias("item")).distinct()
+    held = contamination(docs, benchmark, **options).where("contaminated").select("doc_id", F.explode("items").alias("item"))
+    bad = staged(held.join(deciding, "item", "left_semi").select("doc_id").distinct(), "contaminated")
+    return docs.join(small(bad), "doc_id", "left_anti").select(*docs.columns)

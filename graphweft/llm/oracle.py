@@ -102,10 +102,32 @@ places as (
   from (select doc_id, words, width, unnest(range(1, len(words) - width + 2)) as i from d, widths where len(words) >= width)
 ), hits as materialized (select doc_id, places.width, i, item from places join windows on places.gram = windows.gram and places.width = windows.width),
 words as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + width)) as p from hits) group by doc_id),
-items as (select doc_id, count(distinct item) as n, array_to_string(list_sort(list(distinct item)), ',') as names from hits group by doc_id)
+items as (select doc_id, count(distinct item) as n, array_to_string(list_sort(list(distinct item)), ',') as names from hits group by doc_id),
+-- proximity: the three rarest terms of a window, the second and third at most two words off their place beside the first
+iw as materialized (select k, item, unnest(words) as w, generate_subscripts(words, 1) as o, len(words) as n from (select row_number() over () as k, item, words from b)),
+dw as materialized (select doc_id, i, w from (select doc_id, unnest(words) as w, generate_subscripts(words, 1) as i from d) where w in (select w from iw)),
+freq as (select w, count(*) as n from dw group by w),
+ranked as (
+  select k, item, start, o, iw.w, row_number() over (partition by k, start order by coalesce(freq.n, 0), o) as r
+  from (select *, unnest(range(greatest(o - least(n, 10) + 1, 1), least(o, n - least(n, 10) + 1) + 1)) as start from iw) iw left join freq on iw.w = freq.w
+), probes as materialized (
+  select distinct item, o0, w0, coalesce(o1, o0) as o1, coalesce(w1, w0) as w1, coalesce(o2, o1, o0) as o2, coalesce(w2, w1, w0) as w2
+  from (
+    select any_value(item) as item, max(o) filter (where r = 1) as o0, max(w) filter (where r = 1) as w0, max(o) filter (where r = 2) as o1,
+      max(w) filter (where r = 2) as w1, max(o) filter (where r = 3) as o2, max(w) filter (where r = 3) as w2
+    from ranked group by k, start
+  )
+), second as materialized (
+  select distinct x.doc_id, p.item, x.i - p.o0 as shift, o2, w2
+  from probes p join dw x on x.w = p.w0 join dw y on y.doc_id = x.doc_id and y.w = p.w1
+  where y.i between x.i - p.o0 + p.o1 - 2 and x.i - p.o0 + p.o1 + 2
+), near as (
+  select s.doc_id, count(distinct item) as n from second s join dw z on z.doc_id = s.doc_id and z.w = s.w2
+  where z.i between s.shift + o2 - 2 and s.shift + o2 + 2 group by s.doc_id
+)
 select d.doc_id, len(d.words)::bigint as n_words, coalesce(words.n, 0)::bigint as n_hit, coalesce(items.n, 0)::bigint as n_items,
-  sha256(coalesce(items.names, '')) as items_sha256, coalesce(words.n, 0) > 0 as contaminated
-from d left join words on d.doc_id = words.doc_id left join items on d.doc_id = items.doc_id
+  sha256(coalesce(items.names, '')) as items_sha256, coalesce(words.n, 0) > 0 as contaminated, coalesce(near.n, 0)::bigint as n_near_items
+from d left join words on d.doc_id = words.doc_id left join items on d.doc_id = items.doc_id left join near on d.doc_id = near.doc_id
 """
 
 

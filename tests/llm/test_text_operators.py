@@ -171,8 +171,43 @@ def test_contamination_edges(spark, docs, empty):
     assert {r.contaminated for r in decontamination.contamination(docs, none).collect()} == {False}
     kept = decontamination.decontaminated(docs, bench)
     assert kept.count() == docs.count() and kept.columns == docs.columns
-    near = decontamination.proximity_matches(spark.createDataFrame([(1, "alpha x beta gamma")], "doc_id long, text string"), spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string"), slop=2)
-    assert [tuple(r) for r in near.collect()] == [(1, "7")]
+
+
+def expected_near(texts, items, window=10, probes=3, slop=2):
+    counts = Counter(w for t in texts for w in decontamination.alnum_words(t))
+    out = {i: set() for i in range(len(texts))}
+    for name, item in items:
+        own = decontamination.alnum_words(item)
+        n = min(window, len(own))
+        for start in range(len(own) - n + 1) if own else ():
+            first, *others = sorted(range(start, start + n), key=lambda k: (counts[own[k]], k))[:probes]
+            for i, t in enumerate(texts):
+                words = decontamination.alnum_words(t)
+                for p in (p for p, w in enumerate(words) if w == own[first]):
+                    if all(any(own[k] == words[q] for q in range(max(p - first + k - slop, 0), min(p - first + k + slop + 1, len(words)))) for k in others):
+                        out[i].add(str(name))
+    return {i: sorted(x) for i, x in out.items()}
+
+
+def test_proximity(spark):
+    texts = ["alpha x beta gamma", "alpha x x x beta", "beta alpha", "alpha beta", None, prose(1, 300), edited(prose(1, 300), 4, 3), "w1 w2 w3 " * 40]
+    items = [(1, "alpha beta"), (2, " ".join(prose(1, 300).split(" ")[50:90])), (3, "alpha beta gamma"), (4, "w3 w1"), (5, "w2"), (6, "zz w2 w3")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for slop in (0, 2):
+        got = {r.doc_id: r.near_items for r in decontamination.contamination(docs, bench, slop=slop).collect()}
+        assert got == expected_near(texts, items, slop=slop)
+    assert "1" not in got[1] and got[0] == ["1", "3"]
+
+
+def test_contamination_of_odd_rows(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    long = prose(3, 60_000) + " " + item + " " + prose(4, 60_000)
+    docs = spark.createDataFrame([(None, item), (None, item), (0, item), (1, item), (1, "other"), (1, item), (None, None), (2, long)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item), (2, None)], "item_id long, text string")
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_hit, r["items"]) for r in decontamination.contamination(docs, bench).collect())
+    assert got == [(-1, 0, 0, []), (-1, 12, 12, ["1"]), (-1, 12, 12, ["1"]), (0, 12, 12, ["1"]), (1, 1, 0, []), (1, 12, 12, ["1"]), (1, 12, 12, ["1"]), (2, 120_012, 12, ["1"])]
+    assert decontamination.decontaminated(docs, bench).count() == 3
 
 
 def test_each_item_decides_alone(spark):
