@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_partitions
+from .common import shared_dir, shuffle_partitions, small
 
 END_ID = 2
 SHARD_BYTES = 4 << 20
@@ -219,7 +219,7 @@ def read_token_summary(spark: SparkSession, folder: str) -> DataFrame:
         .join(base, "part")
         .select("part", "shard", (F.col("base") + F.coalesce(F.sum("n_ids").over(earlier), F.lit(0))).alias("start"))
     )
-    return shards.join(starts, ["part", "shard"]).mapInPandas(_decoded(data), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.join(small(starts), ["part", "shard"]).mapInPandas(_decoded(data), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[list[int]]:
