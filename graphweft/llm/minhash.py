@@ -9,21 +9,22 @@
    bucket gives star-shaped candidates: each member with the bucket's hub, so a
    bucket of n members gives n - 1 pairs.
 4. Pairs are confirmed on the full sets, in exact integer arithmetic.
-5. Where a bucket's members still lie in several components, a link may have
-   been missed because both its ends were compared with a third text only. In
-   buckets of up to ``SMALL`` members all pairs across components are then
-   tested. Larger ones are split into sub-buckets by a second band, each of
-   which gives a further star.
-6. The members of large buckets that span components even then are joined by an
-   exact prefix filter: linked sets share one of their rarest shingles, at places
-   in the order of rarity from which the needed overlap can still be reached.
+5. A link may have been missed because both its ends were compared with a third
+   text only; then their bucket spans several components. The members of all
+   such buckets, of any size, are joined by an exact prefix filter: linked sets
+   share one of their rarest shingles, at places in the order of rarity from
+   which the needed overlap can still be reached. Of each shingle only pairs
+   across components are made: the rows outside its largest component, dealt to
+   parts, meet the others.
 
 At 32 bands of 4 rows a pair at similarity 0.8 shares no bucket with
 probability 5e-8. No link inside a bucket of any size is lost.
 
 Null, empty and blank texts have no shingles, are linked with nothing and make
 components of their own. Repeated rows of a doc_id give one row. Ties go to the
-smaller doc_id. A null doc_id is dropped, as it can't name a component.
+smaller doc_id. Of a doc_id with several texts the one with the most shingles
+counts (then the one with the larger hash of its set). A null doc_id is dropped,
+as it can't name a component.
 """
 
 from __future__ import annotations
@@ -36,14 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import WordHasher, checkpointed, mix64, space_words, staged
+from .common import WordHasher, checkpointed, mix64, small, space_words, staged
 
 BANDS, ROWS = 32, 4
-#: Members of a bucket up to which all pairs across components are tested.
-SMALL = 32
-#: Distances between the two bands that make a sub-bucket.
-SECOND_BANDS = (1, 2, 3, 4, 5, 6)
-#: Holders of a shingle for each of the parts that its pairs are dealt to.
+#: Rows of a shingle for each of the parts that its pairs are dealt to.
 HOT = 500
 _STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -96,28 +93,37 @@ def band_hashes(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return total.view(np.int64)
 
 
+def _key(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set."""
+    with np.errstate(over="ignore"):
+        return int(np.bitwise_xor.reduce(mix64(s)).view(np.int64)), int(np.add.reduce(mix64(s ^ np.uint64(_STEPS[2]))).view(np.int64))
+
+
 def _signatures(size: int, bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, orders = WordHasher(), probing_orders(bands * rows)
         for batch in batches:
-            n, low, high, found = [], [], [], []
+            n, keys, found = [], [], []
             for text in batch["text"]:
                 s = shingle_set(hasher, text, size)
                 n.append(len(s))
-                with np.errstate(over="ignore"):
-                    low.append(int(np.bitwise_xor.reduce(mix64(s)).view(np.int64)) if len(s) else 0)
-                    high.append(int(np.add.reduce(mix64(s ^ np.uint64(_STEPS[2]))).view(np.int64)) if len(s) else 0)
+                keys.append(_key(s) if len(s) else (0, 0))
                 found.append(band_hashes(signature(s, orders), bands, rows) if len(s) else None)
+            low, high = zip(*keys, strict=True) if keys else ((), ())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "set_low": low, "set_high": high, "bands": found})
 
     return run
 
 
 def _sets(size: int):
+    """The sets of the rows whose set is the one asked for."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher()
         for batch in batches:
-            yield pd.DataFrame({"id": batch["doc_id"], "hashes": [shingle_set(hasher, t, size).view(np.int64) for t in batch["text"]]})
+            sets = [shingle_set(hasher, t, size) for t in batch["text"]]
+            right = [len(s) == n and _key(s) == (low, high) for s, n, low, high in zip(sets, batch["n"], batch["set_low"], batch["set_high"], strict=True)]
+            yield pd.DataFrame({"id": batch["doc_id"], "hashes": [s.view(np.int64) for s in sets]})[right]
 
     return run
 
@@ -143,6 +149,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         "minhash",
     )
     key = ["n_shingles", "set_low", "set_high"]
+    several = signed.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("_least"), F.max(F.struct(*key)).alias("_best")).where("_least <> _best")
+    several = small(checkpointed(several.select("doc_id", "_best")))
+    signed = signed.join(several, "doc_id", "left").where(F.col("_best").isNull() | (F.struct(*key) == F.col("_best"))).drop("_best")
     # the least doc_id of each class and its bands, combined before the shuffle: a class may hold a third of all rows
     least = F.min(F.struct("doc_id", "bands")).alias("least")
     reps = checkpointed(signed.where("n_shingles > 0").groupBy(*key).agg(least).select(*key, F.col("least.doc_id").alias("rep"), F.col("least.bands").alias("bands")))
@@ -150,31 +159,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     shared = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
     # sizes further apart than the similarity can't reach it
     near = (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")) & (F.col("rep") != F.col("hub.rep"))
-    buckets = checkpointed(members.join(shared, "bucket").select("bucket", "rep", "n", "hub", "size"))
+    buckets = checkpointed(members.join(shared, "bucket").select("bucket", "rep", "n", "hub"))
     pairs = checkpointed(buckets.where(near).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct())
-    wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = staged(rows_in.join(wanted, "doc_id", "left_semi").mapInPandas(_sets(shingle), "id long, hashes array<long>").dropDuplicates(["id"]), "minhash-sets")
+    wanted = buckets.select("rep").distinct().join(reps.select("rep", *key), "rep").select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n"), "set_low", "set_high")
+    sets = rows_in.join(small(checkpointed(wanted)), "doc_id").mapInPandas(_sets(shingle), "id long, hashes array<long>")
+    sets = staged(sets.dropDuplicates(["id"]), "minhash-sets")
     links = checkpointed(_confirmed(pairs, sets, percent))
-    components = checkpointed(connected_components(links, "a", "b"))
-    more = checkpointed(_second_pairs(buckets, reps, components, percent).join(pairs, ["a", "b"], "left_anti"))
-    found = checkpointed(_confirmed(more, sets, percent))
-    if not found.isEmpty():
-        links = links.unionByName(found)
-        components = checkpointed(connected_components(links, "a", "b"))
-    mixed = _mixed(buckets.where(F.col("size") > SMALL), components).select("rep", "n", "component").distinct()
-    mixed = checkpointed(mixed)
-    if not mixed.isEmpty():
-        tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(more)
-        last = checkpointed(_prefix_pairs(mixed, sets, percent).join(tested, ["a", "b"], "left_anti"))
-        found = checkpointed(_confirmed(last, sets, percent))
-        if not found.isEmpty():
-            components = checkpointed(connected_components(links.unionByName(found), "a", "b"))
+    components = connected_components(links, "a", "b")
+    mixed = checkpointed(_mixed(buckets, components))
+    more = checkpointed(_prefix_pairs(mixed, sets, percent).join(pairs, ["a", "b"], "left_anti"))
+    # the links across components, between the components' own ids
+    label = components.select(F.col("id"), "component")
+    found = _confirmed(more, sets, percent)
+    for end in "ab":
+        found = found.join(label.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    merged = connected_components(found, "a", "b").select(F.col("id").alias("component"), F.col("component").alias("_root"))
     rep_of = (
         signed.where("n_shingles > 0")
         .join(reps.select(*key, "rep"), key)
         .select("doc_id", "n_shingles", "rep")
-        .join(components.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+        .join(label.withColumnRenamed("id", "rep"), "rep", "left")
+        .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component"))
+        .join(merged, "component", "left")
+        .select("doc_id", "n_shingles", F.coalesce("_root", "component").alias("component_id"))
     )
     alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return (
@@ -186,11 +193,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
 
 def _mixed(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """The members, with their components, of the buckets that span several."""
+    """Distinct (rep, n, component) of the members of the buckets that span several components."""
     own = components.select(F.col("id").alias("rep"), "component")
-    placed = buckets.join(own, "rep", "left").select("bucket", "rep", "n", "size", F.coalesce("component", "rep").alias("component"))
+    placed = buckets.join(own, "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
     spread = placed.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("bucket")
-    return placed.join(spread, "bucket")
+    return placed.join(spread, "bucket").select("rep", "n", "component").distinct()
 
 
 def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -208,42 +215,20 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     first = F.expr(f"n * {100 - percent} div 100") + 1 - own
     cut = mine.withColumns({"own": own, "first": first.cast("int")}).where("first > 0")
     placed = cut.select("rep", "n", "component", "own", F.posexplode(F.slice("common", F.lit(1), F.col("first"))).alias("at", "x"))
-    placed = placed.select("rep", "n", "component", F.col("x.h").alias("h"), (F.col("n") - F.col("own") - F.col("at") - 1).alias("rest"))
-    # a hot shingle's left rows are dealt to parts, its right rows go to each of them
-    parts = placed.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h", F.ceil(F.col("k") / HOT).cast("long").alias("parts"))
-    placed = checkpointed(placed.join(parts, "h"))
-    left = placed.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).drop("parts")
+    placed = checkpointed(placed.select("rep", "n", "component", F.col("x.h").alias("h"), (F.col("n") - F.col("own") - F.col("at") - 1).alias("rest")))
+    # each shingle's largest component, and the rows outside it
+    counted = placed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"))
+    most = counted.groupBy("h").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("k")).where(F.col("k") > F.col("most.k"))
+    parts = F.ceil((F.col("k") - F.col("most.k")) / HOT).cast("long").alias("parts")
+    placed = checkpointed(placed.join(most.select("h", F.col("most.component").alias("largest"), parts), "h"))
+    left = placed.where(F.col("component") != F.col("largest")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).drop("parts", "largest")
     right = placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    right = right.select("h", "part", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("rest").alias("rest2"))
+    right = right.select("h", "part", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("rest").alias("rest2"), (F.col("component") == F.col("largest")).alias("in_largest"))
     near = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
     enough = (100 + percent) * (1 + F.least("rest", "rest2")) >= percent * (F.col("n") + F.col("n2"))
-    both = left.join(right, ["h", "part"]).where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & near & enough)
-    return both.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-
-
-def _second_pairs(buckets: DataFrame, reps: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) across components for step 5."""
-    mixed = checkpointed(_mixed(buckets, components))
-    near = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-    few = mixed.where(F.col("size") <= SMALL)
-    other = few.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    small = few.join(other, "bucket").where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & near)
-    # larger buckets: stars in sub-buckets that agree on a second band
-    many = mixed.where(F.col("size") > SMALL).select("rep", "n", "component").distinct().join(reps.select("rep", "bands"), "rep")
-    total = F.size("bands")
-    keys = F.flatten(
-        F.transform("bands", lambda x, i: F.array(*[F.xxhash64(x, F.get("bands", (i + k) % total), F.lit(k)) for k in SECOND_BANDS]))
-    )
-    sub = many.select("rep", "n", "component", F.explode(keys).alias("key"))
-    hubs = (
-        sub.groupBy("key")
-        .agg(F.min(F.struct("rep", "n", "component")).alias("hub"), F.max("component").alias("_high"), F.min("component").alias("_low"))
-        .where("_low < _high")
-        .select("key", F.col("hub.rep").alias("rep2"), F.col("hub.n").alias("n2"), F.col("hub.component").alias("component2"))
-    )
-    large = sub.join(hubs, "key").where((F.col("component") != F.col("component2")) & near)
-    pair = [F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")]
-    return small.select(*pair).unionByName(large.select(*pair)).distinct()
+    once = F.col("in_largest") | (F.col("rep") < F.col("rep2"))
+    both = left.join(right, ["h", "part"]).where((F.col("component") != F.col("component2")) & once & near & enough)
+    return both.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
 
 def near_duplicate_filter(docs: DataFrame, **options) -> DataFrame:
@@ -252,5 +237,5 @@ def near_duplicate_filter(docs: DataFrame, **options) -> DataFrame:
     Rows that share a doc_id count as one document and stay or go together. Rows
     with a null doc_id aren't compared and stay.
     """
-    kept = near_duplicates(docs, **options).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    gone = checkpointed(near_duplicates(docs, **options).where("not kept").select("doc_id"))
+    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
