@@ -418,18 +418,66 @@ def test_template_compiler():
 # --- mixing and lines -----------------------------------------------------------------------------
 
 
-def test_mixing(spark, docs, empty):
+def expected_probabilities(rows, shares):
+    """Raking in plain Python, 400 rounds."""
+    kinds = [((s or "", g or "", topic), len((t or "").split())) for t, g, s, topic in rows]
+    cells = Counter()
+    for k, n in kinds:
+        cells[k] += n
+    wanted = []
+    for at, m in enumerate(("_source", "_lang", "_topic")):
+        tokens = Counter()
+        for k, n in cells.items():
+            tokens[k[at]] += n
+        rest = sum(n for v, n in tokens.items() if v not in shares[m])
+        left = max(0.0, 1 - sum(shares[m].values()))
+        raw = {v: (shares[m].get(v, left * n / rest if rest else 0.0) if n else 0.0) for v, n in tokens.items()}
+        wanted.append({v: x / (sum(raw.values()) or 1) for v, x in raw.items()})
+    fitted = {k: float(n) for k, n in cells.items()}
+    for _ in range(400):
+        for at, share in enumerate(wanted):
+            now = Counter()
+            for k, x in fitted.items():
+                now[k[at]] += x
+            fitted = {k: x * share[k[at]] / now[k[at]] if now[k[at]] else 0.0 for k, x in fitted.items()}
+    factor = {k: fitted[k] / n if n else None for k, n in cells.items()}
+    top = max((f for f in factor.values() if f is not None), default=0) or 1
+    return [1.0 if factor[k] is None else factor[k] / top for k, _ in kinds]
+
+
+@pytest.mark.parametrize("one_task", [100_000, 0])
+def test_mixing(spark, one_task):
     r = random.Random(2)
-    rows = [(i, "w " * r.randint(1, 50), r.choice(["en", "de"]), "s0" if i % 3 else f"s{i % 5}", 0) for i in range(3000)]
+    kinds = {"prose": "w ", "table": "w | ", "legal": "licence "}
+    rows = []
+    for i in range(600):
+        topic = r.choice(list(kinds))
+        rows.append((i, kinds[topic] * r.randint(0, 30), r.choice(["en", "de", "xx", None]), "s0" if i % 3 else f"s{i % 5}", 0))
+    rows += [(600, None, "en", "blank", 0), (601, "", None, "s0", 0)]
     df = spark.createDataFrame(rows, DOCS)
-    shares = {m: spark.createDataFrame(x, f"{m} string, share double") for m, x in (("_source", [(f"s{k}", 0.2) for k in range(5)]), ("_lang", [("en", 0.7), ("de", 0.3)]), ("_topic", [("prose", 1.0)]))}
-    report = mixing.mixture_report(df, shares=shares)
-    weight = report.selectExpr("source", "lang", "n_tokens * probability as w").groupBy("source").agg({"w": "sum"}).collect()
-    total = sum(x[1] for x in weight)
-    assert all(abs(x[1] / total - 0.2) < 1e-6 for x in weight)
-    assert report.where("probability > 1.000001 or probability < 0").count() == 0
+    shares = {"_source": {f"s{k}": 0.2 for k in range(5)}, "_lang": {"en": 0.5, "de": 0.2, "zz": 0.1}, "_topic": {"prose": 0.5, "table": 0.3, "legal": 0.2}}
+    got = mixing.mixture_report(df, shares=shares, one_task=one_task, tolerance=1e-9).orderBy("doc_id").collect()
+    want = expected_probabilities([(t, g, s, x.topic) for (_, t, g, s, _), x in zip(rows, got, strict=True)], shares)
+    assert all(abs(x.probability - p) < 1e-7 for x, p in zip(got, want, strict=True))
+    assert [x.n_tokens for x in got] == [len((t or "").split()) for _, t, *_ in rows]
+    draws = [int(hashlib.md5(f"{i}:mix".encode()).hexdigest()[:8], 16) / 2**32 for i, *_ in rows]
+    assert all(x.sampled == (d < p) for x, d, p in zip(got, draws, want, strict=True) if abs(d - p) > 1e-6)
+
+
+def test_mixing_reports_its_margins(spark, docs):
+    cells = spark.createDataFrame([("a", "en", "prose", 60), ("a", "de", "prose", 10), ("b", "en", "prose", 20), ("b", "de", "prose", 10)], "_source string, _lang string, _topic string, tokens long")
+    wanted = {m: mixing.targets(cells, m, x) for m, x in {"_source": {"a": 0.5}, "_lang": {"en": 0.3, "de": 0.3}, "_topic": {}}.items()}
+    found = {(r.margin, r.value): (r.target, r.reached) for r in mixing.margins(mixing.raked(cells, wanted), wanted).collect()}
+    assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in found.values()) and math.isclose(found["source", "b"][0], 0.5) and math.isclose(found["lang", "en"][0], 0.5)
+
+
+def test_mixing_edges(spark, docs, empty):
     assert mixing.mixture_report(empty).count() == 0 and mixing.mixture_sample(clashing(docs)).columns == clashing(docs).columns
     assert mixing.mixture_report(docs).count() == docs.count()
+    blank = spark.createDataFrame([(1, None, "en", "s", 0), (1, " ", None, None, 0), (None, "", "en", "s", 0)], DOCS)
+    assert {(r.probability, r.sampled) for r in mixing.mixture_report(blank).collect()} == {(1.0, True)}
+    long = spark.createDataFrame([(1, "w " * 300_000, "en", "src0", 0), (2, "w", "en", "src0", 0), (2, "w", "en", "src0", 0)], DOCS)
+    assert sorted((r.doc_id, r.n_tokens) for r in mixing.mixture_report(long).collect()) == [(1, 300_000), (2, 1), (2, 1)]
 
 
 def test_topic_reads_the_whole_text(spark):
