@@ -110,8 +110,10 @@ def denormalized_edges(edges: DataFrame, nodes: DataFrame, closure: DataFrame |
         edges = edges.drop(*made)
         if is_list(edges, field):
             side = side.withColumnRenamed("_key", "_element")
-            rows = edges.withColumn("_row", F.monotonically_increasing_id())
-            hits = rows.select("_row", F.explode(F.array_distinct(F.col(field))).alias("_element")).join(side, "_element").drop("_element")
+            # a key from the row's own cells, so that a retried task makes the same one; equal rows share their hits
+            rows = edges.withColumn("_row", F.md5(F.to_json(F.struct(*edges.columns))))
+            elements = rows.select("_row", F.explode(F.array_distinct(F.col(field))).alias("_element")).distinct()
+            hits = elements.join(side, "_element").drop("_element")
             edges = rows.join(hits, "_row", "left").drop("_row")
         else:
             edges = edges.join(side, F.col(field) == F.col("_key"), "left").drop("_key")
@@ -186,7 +188,3 @@ def sorted_closure(closure: DataFrame) -> DataFrame:
     """Laid out so that Parquet statistics prune by subject."""
     return closure.repartitionByRange("subject_id").sortWithinPartitions("subject_id", "predicate_id", "object_id")
 
-
-def flattened_lists(df: DataFrame, column: str) -> Column:
-    """The distinct values of a column over a group, list elements counted singly."""
-    return distinct_list(F.flatten(F.collect_list(as_list(df, column))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_deprecated, list_text, present
 from .components import checkpointed, connected_components
+from .reports import first_of_each
 
 BUCKETS = ("LCC", "100+", "10-99", "2-9", "Isolated")
 
@@ -69,8 +70,7 @@ def cc_components(nodes: DataFrame, edges: DataFrame, placed: DataFrame) -> Data
     for c in ("category", "provided_by"):
         if c not in full.columns:
             full = full.withColumn(c, F.lit(None).cast("string"))
-    ids = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("component_id").orderBy("id"))).where("_rank <= 5")
-    samples = ids.groupBy("component_id").agg(F.array_sort(F.collect_list("id")).alias("sample_node_ids"))
+    samples = first_of_each(placed.select("component_id", "id"), ["component_id"], ["id"], 5).groupBy("component_id").agg(F.array_sort(F.collect_list("id")).alias("sample_node_ids"))
     by_node = full.groupBy("component_id").agg(
         F.max("component_size").alias("size"),
         F.count_if("deprecated").alias("deprecated_count"),

@@ -108,12 +108,12 @@ def missing_required(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """``df`` with _n rows of the keys and _rank among them, ordered by ``order`` and then by all cells."""
-    cells = F.xxhash64(*[F.to_json(c) if isinstance(df.schema[c].dataType, (T.MapType,)) else F.col(c) for c in df.columns])
+    """``df`` with _n rows of the keys and _rank among them, ordered by ``order`` and then by all other
+    columns in the order of their names, nulls last; so only equal rows tie."""
+    rest = [F.to_json(c) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c) for c in sorted(df.columns) if c not in (*keys, *order)]
     by = Window.partitionBy(*keys)
-    return df.withColumn("_n", F.count(F.lit(1)).over(by)).withColumn(
-        "_rank", F.row_number().over(by.orderBy(*[F.col(c).asc_nulls_last() for c in order], cells))
-    )
+    ordered = by.orderBy(*[F.col(c).asc_nulls_last() for c in order], *[c.asc_nulls_last() for c in rest]) if order or rest else by.orderBy(*keys)
+    return df.withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_rank", F.row_number().over(ordered))
 
 
 def deduplicate(df: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:

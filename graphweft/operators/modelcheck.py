@@ -69,7 +69,7 @@ def check_prefixes(nodes: DataFrame, catalogue: Catalogue | None = None, example
     rows = nodes.select("id", prefix.alias("prefix"), F.coalesce(_cats(nodes, "category"), F.array().cast("array<string>")).alias("categories"))
     bad = rows.where((F.size(bound) > 0) & ~F.exists(bound, lambda c: F.array_contains(F.try_element_at(have, c), F.col("prefix"))))
     counted = bad.groupBy("prefix", "categories").agg(F.count_distinct("id").alias("count"))
-    from .reports import _first_of_each
+    from .reports import first_of_each
 
-    some = _first_of_each(bad.distinct(), ["prefix", "categories"], ["id"], examples).groupBy("prefix", "categories").agg(F.array_sort(F.collect_list("id")).alias("examples"))
+    some = first_of_each(bad.distinct(), ["prefix", "categories"], ["id"], examples).groupBy("prefix", "categories").agg(F.array_sort(F.collect_list("id")).alias("examples"))
     return counted.join(some, ["prefix", "categories"])

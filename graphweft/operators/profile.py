@@ -86,9 +86,9 @@ def marginals(df: DataFrame, columns: list[str], table: str = "nodes", top: int
     whole = counts.groupBy("column_name").agg(F.sum("count").alias("_all"))
     out = counts.join(whole, "column_name").select(F.lit(table).alias("table_name"), "column_name", "value", "count", (F.col("count") / F.col("_all")).alias("share"))
     if top:
-        from .reports import _first_of_each
+        from .reports import first_of_each
 
-        out = _first_of_each(out.withColumn("_down", -F.col("count")), ["column_name"], ["_down", "value"], top).drop("_down")
+        out = first_of_each(out.withColumn("_down", -F.col("count")), ["column_name"], ["_down", "value"], top).drop("_down")
     return out
 
 

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import as_list, curie_prefix, is_list, list_text, none_if_empty, present
+from ..functions.columns import as_list, curie_prefix, is_list, list_text, present
 from .closure import denormalized_edges
 
 NODE_REPORT = ("category", "provided_by", "namespace", "in_taxon")
-EDGE_REPORT = ("subject_category", "predicate", "object_category", "primary_knowledge_source", "knowledge_level", "agent_type")
+EDGE_REPORT = (
+    "subject_category", "subject_namespace", "predicate", "object_category", "object_namespace", "primary_knowledge_source",
+    "aggregator_knowledge_source", "supporting_data_source", "knowledge_level", "agent_type", "provided_by",
+)
 QUANTILES = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
 
 
@@ -81,7 +86,7 @@ def node_report(nodes: DataFrame, columns: Sequence[str] = NODE_REPORT) -> DataF
     by = present(nodes, columns)
     if not by:
         raise ValueError("none of the columns is there")
-    return counted(nodes, by)
+    return counted(nodes, by).orderBy(F.desc("count"), *by)
 
 
 def with_source_roles(edges: DataFrame) -> DataFrame:
@@ -91,42 +96,50 @@ def with_source_roles(edges: DataFrame) -> DataFrame:
     role = lambda name: F.array_distinct(F.transform(F.filter("sources", lambda s: s["resource_role"] == name), lambda s: s["resource_id"]))
     if "primary_knowledge_source" not in edges.columns:
         edges = edges.withColumn("primary_knowledge_source", F.get(role("primary_knowledge_source"), F.lit(0)))
-    if "aggregator_knowledge_source" not in edges.columns:
-        edges = edges.withColumn("aggregator_knowledge_source", role("aggregator_knowledge_source"))
+    for name in ("aggregator_knowledge_source", "supporting_data_source"):
+        if name not in edges.columns:
+            edges = edges.withColumn(name, role(name))
     return edges
 
 
 def edge_report(
     edges: DataFrame, nodes: DataFrame, columns: Sequence[str] = EDGE_REPORT, sets: Sequence[str] = (), percentiles: Sequence[str] = (), exact: bool = True
 ) -> DataFrame:
-    """Counts by denormalized columns, with each group's share of all edges.
+    """Counts by denormalized columns, with each group's share of all edges, the largest groups first.
 
-    ``sets``: a list of the distinct values, lists flattened, null when none.
-    ``percentiles``: average (3 digits) and quantiles of a number or of a list's
+    ``sets``: a list of the distinct values, lists flattened, null when none; such a column isn't grouped by.
+    ``percentiles``: average (3 digits) and quantiles (9 digits) of a number or of a list's
     length, a null list counting 0. Approximate quantiles don't gather values.
     """
     edges = with_source_roles(edges)
     needed = [c for c in (*columns, *sets, *percentiles)]
     made = [f"{f}_{x}" for f in ("subject", "object") for x in ("category", "label", "namespace", "taxon")]
     full = denormalized_edges(edges, nodes, wanted=list(dict.fromkeys([*edges.columns, *[c for c in made if c in needed and (c != f"{c.split('_')[0]}_taxon" or "in_taxon" in nodes.columns)]])))
-    by = present(full, columns)
+    by = [c for c in present(full, columns) if c not in sets]
     if not by:
         raise ValueError("none of the columns is there")
     out = [F.count(F.lit(1)).alias("count")]
-    out += [none_if_empty(F.array_sort(F.array_compact(F.array_distinct(F.flatten(F.collect_set(as_list(full, c))))))).alias(f"{c}_set") for c in present(full, sets)]
     quantile = F.percentile if exact else F.percentile_approx
     for c in present(full, percentiles):
         value = F.coalesce(F.size(c), F.lit(0)).cast("double") if is_list(full, c) else F.col(c).cast("double")
-        out += [F.round(F.avg(value), 3).alias(f"{c}_avg"), quantile(value, list(QUANTILES)).alias(f"{c}_quantiles")]
+        quantiles = F.transform(quantile(value, list(QUANTILES)), lambda x: F.round(x, 9))
+        out += [F.round(F.avg(value), 3).alias(f"{c}_avg"), quantiles.alias(f"{c}_quantiles")]
     grouped = full.groupBy(*by).agg(*out)
+    for c in present(full, sets):
+        # distinct values first, so that no buffer holds a group's repeated lists
+        values = full.select(*[F.col(x).alias(f"_by{i}") for i, x in enumerate(by)], F.explode(as_list(full, c)).alias("_value")).where("_value is not null").distinct()
+        lists = values.groupBy(*[f"_by{i}" for i in range(len(by))]).agg(F.array_sort(F.collect_set("_value")).alias(f"{c}_set"))
+        same = [F.equal_null(F.col(x), F.col(f"_by{i}")) for i, x in enumerate(by)]
+        grouped = grouped.join(lists, reduce(and_, same), "left").drop(*[f"_by{i}" for i in range(len(by))])
     whole = F.broadcast(grouped.agg(F.sum("count").alias("_all")))  # one row, from the same exchange
-    return grouped.crossJoin(whole).withColumn("proportion", F.col("count") / F.col("_all")).drop("_all")
+    shared = grouped.crossJoin(whole).withColumn("proportion", F.col("count") / F.col("_all")).drop("_all")
+    return shared.orderBy(F.desc("count"), *by)
 
 
 # --- examples -------------------------------------------------------------------
 
 
-def _first_of_each(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+def first_of_each(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` rows of each key. Rows are thinned inside key and hash bin first, so that a hot
     key's rows aren't ranked by one task; ``n`` rows of each bin go on."""
     cells = F.xxhash64(*df.columns) if not any(isinstance(f.dataType, T.MapType) for f in df.schema) else F.lit(0)
@@ -138,9 +151,9 @@ def _first_of_each(df: DataFrame, keys: Sequence[str], order: Sequence[str], n:
 
 
 def node_examples(nodes: DataFrame, n: int = 5, by: str = "category") -> DataFrame:
-    return _first_of_each(nodes, [by], ["id"], n)
+    return first_of_each(nodes, [by], ["id"], n)
 
 
 def edge_examples(edges: DataFrame, nodes: DataFrame, n: int = 5, by: Sequence[str] = ("subject_category", "predicate", "object_category")) -> DataFrame:
     full = denormalized_edges(edges, nodes, wanted=[*edges.columns, "subject_category", "object_category"])
-    return _first_of_each(full, present(full, by), ["subject", "object"], n)
+    return first_of_each(full, present(full, by), ["subject", "object"], n)

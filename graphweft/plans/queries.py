@@ -120,9 +120,12 @@ def duplicate_nodes_archive(g):
     return it.deduplicate(g.nodes)[1].select(NODE_COLS)
 
 
-@query("select id, count(*) as n from (select distinct id from edges) group by id")
+_FIRST = "first as (select * from (select *, row_number() over (partition by id order by file_source nulls last, agent_type nulls last, category nulls last, knowledge_level nulls last, negated nulls last, object nulls last, predicate nulls last, provided_by nulls last, publications nulls last, score nulls last, subject nulls last) as rn from edges) where rn = 1 or id is null)"
+
+
+@query(f"with {_FIRST} select id, subject, predicate, object, category, knowledge_level, agent_type, negated, score, publications, provided_by, file_source from first")
 def dedup_edges(g):
-    return it.deduplicate(g.edges)[0].groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return it.deduplicate(g.edges)[0]
 
 
 @query("select id, predicate, subject, object from edges where id in (select id from edges group by id having count(*) > 1)")
@@ -177,12 +180,10 @@ def singleton_nodes(g):
     return it.split_singletons(g.nodes, g.edges)[1].select("id", "category")
 
 
-@query(f"""with {_DEDUPED}, {_ONE}, first as (select * from (select *, row_number() over (partition by id order by file_source, subject, object, predicate) as rn, count(*) over (partition by id) as cnt from edges)),
-mapped as (select e.predicate, coalesce(s.subject_id, e.subject) as subject, coalesce(o.subject_id, e.object) as object from edges e left join one s on e.subject = s.object_id left join one o on e.object = o.object_id
-  where e.id in (select id from edges group by id having count(*) = 1))
+@query(f"""with {_DEDUPED}, {_ONE}, {_FIRST},
+mapped as (select e.predicate, coalesce(s.subject_id, e.subject) as subject, coalesce(o.subject_id, e.object) as object from first e left join one s on e.subject = s.object_id left join one o on e.object = o.object_id)
 select predicate, count(*) as edges from mapped where subject in (select id from kept) and object in (select id from kept) group by predicate""")
 def merge_pipeline_counts(g):
-    # the SQL leaves edges of repeated ids out, as it can't repeat their rank by all cells; see the README
     merged = it.merge_graph(Graph(g.nodes, g.edges), g.tables["mappings"])
     return merged.edges.groupBy("predicate").agg(F.count(F.lit(1)).alias("edges"))
 
@@ -242,9 +243,9 @@ def denormalized_edges(g):
     return cl.denormalized_edges(g.edges, _n(g), g.tables["closure"], wanted=wanted)
 
 
-@query("""with r as (select id, predicate, list_distinct([subject, object]) as ends from edges where predicate = 'located_in'),
-hits as (select r.id, n.id as nid, n.name from (select id, unnest(ends) as e from r) r join nodes n on r.e = n.id)
-select r.id, r.predicate, h.name as ends_label from r left join hits h on r.id = h.id""")
+@query("""with r as (select row_number() over () as k, id, predicate, list_distinct([subject, object]) as ends from edges),
+hits as (select k, n.name from (select k, unnest(ends) as e from r) x join nodes n on x.e = n.id)
+select r.id, r.predicate, h.name as ends_label from r left join hits h on r.k = h.k""")
 def denormalized_edges_multivalued(g):
     rows = g.edges.select("id", "predicate", F.array("subject", "object").alias("ends"))
     return cl.denormalized_edges(rows, g.nodes, config=cl.Denormalize(fields=(), label_only=("ends",))).select("id", "predicate", "ends_label")
@@ -286,10 +287,10 @@ def closure_size(g):
 # --- reports ---------------------------------------------------------------------------------
 
 
-_DENORM = f"{_DEDUPED}, d as (select e.*, s.category as subject_category, o.category as object_category from edges e left join kept s on e.subject = s.id left join kept o on e.object = o.id)"
+_DENORM = f"{_DEDUPED}, d as (select e.*, s.category as subject_category, o.category as object_category, substr(s.id, 1, instr(s.id, ':') - 1) as subject_namespace, substr(o.id, 1, instr(o.id, ':') - 1) as object_namespace from edges e left join kept s on e.subject = s.id left join kept o on e.object = o.id)"
 
 
-@query(f"""with {_DENORM} select subject_category, predicate, object_category, knowledge_level, agent_type, count(*) as count, count(*) / sum(count(*)) over () as proportion from d group by all""")
+@query(f"""with {_DENORM} select subject_category, subject_namespace, predicate, object_category, object_namespace, knowledge_level, agent_type, provided_by, count(*) as count, count(*) / sum(count(*)) over () as proportion from d group by all""")
 def edge_report(g):
     return rp.edge_report(g.edges, _n(g))
 
@@ -303,7 +304,7 @@ def edge_report_sets(g):
 
 
 @query("""with q as (select predicate, score, [0.0, 0.25, 0.5, 0.75, 0.9, 1.0] as f from edges)
-select predicate, count(*) as count, round(avg(score), 3) as score_avg, quantile_cont(score, [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]) as score_quantiles, count(*) / (select count(*) from edges)::double as proportion
+select predicate, count(*) as count, round(avg(score), 3) as score_avg, list_transform(quantile_cont(score, [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]), lambda x: round(x, 9)) as score_quantiles, count(*) / (select count(*) from edges)::double as proportion
 from q where predicate <> '' group by 1""")
 def edge_report_percentiles(g):
     return rp.edge_report(g.edges, _n(g), columns=["predicate"], percentiles=["score"])
@@ -384,55 +385,74 @@ def profile_marginals(g):
 # --- connectivity ----------------------------------------------------------------------------------
 
 
-# the queries run on the whole graph; the recursive SQL still on a part of it, see the README
-_SPARSE = """nation_edges as (select subject, object, predicate, provided_by from edges where predicate = 'supplies' and score <= 1 and id like '%-1')"""
-
-
-_CC = f"""recursive {_DEDUPED}, vertices as materialized (select * from kept where category in ('Part', 'Supplier')), {_SPARSE},
-links as materialized (select subject as u, object as v from nation_edges where subject in (select id from vertices) and object in (select id from vertices)),
+def _component_sql(rounds: int = 12) -> str:
+    """Least labels over all edges between nodes: in each round the least of the neighbours' labels, then that label's own label."""
+    steps = [
+        f"""b{k} as materialized (select id, min(r) as r from (select id, r from l{k} union all select t.u, l.r from twoway t join l{k} l on t.v = l.id) group by id),
+l{k + 1} as materialized (select x.id, y.r from b{k} x join b{k} y on x.r = y.id)"""
+        for k in range(rounds)
+    ]
+    return f"""{_DEDUPED}, vertices as materialized (select * from kept where id is not null),
+links as materialized (select distinct subject as u, object as v from edges where subject in (select id from vertices) and object in (select id from vertices)),
 twoway as materialized (select u, v from links union select v, u from links),
-reach(id, root) as (select id, id from vertices where id in (select u from twoway) union select b.v, r.root from reach r join twoway b on r.id = b.u),
-roots as materialized (select v.id, coalesce(min(r.root), v.id) as root from vertices v left join reach r on v.id = r.id group by v.id),
+l0 as (select id, id as r from vertices), {", ".join(steps)},
+roots as materialized (select id, r as root from l{rounds}),
 sizes as materialized (select root, count(*) as component_size from roots group by root),
 ranked as materialized (select root, component_size, row_number() over (order by component_size desc, root) - 1 as component_id from sizes),
 placed as materialized (select id, component_id, component_size from roots join ranked on roots.root = ranked.root)"""
 
 
+_CC = _component_sql()
+_CC_ROWS = f"""{_CC}, s as (select component_id, max(component_size) as size from placed group by 1),
+d as (select component_id, count(*) filter (where coalesce(name like 'obsolete%', false)) as deprecated_count, count(distinct category) as n_categories, count(distinct provided_by) as n_provided_by from placed join vertices on placed.id = vertices.id group by 1),
+m as (select component_id, category from (select component_id, category, row_number() over (partition by component_id order by count(*) desc, category) as r from placed join vertices on placed.id = vertices.id where category is not null group by 1, 2) where r = 1),
+e as (select component_id, sum(n)::bigint as edge_count, count(*) as source_count from (select component_id, provided_by, predicate, count(*) as n from edges join placed on placed.id = subject where component_size > 1 group by all) group by 1),
+x as (select component_id, list_sort(list(id))[1:5] as sample_node_ids from placed group by 1),
+rows as (select s.component_id, s.size, d.deprecated_count, m.category as main_category, d.n_categories, d.n_provided_by, x.sample_node_ids, coalesce(e.edge_count, 0)::bigint as edge_count, coalesce(e.source_count, 0)::bigint as source_count,
+case when size = (select max(size) from s) then 'LCC' when size >= 100 then '100+' when size >= 10 then '10-99' when size >= 2 then '2-9' else 'Isolated' end as bucket
+from s join d on s.component_id = d.component_id join x on s.component_id = x.component_id left join m on s.component_id = m.component_id left join e on s.component_id = e.component_id)"""
+
+
 @query(f"with {_CC} select id, component_id, component_size from placed")
 def connected_components(g):
     return cc.node_components(_n(g), g.edges)
 
 
-@query(f"with {_CC} select component_id, provided_by, predicate, count(*) as edge_count from nation_edges join placed on id = subject where component_size > 1 group by all")
+@query(f"with {_CC} select p.id, component_id, component_size, category, name, coalesce(name like 'obsolete%', false) as deprecated from placed p join vertices v on p.id = v.id")
+def cc_nodes(g):
+    nodes = _n(g)
+    return cc.cc_nodes(nodes, cc.node_components(nodes, g.edges)).select("id", "component_id", "component_size", "category", "name", "deprecated")
+
+
+@query(f"with {_CC} select component_id, provided_by, predicate, count(*) as edge_count from edges join placed on placed.id = subject where component_size > 1 group by all")
 def cc_component_sources(g):
     nodes, edges = _n(g), g.edges
     return cc.cc_component_sources(edges, cc.node_components(nodes, edges))
 
 
-@query(f"""with {_CC}, s as (select component_id, max(component_size) as size from placed group by 1),
-d as (select component_id, count(*) filter (where coalesce(name like 'obsolete%', false)) as deprecated_count, count(distinct category) as n_categories from placed join vertices on placed.id = vertices.id group by 1),
-e as (select component_id, count(*) as edge_count from nation_edges join placed on id = subject where component_size > 1 group by 1),
-x as (select component_id, list_sort(list(id))[1:5] as sample_node_ids from placed group by 1)
-select s.component_id, s.size, d.deprecated_count, d.n_categories, coalesce(e.edge_count, 0) as edge_count, x.sample_node_ids,
-case when size = (select max(size) from s) then 'LCC' when size >= 100 then '100+' when size >= 10 then '10-99' when size >= 2 then '2-9' else 'Isolated' end as bucket
-from s join d on s.component_id = d.component_id join x on s.component_id = x.component_id left join e on s.component_id = e.component_id""")
+@query(f"with {_CC_ROWS} select * from rows")
 def cc_components(g):
     nodes, edges = _n(g), g.edges
-    found = cc.cc_components(nodes, edges, cc.node_components(nodes, edges))
-    return found.select("component_id", "size", "deprecated_count", "n_categories", "edge_count", "sample_node_ids", "bucket")
+    return cc.cc_components(nodes, edges, cc.node_components(nodes, edges))
 
 
-@query(f"""with {_CC}, s as (select component_id, max(component_size) as size from placed group by 1)
-select sum(size)::bigint as nodes, count(*) as components, count(*) filter (where size = 1) as singletons, max(size) as largest, round(max(size) / sum(size), 6) as lcc_fraction from s""")
+@query(f"""with {_CC_ROWS} select sum(size)::bigint as nodes, count(*) as components, count(*) filter (where size = 1) as singletons, sum(deprecated_count)::bigint as deprecated,
+max(size) as largest, round(max(size) / sum(size), 6) as lcc_fraction from rows""")
 def connectivity_summary(g):
     nodes, edges = _n(g), g.edges
-    return cc.connectivity_summary(cc.cc_components(nodes, edges, cc.node_components(nodes, edges))).drop("deprecated")
+    return cc.connectivity_summary(cc.cc_components(nodes, edges, cc.node_components(nodes, edges)))
+
+
+@query(f"with {_CC_ROWS} select bucket, count(*) as components, sum(size)::bigint as nodes from rows group by 1")
+def cc_buckets(g):
+    nodes, edges = _n(g), g.edges
+    return cc.bucket_distribution(cc.cc_components(nodes, edges, cc.node_components(nodes, edges)))
 
 
-@query(f"""with {_CC}, big as (select id from placed where component_size >= 3) select e.subject, e.object from nation_edges e join big on e.subject = big.id where e.object in (select id from vertices)""")
+@query(f"""with {_CC}, big as (select id from placed where component_size >= 3) select e.id, e.subject, e.predicate, e.object from edges e join big on e.subject = big.id where e.object in (select id from vertices)""")
 def prune_small_components(g):
     nodes, edges = _n(g), g.edges
-    return it.prune_graph(Graph(nodes, edges), min_component=3).edges.select("subject", "object")
+    return it.prune_graph(Graph(nodes, edges), min_component=3).edges.select("id", "subject", "predicate", "object")
 
 
 # --- model check and lookups --------------------------------------------------------------------------
@@ -493,9 +513,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {}
-    for n, sql in _SQL.items():
-        recursive = sql.strip().startswith("with recursive")
-        text = fixture.with_views(sql.replace("with recursive ", "with ", 1) if recursive else sql)
-        out[n] = text.replace("with ", "with recursive ", 1) if recursive else text
-    return out
+    return {n: fixture.with_views(sql) for n, sql in _SQL.items()}

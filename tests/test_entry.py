@@ -9,7 +9,6 @@ from graphweft.plans import fixture
 from graphweft.plans import queries as core
 
 DIR = "/root/testdata/sf0.001"
-SLOW = {"cc_components", "cc_component_sources", "connectivity_summary", "prune_small_components"}
 
 
 def normal(x):
@@ -27,7 +26,7 @@ def con():
 
 
 @pytest.mark.skipif(not Path(DIR).exists(), reason="no test data")
-@pytest.mark.parametrize("name", sorted(set(core.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(core.queries()))
 def test_query(spark, con, name):
     df = core.queries()[name](spark, DIR)
     columns = sorted(df.columns)
