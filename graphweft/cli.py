@@ -74,7 +74,7 @@ def main(argv: list[str] | None = None) -> None:
     elif c == "transform":
         from .ingest import runner
 
-        out = {str(t): "written" for t in runner.run(spark, runner.load_config(a.files[0]), output=a.output)}
+        out = {str(t): "written" for t in runner.run(spark, runner.config_of(a.files[0], a.files[1:]) if a.files[0].endswith(".py") else runner.load_config(a.files[0]), output=a.output)}
     else:
         graph = op.graph_of(spark, a.store, a.files)
         if c == "report":

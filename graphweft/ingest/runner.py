@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import importlib.util
+import inspect
 import json
+import os
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -13,17 +15,17 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import RowFilter, filtered
 from ..model import Graph
-from ..operators.lookup import mapping_table
-from ..sources.readers import CsvFormat, read_csv, read_json, read_jsonl, read_yaml
+from ..operators.lookup import looked_up, mapped_on_write, mapping_table
+from ..sources.readers import CsvFormat, parsed_json, read_csv, read_json, read_jsonl, read_mappings, read_yaml, require_paths
 from ..sources.sinks import write_nodes_and_edges
 
 # --- hooks -------------------------------------------------------------------
 
 
 def _hook(kind: str):
-    def mark(tag: str | Callable | None = None):
-        def add(f: Callable, own: str | None = None) -> Callable:
-            f._ingest_hook = (kind, own)
+    def mark(tag: str | Sequence[str] | Callable | None = None):
+        def add(f: Callable, own: str | Sequence[str] | None = None) -> Callable:
+            f._ingest_hook = (kind, (own,) if own is None or isinstance(own, str) else tuple(own))
             return f
 
         return add(tag) if callable(tag) else lambda f: add(f, tag)
@@ -53,8 +55,8 @@ def hooks_of(module) -> dict[str | None, Hooks]:
     """The decorated functions of a module, by tag."""
     found: dict[str | None, Hooks] = {}
     for f in vars(module).values():
-        kind, tag = getattr(f, "_ingest_hook", (None, None))
-        if kind:
+        kind, tags = getattr(f, "_ingest_hook", (None, ()))
+        for tag in tags:
             getattr(found.setdefault(tag, Hooks()), kind).append(f)
     return found
 
@@ -109,7 +111,7 @@ def records_to_graph(df: DataFrame, functions: Sequence[Callable], node_schema:
     for kind, schema in (("nodes", node_schema), ("edges", edge_schema)):
         own = rows.where(F.col("kind") == kind).select("entity")
         if schema is None:
-            found = df.sparkSession.read.json(own.rdd.map(lambda r: r["entity"]))
+            found = parsed_json(own)
             made[kind] = found if found.columns else None
         else:
             made[kind] = own.select(F.from_json("entity", schema).alias("e")).select("e.*")
@@ -124,8 +126,6 @@ class _Loader(yaml.SafeLoader):
 
 
 def _include(loader, node):
-    import os
-
     with open(os.path.join(os.path.dirname(loader.name), loader.construct_scalar(node))) as f:
         return yaml.load(f, _Loader)
 
@@ -171,6 +171,8 @@ def read_source(spark: SparkSession, reader: dict) -> DataFrame:
 
         read = {"jsonl": lambda f: read_jsonl(spark, f), "json": lambda f: read_json(spark, f, reader.get("json_path") or ()), "yaml": lambda f: read_yaml(spark, f, reader.get("json_path") or ())}[kind]
         df = union_by_name([read(f) for f in files])
+    if reader.get("required_properties"):
+        df = require_paths(df, reader["required_properties"])
     rows = [RowFilter(x["column"], x.get("filter_code", "eq"), x["value"], x.get("inclusion", "include") == "include") for x in reader.get("filters", ())]
     df = filtered(df, rows)
     return df.limit(reader["limit"]) if reader.get("limit") else df
@@ -185,27 +187,85 @@ def mappings_of(spark: SparkSession, config: dict) -> dict[str, dict[str, DataFr
     return out
 
 
+@dataclass(frozen=True)
+class Context:
+    """What hooks get besides their frame: the configuration, its metadata, the mappings, and a dictionary of their own.
+
+    ``state`` lives on the driver for the whole run; executors don't share it, so
+    what is gathered over records is an aggregate of a frame.
+    """
+
+    config: dict
+    mappings: dict[str, dict[str, DataFrame]]
+    state: dict = field(default_factory=dict)
+
+    @property
+    def metadata(self) -> dict:
+        return self.config.get("metadata") or {}
+
+    def lookup(self, df: DataFrame, column: str, maps: Sequence[str], value: str, into: str, on_failure: str = "warning") -> DataFrame:
+        """``into``: ``column`` translated by the first of the named maps that has it; see ``looked_up``."""
+        return looked_up(df, column, [self.mappings[m][value] for m in maps], into, on_failure)
+
+
+def _called(f: Callable, context: Context, *frames: DataFrame):
+    """A hook takes its frames, if any, and after them the context if it has room for it."""
+    room = len(inspect.signature(f).parameters) > len(frames)
+    return f(*frames, context) if room else f(*frames)
+
+
+def _written(context: Context, spark: SparkSession, graph: Graph, output: str, name: str) -> None:
+    writer = context.config.get("writer") or {}
+    edges, sssom = graph.edges, writer.get("sssom")
+    if sssom and edges is not None:
+        edges = mapped_on_write(edges, read_mappings(spark, sssom["files"]), sssom.get("subject_target_prefixes") or (), sssom.get("object_target_prefixes") or ())
+    nodes, edges = (with_properties(df, writer.get(p)) for df, p in ((graph.nodes, "node_properties"), (edges, "edge_properties")))
+    limits = {t: (writer.get(f"min_{t[:-1]}_count"), writer.get(f"max_{t[:-1]}_count")) for t in ("nodes", "edges")}
+    write_nodes_and_edges(nodes, edges, output, name, writer.get("format", "tsv"), writer.get("dedupe_nodes", True), limits)
+
+
+def with_properties(df: DataFrame | None, properties: Sequence[str] | None) -> DataFrame | None:
+    """Just the listed columns, in a fixed header: those that are missing are null."""
+    if df is None or not properties:
+        return df
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in properties])
+
+
 def run(spark: SparkSession, config: dict, module=None, output: str | None = None) -> dict[str | None, Graph]:
-    """Run a configuration: for each tagged reader, prepare, transform and, with ``output``, write."""
+    """Run a configuration: for each tagged reader, look up, prepare, transform and, with ``output``, write.
+
+    A reader's ``lookups`` (column, maps, value, into, on_failure) are made before
+    the hooks, so record transforms find them as columns. ``writer.sssom`` maps edge
+    ends by exact match, and ``node_properties`` and ``edge_properties`` fix the header.
+    """
     module = module or module_at(config["transform"]["code"])
     readers = config.get("readers") or {None: config["reader"]}
+    context = Context(config, mappings_of(spark, config))
     found, out = hooks_of(module), {}
     for tag, reader in readers.items():
         hooks = found.get(tag) or found.get(None) or Hooks()
         hooks.check()
         df = read_source(spark, reader)
+        for x in reader.get("lookups") or ():
+            df = context.lookup(df, x["column"], x["maps"], x["value"], x["into"], x.get("on_failure", "warning"))
         for f in hooks.begin:
-            f(config)
+            _called(f, context)
         for f in hooks.prepare:
-            df = f(df)
-        graph = hooks.transform[0](df) if hooks.transform else records_to_graph(df, hooks.record)
+            df = _called(f, context, df)
+        graph = _called(hooks.transform[0], context, df) if hooks.transform else records_to_graph(df, hooks.record)
         for f in hooks.end:
-            f(config)
+            _called(f, context)
         out[tag] = graph
         if output:
-            writer = config.get("writer") or {}
-            limits = {t: (writer.get(f"min_{t[:-1]}_count"), writer.get(f"max_{t[:-1]}_count")) for t in ("nodes", "edges")}
-            write_nodes_and_edges(graph.nodes, graph.edges, output, config.get("name", "ingest") + (f"_{tag}" if tag else ""), writer.get("format", "tsv"), writer.get("dedupe_nodes", True), limits)
+            _written(context, spark, graph, output, config.get("name", "ingest") + (f"_{tag}" if tag else ""))
     return out
 
 
+def config_of(code: str, files: Sequence[str], name: str | None = None) -> dict:
+    """A configuration from a transform's file and the input files alone: format and delimiter by the files' endings."""
+    ending = next(e for f in files for e in (os.path.splitext(f.removesuffix(".gz").removesuffix(".bz2"))[1],))
+    kinds = {".jsonl": "jsonl", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".csv": "csv", ".tsv": "csv", ".txt": "csv"}
+    if ending not in kinds:
+        raise ValueError(f"no format known for {files[0]}")
+    reader = {"files": list(files), "format": kinds[ending], "delimiter": "," if ending == ".csv" else "\t"}
+    return {"name": name or os.path.splitext(os.path.basename(code))[0], "reader": reader, "transform": {"code": code}}

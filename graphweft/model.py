@@ -8,7 +8,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame
 
-NODE_COLUMNS = ("id", "category", "name", "description", "provided_by", "in_taxon", "file_source")
+NODE_COLUMNS = ("id", "category", "name", "description", "xref", "provided_by", "synonym", "in_taxon", "file_source")
 EDGE_COLUMNS = ("subject", "predicate", "object", "category", "provided_by", "original_subject", "original_predicate", "original_object", "file_source")
 MULTIVALUED = frozenset(("category", "synonym", "xref", "publications", "has_evidence", "aggregator_knowledge_source", "qualifiers"))
 

@@ -18,7 +18,7 @@ from ..operators import modelcheck as mc
 from ..operators import profile as pf
 from ..operators import reports as rp
 from ..operators.catalogue import Catalogue
-from . import fixture
+from . import files, fixture
 
 Query = Callable[[Graph], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -509,8 +509,8 @@ def export_tsv_cells(g):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: (lambda spark, sf_dir, f=f: f(fixture.graph(spark, sf_dir))) for n, f in _QUERIES.items()}
+    return {n: (lambda spark, sf_dir, f=f: f(fixture.graph(spark, sf_dir))) for n, f in _QUERIES.items()} | files.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: fixture.with_views(sql) for n, sql in _SQL.items()}
+    return {n: fixture.with_views(sql) for n, sql in _SQL.items()} | files.oracle_sql()

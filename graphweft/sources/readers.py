@@ -8,6 +8,7 @@ import os
 import shutil
 import tarfile
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
@@ -103,6 +104,22 @@ def _at(data, path: Sequence[str]) -> list[dict]:
     return rows
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new path below ``spark.checkpoint.dir``; below a folder of our own only where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphweft-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def parsed_json(lines: DataFrame) -> DataFrame:
+    """The records of a one-column frame of JSON texts, with the schema that all of them together have."""
+    path = shared_folder(lines.sparkSession, "json")
+    lines.write.text(path)
+    return lines.sparkSession.read.json(path)
+
+
 def read_yaml(spark: SparkSession, path: str, at: Sequence[str] = ()) -> DataFrame:
     """The records of YAML documents, each parsed by the task that reads it."""
     import json
@@ -115,7 +132,7 @@ def read_yaml(spark: SparkSession, path: str, at: Sequence[str] = ()) -> DataFra
                 yield pd.DataFrame({"value": [json.dumps(r, default=str) for r in _at(yaml.safe_load(text), at)]})
 
     lines = spark.read.text(path, wholetext=True).mapInPandas(parse, "value string")
-    return spark.read.json(lines.rdd.map(lambda r: r["value"]))
+    return parsed_json(lines)
 
 
 def read_json(spark: SparkSession, path: str, at: Sequence[str] = ()) -> DataFrame:
@@ -129,7 +146,11 @@ def read_json(spark: SparkSession, path: str, at: Sequence[str] = ()) -> DataFra
 
 
 def require_paths(df: DataFrame, paths: Sequence[str]) -> DataFrame:
-    """``df``, failing as it is read on a row that lacks one of the dotted paths."""
+    """``df``, failing as it is read on a row that lacks one of the dotted paths.
+
+    A key that is there with a null value can't be told from an absent one once records are
+    rows, so both fail.
+    """
     first = df.columns[0]
     for p in paths:
         if p.split(".")[0] not in df.columns:
