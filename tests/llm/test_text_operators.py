@@ -359,7 +359,7 @@ def test_scores(docs, texts, empty):
     for i, t in tokens.items():
         assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (held[i], len(t), sum(counts[w] > 0 for w in t), n)
         assert math.isclose(got[i].base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
-        assert got[i].score < 0 and math.isfinite(got[i].open_score)
+        assert got[i].score < 0 and math.isfinite(got[i].score)
     assert lmscore.scores(empty).count() == 0
 
 
@@ -375,11 +375,66 @@ def test_spelling_is_a_distribution():
     assert model.log_probability([b"w12"])[0] > model.log_probability([b"qqq"])[0]
 
 
-def test_seats():
-    rng = np.random.default_rng(1)
-    c = np.array([0, 1, 2, 1000, 100_000])
-    t = lmscore.seated(c, np.full(5, 5.0), 0.5, rng)
-    assert t[0] == 0 and t[1] == 1 and (t <= c).all() and (t[1:] >= 1).all() and t[4] > t[3]
+def test_seats_follow_their_conditional():
+    """Tables of a dish against the enumeration of all seatings of its customers."""
+    d, a, c = 0.3, 0.7, 5
+    chance = Counter({(1,): 1.0})
+    for _ in range(c - 1):
+        after = Counter()
+        for sizes, p in chance.items():
+            after[(*sizes, 1)] += p * a
+            for k, n in enumerate(sizes):
+                after[(*sizes[:k], n + 1, *sizes[k + 1 :])] += p * (n - d)
+        chance = after
+    want = Counter()
+    for sizes, p in chance.items():
+        want[len(sizes)] += p / sum(chance.values())
+    got = np.bincount(lmscore.seated(np.full(200_000, c), np.full(200_000, a), d, np.random.default_rng(1)), minlength=c + 1) / 200_000
+    assert all(abs(got[t] - want[t]) < 0.005 for t in range(1, c + 1))
+    many = lmscore.seated(np.array([0, 1, 2, 1000, 100_000]), np.full(5, 5.0), 0.5, np.random.default_rng(1))
+    assert many[0] == 0 and many[1] == 1 and (many[1:] >= 1).all() and many[4] > many[3]
+
+
+def test_word_probabilities_sum_to_one():
+    from types import SimpleNamespace
+
+    r = random.Random(4)
+    words = sorted({f"w{i}".encode() for i in range(60)} | {b""})
+    wide = 6
+    counts = Counter((r.randrange(50), min(r.randrange(12), wide - 1)) for _ in range(4000))
+    # every word in every context, unseen ones too; the last ten words are unknown to the training tokens
+    keys = np.arange(len(words) * wide)
+    n = np.array([counts[divmod(int(k), wide)] for k in keys], "<u4")
+    row = SimpleNamespace(range=0, words=lmscore._squeezed(words), n_words=len(words), keys=lmscore._steps(keys), n=lmscore._pressed(n))
+    state = lmscore.State(3, (0.4, 0.7), np.full(wide - 1, 90.0), 800.0, 60.0, lmscore.Spelling.prior())
+    s = lmscore.seating(row, state, wide)
+    again = lmscore.seating(row, state, wide)
+    assert (s.tables == again.tables).all() and (s.context_tables == again.context_tables).all()
+    own = s.context < wide - 1
+    totals = np.bincount(s.context[own], weights=s.context_tables[own], minlength=wide - 1)
+    customers = np.bincount(s.context[own], weights=s.n[own], minlength=wide - 1)
+    state.after = lmscore.State(4, (0.4, 0.7), totals, s.customers.sum(), s.tables.sum(), state.spelling)
+    state.known = s.spelled[s.count > 0].sum()
+    s, p, follows = lmscore.predictive(row, state, customers)
+    one_unknown = int(np.flatnonzero(s.count == 0)[0])  # all unknown words are one type
+    use = (s.count > 0) | (np.arange(len(words)) == one_unknown)
+    assert math.isclose(p[use].sum(), 1, rel_tol=1e-9)
+    for k in range(wide):
+        assert math.isclose(follows[(s.context == k) & use[s.word]].sum(), 1, rel_tol=1e-9)
+
+
+def test_contexts_tell_texts_apart(spark):
+    """Words in an order that was learned are likelier than the same words in another."""
+    r = random.Random(8)
+    texts = [" ".join(x for k in r.choices(range(20), k=60) for x in (f"a{k}", f"b{k}")) for _ in range(80)]
+    split = [" ".join(t.split(" ")[::2] + t.split(" ")[1::2]) for t in texts]
+    rows = [*enumerate(texts), *((1000 + i, s) for i, s in enumerate(split))]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    df = spark.createDataFrame([(i, t) for i, t in rows if i < 1000 or i in held], "doc_id long, text string")
+    got = {x.doc_id: x.score / x.n_tokens for x in lmscore.scores(df).collect()}
+    known = [v for i, v in got.items() if i < 1000 and i in held]
+    mixed = [v for i, v in got.items() if i >= 1000]
+    assert min(known) > max(mixed)
 
 
 # --- chat ------------------------------------------------------------------------------------
