@@ -1,20 +1,24 @@
 """Chat formatting by a template compiler.
 
-``compile_template`` parses a small sandboxed template language into a syntax
-tree, folds constants and returns a Python closure that renders one part of a
-conversation as (text, is_loss) pieces. The language:
+``compile_stream`` parses a small sandboxed template language into a syntax
+tree, folds constants and returns a Python closure that renders a whole
+conversation as a stream of (text, is_loss) pieces. The language:
 
 * ``{{ expression }}`` writes an expression; ``{% if e %} .. {% elif e %} ..
   {% else %} .. {% endif %}`` chooses; ``{% set name = e %}`` binds a name;
-  ``{% generation %} .. {% endgeneration %}`` marks what is learned.
-* Expressions: string and whole-number literals, true, false, names, ``==``
-  ``!=`` ``and`` ``or`` ``not``, ``+`` for strings or numbers, parentheses, and
+  ``{% for name in e %} .. {% endfor %}`` goes through a list, with the names
+  ``loop_first`` and ``loop_last``; ``{% generation %} .. {% endgeneration %}``
+  marks what is learned.
+* Expressions: string and whole-number literals, true, false, names, ``e['key']``,
+  ``==`` ``!=`` ``and`` ``or`` ``not``, ``+`` for strings or numbers, parentheses, and
   the filters ``|escape``, ``|upper``, ``|lower``, ``|trim``, ``|length``.
 
-Nothing else can be named: no attributes, calls, loops or imports.
+Nothing else can be named: no attributes, calls or imports.
 
-Conversations are rendered turn by turn from rows sorted within partitions by
-(conv_id, turn), so a conversation of any length streams through a task.
+The template's ``messages`` are read as they come from rows sorted within
+partitions by (conv_id, turn), and its pieces leave in chunks, so a conversation of
+any length streams through a task; one look ahead tells the last message. What
+reads back is parsed from the chunks joined, wherever they are cut.
 Control strings inside texts are escaped reversibly: a backslash doubles, and a
 ``\\!`` is put inside each control string. Null texts and roles are empty.
 Turns with one number keep an order by role and text; a null turn comes first,
@@ -27,6 +31,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,16 +44,19 @@ CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<<ROLE:",
 
 #: Every turn has an opening and a closing mark, whatever its role.
 TEMPLATE = (
-    "{% if first %}<s>{% endif %}"
-    "{% if role == 'user' %}[INST] {{ text|escape }} [/INST]"
-    "{% elif role == 'system' %}<<SYS>>{{ text|escape }}<</SYS>>"
-    "{% elif role == 'assistant' %} {% generation %}{{ text|escape }}{% endgeneration %}</s>"
-    "{% else %}<<ROLE:{{ role|escape }}:ROLE>>[INST] {{ text|escape }} [/INST]{% endif %}"
+    "<s>{% for m in messages %}"
+    "{% if m['role'] == 'user' %}[INST] {{ m['text']|escape }} [/INST]"
+    "{% elif m['role'] == 'system' %}<<SYS>>{{ m['text']|escape }}<</SYS>>"
+    "{% elif m['role'] == 'assistant' %} {% generation %}{{ m['text']|escape }}{% endgeneration %}</s>"
+    "{% else %}<<ROLE:{{ m['role']|escape }}:ROLE>>[INST] {{ m['text']|escape }} [/INST]{% endif %}"
+    "{% endfor %}"
 )
+#: Characters of a conversation that leave together, or one longer piece.
+CHUNK = 1 << 16
 
-Pieces = list[tuple[str, bool]]
+Pieces = Iterator[tuple[str, bool]]
 _MARK = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.S)
-_TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*')|(\d+)|([A-Za-z_]\w*)|(==|!=|[|+()]))")
+_TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*')|(\d+)|([A-Za-z_]\w*)|(==|!=|[][|+()]))")
 _UNESCAPE = {"\\\\": "\\", "\\'": "'", "\\n": "\n", "\\t": "\t"}
 
 
@@ -58,7 +66,7 @@ class TemplateError(ValueError):
 
 @dataclass
 class Node:
-    """A syntax tree node: constant, name, unary, binary, filter; text, write, if, set, generation."""
+    """A syntax tree node: constant, name, item, unary, binary, filter; text, write, if, set, for, generation."""
 
     kind: str
     value: object = None
@@ -129,8 +137,18 @@ class _Expressions:
     def sum(self) -> Node:
         return self._chain(self.filtered, "+")
 
-    def filtered(self) -> Node:
+    def item(self) -> Node:
         node = self.atom()
+        while self.take("["):
+            kind, key = self.peek()
+            self.at += 1
+            if kind != "string" or not self.take("]"):
+                raise TemplateError("only a string in brackets can be asked for")
+            node = Node("item", key[1:-1], [node])
+        return node
+
+    def filtered(self) -> Node:
+        node = self.item()
         while self.take("|"):
             kind, name = self.peek()
             if kind != "name" or name not in FILTERS:
@@ -179,6 +197,14 @@ def parse(source: str) -> list[Node]:
             branch = []
             node.children.append((_Expressions(rest).whole() if word == "elif" else Node("constant", True), branch))
             stack[-1] = ("if", branch, node)
+        elif word == "for":
+            name, _, rest = rest.strip().partition(" ")
+            inside, _, value = rest.strip().partition(" ")
+            if inside != "in" or not name.isidentifier():
+                raise TemplateError(f"can't read {m[0]!r}")
+            new = Node("for", (name, _Expressions(value).whole()))
+            body.append(new)
+            stack.append(("for", new.children, new))
         elif word == "generation":
             new = Node("generation")
             body.append(new)
@@ -210,7 +236,7 @@ def fold(node: Node) -> Node:
     node = Node(node.kind, node.value, parts)
     if node.value in ("and", "or") and parts[0].kind == "constant":
         return parts[1] if bool(parts[0].value) == (node.value == "and") else parts[0]
-    if all(x.kind == "constant" for x in parts):
+    if node.kind != "item" and all(x.kind == "constant" for x in parts):
         return Node("constant", _expression(node)({}))
     return node
 
@@ -233,6 +259,8 @@ def fold_body(body: list[Node]) -> list[Node]:
             add(Node("set", node.value, [fold(node.children[0])]))
         elif node.kind == "generation":
             add(Node("generation", None, fold_body(node.children)))
+        elif node.kind == "for":
+            add(Node("for", (node.value[0], fold(node.value[1])), fold_body(node.children)))
         elif node.kind == "if":
             branches = []
             for condition, inner in node.children:
@@ -266,6 +294,16 @@ def _expression(node: Node) -> Callable[[dict], object]:
 
         return named
     parts = [_expression(x) for x in node.children]
+    if node.kind == "item":
+        key, own = node.value, parts[0]
+
+        def item(names: dict) -> object:
+            value = own(names)
+            if not isinstance(value, dict) or key not in value:
+                raise TemplateError(f"no {key!r}")
+            return value[key]
+
+        return item
     if node.kind == "filter":
         f, own = FILTERS[node.value], parts[0]
         return lambda names: f(own(names))
@@ -281,130 +319,184 @@ def _expression(node: Node) -> Callable[[dict], object]:
     return lambda names: f(left(names), right(names))
 
 
-def _body(body: list[Node], learned: bool) -> Callable[[dict, Pieces], None]:
+def _body(body: list[Node], learned: bool) -> Callable[[dict], Pieces]:
     steps = [_step(x, learned) for x in body]
 
-    def run(names: dict, out: Pieces) -> None:
+    def run(names: dict) -> Pieces:
         for step in steps:
-            step(names, out)
+            yield from step(names)
 
     return run
 
 
-def _step(node: Node, learned: bool) -> Callable[[dict, Pieces], None]:
+def _step(node: Node, learned: bool) -> Callable[[dict], Pieces]:
     if node.kind == "text":
-        piece = (node.value, learned)
-        return lambda names, out: out.append(piece)
+        piece = ((node.value, learned),)
+        return lambda names: piece
     if node.kind == "write":
         e = _expression(node.children[0])
-        return lambda names, out: out.append((str(e(names)), learned))
+        return lambda names: ((str(e(names)), learned),)
     if node.kind == "set":
         name, e = node.value, _expression(node.children[0])
-        return lambda names, out: names.__setitem__(name, e(names))
+
+        def bind(names: dict) -> Pieces:
+            names[name] = e(names)
+            return ()
+
+        return bind
     if node.kind == "generation":
         return _body(node.children, True)
+    if node.kind == "for":
+        name, every, inner = node.value[0], _expression(node.value[1]), _body(node.children, learned)
+
+        def loop(names: dict) -> Pieces:
+            values, end = iter(every(names)), object()
+            outer = {k: names[k] for k in (name, "loop_first", "loop_last") if k in names}
+            first, now = True, next(values, end)
+            while now is not end:
+                after = next(values, end)
+                names.update({name: now, "loop_first": first, "loop_last": after is end})
+                yield from inner(names)
+                first, now = False, after
+            for k in (name, "loop_first", "loop_last"):
+                names.pop(k, None)
+            names.update(outer)
+
+        return loop
     branches = [(_expression(c), _body(b, learned)) for c, b in node.children]
 
-    def choose(names: dict, out: Pieces) -> None:
+    def choose(names: dict) -> Pieces:
         for condition, inner in branches:
             if condition(names):
-                return inner(names, out)
-        return None
+                return inner(names)
+        return ()
 
     return choose
 
 
-def compile_template(source: str) -> Callable[[dict], Pieces]:
-    """A closure from names to (text, is_loss) pieces."""
+def compile_stream(source: str) -> Callable[[dict], Pieces]:
+    """A closure from names to a stream of (text, is_loss) pieces."""
     run = _body(fold_body(parse(source)), False)
+    return lambda names: run(dict(names))
 
-    def render(names: dict) -> Pieces:
-        out: Pieces = []
-        run(dict(names), out)
-        return out
 
-    return render
+def compile_template(source: str) -> Callable[[dict], list[tuple[str, bool]]]:
+    """The same, with all pieces at once."""
+    run = compile_stream(source)
+    return lambda names: list(run(names))
 
 
 # --- conversations -----------------------------------------------------------
 
 _TURN = re.compile(
-    r"(?:<s>)?(?:<<ROLE:(?P<role>.*?):ROLE>>)?(?:\[INST\] (?P<user>.*?) \[/INST\]|<<SYS>>(?P<system>.*?)<</SYS>>| (?P<assistant>.*?)</s>)", re.S
+    r"(?:<<ROLE:(?P<role>.*?):ROLE>>)?(?:\[INST\] (?P<user>.*?) \[/INST\]|<<SYS>>(?P<system>.*?)<</SYS>>| (?P<assistant>.*?)</s>)", re.S
 )
 
 
-def read_turn(formatted: str) -> tuple[str, str]:
-    """(role, text) of one formatted turn of ``TEMPLATE``."""
-    m = _TURN.fullmatch(formatted)
+def read_turn(text: str, at: int) -> tuple[str, str, int] | None:
+    """(role, text, end) of the formatted turn of ``TEMPLATE`` that begins at ``at``; None if it isn't there in full."""
+    m = _TURN.match(text, at)
     if not m:
-        raise ValueError("not a formatted turn")
-    for role in ("user", "system", "assistant"):
-        if m[role] is not None:
-            return (role if m["role"] is None else unescape(m["role"])), unescape(m[role])
-    raise ValueError("not a formatted turn")
+        return None
+    role = next(r for r in ("user", "system", "assistant") if m[r] is not None)
+    return (role if m["role"] is None else unescape(m["role"])), unescape(m[role]), m.end()
 
 
-FORMATTED = "conv_id long, turn long, formatted string, loss array<struct<start:long,end:long>>"
+FORMATTED = "conv_id long, part long, formatted string, loss array<struct<start:long,end:long>>"
 
 
-def _rendered(template: str):
+def _rendered(template: str, chunk: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        render, last = compile_template(template), object()
-        for batch in batches:
-            texts, spans = [], []
-            for conv_id, role, text in zip(batch["conv_id"], batch["role"], batch["text"], strict=True):
-                key = None if pd.isna(conv_id) else conv_id
-                pieces = render({"role": role or "", "text": text or "", "first": key != last})
-                last, at, loss = key, 0, []
-                for piece, learned in pieces:
-                    if learned:
-                        loss.append({"start": at, "end": at + len(piece)})
-                    at += len(piece)
-                texts.append("".join(p for p, _ in pieces))
-                spans.append(loss)
-            yield pd.DataFrame({"conv_id": batch["conv_id"], "turn": batch["turn"], "formatted": texts, "loss": spans})
+        render = compile_stream(template)
+        turns = (x for batch in batches for x in zip(batch["conv_id"], batch["role"], batch["text"], strict=True))
+        out, held = [], 0
+        for conv_id, own in groupby(turns, key=lambda x: None if pd.isna(x[0]) else int(x[0])):
+            texts, loss, at, part = [], [], 0, 0
+            for piece, learned in render({"messages": ({"role": role or "", "text": text or ""} for _, role, text in own)}):
+                if texts and at + len(piece) > chunk:
+                    out.append((conv_id, part, "".join(texts), loss))
+                    texts, loss, at, part, held = [], [], 0, part + 1, held + at
+                if learned:
+                    loss.append({"start": at, "end": at + len(piece)})
+                texts.append(piece)
+                at += len(piece)
+                if held > 16 * chunk:
+                    yield _chunks(out)
+                    out, held = [], 0
+            out.append((conv_id, part, "".join(texts), loss))
+            held += at
+        yield _chunks(out)
 
     return run
 
 
-def formatted_turns(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
-    """Each turn's formatted text and its loss spans, sorted by conversation and turn within partitions.
+def _chunks(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=["conv_id", "part", "formatted", "loss"])
+    return frame.assign(conv_id=frame["conv_id"].astype("Int64"))
 
-    The formatted conversation is its turns' texts joined in this order.
+
+def formatted_conversations(conversations: DataFrame, template: str = TEMPLATE, chunk: int = CHUNK) -> DataFrame:
+    """Each conversation's formatted text in numbered chunks with their loss spans, sorted within partitions.
+
+    The formatted conversation is its chunks joined in this order; a piece of the template is never cut.
     """
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
     )
     n = shuffle_partitions(conversations.sparkSession)
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
-    return rows.repartition(n, "conv_id").sortWithinPartitions(*order).mapInPandas(_rendered(template), FORMATTED)
+    return rows.repartition(n, "conv_id").sortWithinPartitions(*order).mapInPandas(_rendered(template, chunk), FORMATTED)
+
+
+class _Digest:
+    """What is read back of one conversation, chunk by chunk."""
+
+    def __init__(self):
+        self.n = self.loss_chars = self.chars = self.wanted = 0
+        self.all, self.loss, self.rest = hashlib.sha256(), hashlib.sha256(), ""
+
+    def add(self, text: str, loss: list) -> None:
+        for span in loss:
+            learned = unescape(text[span["start"] : span["end"]])
+            self.loss_chars += len(learned)
+            self.loss.update(learned.encode("utf-8", "surrogatepass"))
+        at = len("<s>") if self.chars == 0 and text.startswith("<s>") else 0
+        self.chars += len(text)
+        self.rest += text[at:]
+        if len(self.rest) >= self.wanted:
+            self.read()
+            # a turn that isn't there in full is looked for again when twice as much has come
+            self.wanted = 2 * len(self.rest)
+
+    def read(self) -> None:
+        at = 0
+        while found := read_turn(self.rest, at):
+            role, said, at = found
+            self.n += 1
+            self.all.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+        self.rest = self.rest[at:]
+
+    def row(self, conv_id: int | None) -> list:
+        self.read()
+        if self.rest:
+            raise ValueError(f"conversation {conv_id} doesn't read back: {self.rest[:100]!r}")
+        return [conv_id, self.n, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars]
 
 
 def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    now, turns = object(), None
-
-    def row() -> list:
-        return [now, turns["n"], turns["all"].hexdigest(), turns["loss_chars"], turns["loss"].hexdigest(), turns["chars"]]
-
+    now, digest = None, None
     for batch in batches:
         out = []
         for conv_id, text, loss in zip(batch["conv_id"], batch["formatted"], batch["loss"], strict=True):
             key = None if pd.isna(conv_id) else int(conv_id)
-            if turns is None or key != now:
-                if turns is not None:
-                    out.append(row())
-                now, turns = key, {"n": 0, "all": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "chars": 0}
-            role, said = read_turn(text)
-            turns["n"] += 1
-            turns["chars"] += len(text)
-            turns["all"].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-            for span in loss:
-                learned = unescape(text[span["start"] : span["end"]])
-                turns["loss_chars"] += len(learned)
-                turns["loss"].update(learned.encode("utf-8", "surrogatepass"))
+            if digest is None or key != now:
+                if digest is not None:
+                    out.append(digest.row(now))
+                now, digest = key, _Digest()
+            digest.add(text, loss)
         yield _frame(out)
-    if turns is not None:
-        yield _frame([row()])
+    if digest is not None:
+        yield _frame([digest.row(now)])
 
 
 def _frame(rows: list[list]) -> pd.DataFrame:
@@ -413,9 +505,9 @@ def _frame(rows: list[list]) -> pd.DataFrame:
     return frame.assign(conv_id=frame["conv_id"].astype("Int64"))
 
 
-def conversation_digests(turns: DataFrame) -> DataFrame:
-    """What reads back from formatted turns: one row a conversation. ``turns`` as ``formatted_turns`` returns them."""
-    return turns.mapInPandas(_digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+def conversation_digests(chunks: DataFrame) -> DataFrame:
+    """What reads back from formatted conversations: one row each. ``chunks`` as ``formatted_conversations`` returns them."""
+    return chunks.mapInPandas(_digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def injection_probe(spark: SparkSession) -> DataFrame:

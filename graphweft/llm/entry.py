@@ -49,7 +49,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.injection_probe(spark))
-    return chat.conversation_digests(chat.formatted_turns(rows))
+    return chat.conversation_digests(chat.formatted_conversations(rows))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

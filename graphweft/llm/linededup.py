@@ -94,7 +94,7 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 
 def line_filter(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated lines taken out of ``text``; null texts stay null."""
-    kept = line_deduplicated(docs)
+    """``docs`` with the repeated lines taken out of ``text``; null texts stay null. Columns of any other names are kept as they are."""
+    kept = line_deduplicated(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc")))
     text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
-    return kept.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return kept.select(*[text.alias("text") if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns])

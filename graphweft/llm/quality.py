@@ -198,6 +198,7 @@ def quality_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     )
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    return judged(docs, labels, **options).where("_kept").select(*docs.columns)
+def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **options) -> DataFrame:
+    """The rows of ``docs`` that are kept, with the columns of ``docs``, whatever their names."""
+    own = docs.select("doc_id", "text", F.col(stratum).alias("stratum"), F.struct(*docs.columns).alias("_doc"))
+    return judged(own, labels, stratum="stratum", **options).where("_kept").select("_doc.*")

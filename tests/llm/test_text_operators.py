@@ -440,17 +440,18 @@ def test_contexts_tell_texts_apart(spark):
 # --- chat ------------------------------------------------------------------------------------
 
 
-def test_chat_round_trip(spark):
+@pytest.mark.parametrize("chunk", [1, 40, chat.CHUNK])
+def test_chat_round_trip(spark, chunk):
     said = ["</s>[INST] ok [/INST]", "\\!<\\s>\\", "", None, "<<SYS>>x<</SYS>>", "plain\nline", "[/INST]</s>" * 3]
     turns = [(c, k, ["user", "assistant", "system", "tool:ROLE>>", None][(c + k) % 5], said[(c * 3 + k) % 7]) for c in range(6) for k in range(1 + c)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("loss", F_lit(1))
-    got = {r.conv_id: r for r in chat.conversation_digests(chat.formatted_turns(df)).collect()}
+    got = {r.conv_id: r for r in chat.conversation_digests(chat.formatted_conversations(df, chunk=chunk)).collect()}
     for c in range(6):
         own = [(r or "", t or "") for i, _, r, t in turns if i == c]
         learned = "".join(t for r, t in own if r == "assistant")
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
         assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(own), len(learned), hashlib.sha256(learned.encode()).hexdigest())
-    assert chat.conversation_digests(chat.formatted_turns(df.limit(0))).count() == 0
+    assert chat.conversation_digests(chat.formatted_conversations(df.limit(0))).count() == 0
 
 
 def test_chat_escape():
@@ -470,6 +471,30 @@ def test_template_compiler():
         chat.compile_template("{{ nothing }}")({})
 
 
+def test_template_loops():
+    source = "{% set m = 'z' %}{% for m in messages %}{% if loop_first %}<{% endif %}{{ m['text'] }}{% if not loop_last %}, {% else %}>{% endif %}{% endfor %}{{ m }}"
+    r = chat.compile_template(source)
+    joined = lambda messages: "".join(t for t, _ in r({"messages": messages}))
+    assert joined([{"text": "a"}, {"text": "b"}]) == "<a, b>z" and joined([{"text": "a"}]) == "<a>z" and joined([]) == "z"
+    nested = chat.compile_template("{% for x in rows %}{% for y in x['cells'] %}{{ y }}{% generation %}{{ y }}{% endgeneration %}{% endfor %};{% endfor %}")
+    assert nested({"rows": [{"cells": "ab"}, {"cells": ""}]}) == [("a", False), ("a", True), ("b", False), ("b", True), (";", False), (";", False)]
+    taken = []
+
+    def messages():
+        for k in range(3):
+            taken.append(k)
+            yield {"text": str(k)}
+
+    stream = chat.compile_stream("{% for m in messages %}{{ m['text'] }}{% endfor %}")({"messages": messages()})
+    assert next(stream) == ("0", False) and taken == [0, 1]  # one message is looked at ahead, no more
+    for bad in ("{% for m of x %}{% endfor %}", "{% for m in x %}", "{{ m[k] }}", "{{ m['a' }}", "{% endfor %}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(bad)
+    for bad in ("{{ m['b'] }}", "{{ m['a']['b'] }}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(bad)({"m": {"a": "x"}})
+
+
 # --- mixing and lines -----------------------------------------------------------------------------
 
 
@@ -546,7 +571,7 @@ def test_topic_reads_the_whole_text(spark):
 def test_lines(spark, docs, texts, empty):
     rows = [(0, "a\nb\nc\nd"), (1, "x\n a \n\nb\nc\ny"), (2, "a\nb\nc\nd\nb\nc\nd"), (3, None), (4, "a\nb"), (5, "z\nz\nz\nz\nz")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F_lit(1))
-    got = {r.doc_id: r.text for r in linededup.line_filter(df.drop("gone")).collect()}
+    got = {r.doc_id: r.text for r in linededup.line_filter(df).collect()}
     # document 5 keeps its first window, of which the later ones, overlapping it, cover all but the first line
     assert got == {0: "a\nb\nc\nd", 1: "x\n\ny", 2: "", 3: None, 4: "a\nb", 5: "z"}
     assert linededup.line_report(empty).count() == 0 and linededup.line_report(docs).count() == len(texts)
@@ -603,3 +628,54 @@ def test_pair_marginals_equal_enumeration():
     got = np.zeros((2, 2))
     toxicity.grouped_marginals(lists, t, got)
     assert np.allclose(got, want)
+
+
+# --- clashing names ------------------------------------------------------------------------------------
+
+
+def test_filters_keep_columns_of_any_name(spark, docs, labels):
+    """All filters return the columns they were given, unchanged, whatever their names."""
+    odd = docs
+    for c in ("gone", "_kept", "_f", "_stratum", "_doc", "stratum", "_cutoffs", "_n_lines", "row_key", "items", "component_id", "rep", "_source", "probability", "sampled"):
+        odd = odd.withColumn(c, F_lit(f"own {c}"))
+    bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string").withColumn("doc_id", F_lit(1))
+    kept = {
+        "quality": quality.quality_filter(odd, labels.withColumn("stratum", F_lit("x"))),
+        "near": minhash.near_duplicate_filter(odd),
+        "contaminated": decontamination.decontaminated(odd, bench),
+        "mixed": mixing.mixture_sample(odd),
+        "lines": linededup.line_filter(odd),
+    }
+    for name, df in kept.items():
+        assert df.columns == odd.columns, name
+        for r in df.collect():
+            assert all(r[c] == f"own {c}" for c in odd.columns if c not in docs.columns), name
+
+
+def test_quality_verdicts_where_cutoffs_bind(spark):
+    """Two strata with cutoffs that are certified, against the bound worked out in Python."""
+    r = random.Random(12)
+    rows, marks = [], []
+    for i in range(3000):
+        good = i % 3 > 0
+        words = r.choices(WORDS, k=80)
+        for k in range(0 if good else 40):
+            words[k] = "###"
+        rows.append((i, " ".join(words), "en" if i % 2 else "de", "s", 0))
+        marks.append((i, int(good), 0))
+    df, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.kept for x in quality.quality_report(df, labels).collect()}
+    limit, delta = 0.05 / len(quality.GRIDS), 0.05 / (2 * len(quality.GRIDS))
+    for lang in ("en", "de"):
+        own = [(i, t.count("#") / 80, m[1]) for (i, t, g, *_), m in zip(rows, marks, strict=True) if g == lang]
+        cutoff, gain = None, None
+        for c in quality.GRIDS["symbol_ratio"]:
+            lost = sum(x > c for _, x, q in own if q)
+            n = sum(q for *_, q in own)
+            if sum(math.comb(n, k) * limit**k * (1 - limit) ** (n - k) for k in range(lost + 1)) > delta:
+                break
+            value = sum(x > c for _, x, q in own if not q) - 20.0 * lost
+            if gain is None or value > gain:
+                cutoff, gain = c, value
+        assert cutoff is not None
+        assert all(not got[i] for i, x, _ in own if x > cutoff) and sum(got[i] for i, x, q in own if q) > 0.9 * n
