@@ -41,7 +41,7 @@ MARGINS = ("_source", "_lang", "_topic")
 TARGETS = {
     "_source": {f"src{i}": 0.05 for i in range(20)},
     "_lang": {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12},
-    "_topic": {"prose": 0.9, "sections": 0.04, "table": 0.03, "legal": 0.02, "contact": 0.01},
+    "_topic": {"prose": 0.9},
 }
 TOLERANCE, ROUNDS = 1e-12, 200
 #: Cells that one task rakes, or that are broadcast, at most.
