@@ -101,7 +101,7 @@ class WordHasher:
     Forgets everything when ``limit`` words are held, so its memory is bounded.
     """
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 300_000):
         self.limit = limit
         self.known: dict[bytes, int] = {}
 

@@ -48,11 +48,11 @@ SLOP = 2
 #: Words that an item has at least to remove a document.
 SHORT_ITEM = 5
 BLOCK_WORDS = 200_000
-SHARD_WORDS, SHARD_DOCS = 2_000_000, 20_000
+SHARD_WORDS, SHARD_DOCS = 1_000_000, 20_000
 #: Bits of a term's hash that number its place in a filter of terms.
 FILTER_BITS = 23
 #: Diagonals that a task holds at once.
-HELD = 2_000_000
+HELD = 500_000
 
 
 def term_hash(word: bytes) -> int:
@@ -64,7 +64,7 @@ def term_hash(word: bytes) -> int:
 class Finder:
     """The hashes of words that pass a filter of terms, 0 for others; forgets all when ``limit`` are held."""
 
-    def __init__(self, packed: bytes, limit: int = 1_000_000):
+    def __init__(self, packed: bytes, limit: int = 200_000):
         self.passes = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
         self.limit = limit
         self.known: dict[bytes, int] = {}
@@ -151,7 +151,7 @@ def term_frequencies(docs: DataFrame, packed: bytes) -> DataFrame:
             for text in batch["text"]:
                 held.append(find(alnum_words(text)))
                 size += len(held[-1])
-                if size > 1_000_000:
+                if size > 500_000:
                     total, held, size = added(), [], 0
         total = added()
         yield pd.DataFrame({"term": total.index.to_numpy(np.int64), "n": total.to_numpy(np.int64)})
