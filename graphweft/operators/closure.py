@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import any_of, as_list, distinct_list, is_list, namespace_of, none_if_empty, not_negated, present
+from ..functions.columns import any_of, as_list, is_list, namespace_of, none_if_empty, not_negated, present
 
 
 def _sorted_list(x: Column) -> Column:
