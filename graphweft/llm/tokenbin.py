@@ -79,7 +79,7 @@ class UnitEncoder:
     def _learn(self, units: list[str]) -> None:
         for i in range(0, len(units), 5000):
             part = units[i : i + 5000]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.cumsum(self.lengths[ids])
             wanted = np.cumsum([len(u.encode("utf-8", "surrogatepass")) + 1 for u in part])
             cuts = np.searchsorted(ends, wanted)
