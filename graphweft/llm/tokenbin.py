@@ -25,7 +25,8 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, compress
+from operator import not_
 
 import numpy as np
 import pandas as pd
@@ -68,13 +69,16 @@ class UnitEncoder:
             self.known.clear()
         known = self.known
         split = [self._units(t) for t in texts]
-        new: set[str] = set()
-        for _, units in split:
-            new.update(set(units).difference(known))
-        self._learn(sorted(new))
-        find = known.__getitem__
+        found = [list(map(known.get, units)) for _, units in split]
+        missing = [list(compress(range(len(ids)), map(not_, ids))) for ids in found]
+        self._learn(sorted({units[i] for (_, units), at in zip(split, missing, strict=True) for i in at}))
         firsts = self.tokenizer.encode_batch_fast([first for first, _ in split], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() + b"".join(map(find, units)) for e, (_, units) in zip(firsts, split, strict=True)]
+        out = []
+        for e, (_, units), ids, at in zip(firsts, split, found, missing, strict=True):
+            for i in at:
+                ids[i] = known[units[i]]
+            out.append(np.array(e.ids, "<u4").tobytes() + b"".join(ids))
+        return out
 
     def _learn(self, units: list[str]) -> None:
         for i in range(0, len(units), 5000):
