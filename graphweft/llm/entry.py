@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, linededup, lmscore, minhash, mixing, oracle, quality, suffixdedup, tokenbin, toxicity
+from . import alignment, chat, decontamination, exactdedup, linededup, lmscore, minhash, mixing, oracle, quality, spelling, suffixdedup, tokenbin, toxicity
 from .common import table
 
 
@@ -60,6 +60,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_report(table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -72,6 +84,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_formatting": op8_chat_formatting,
         "op9_mixing": op9_mixing,
         "op10_line_dedup": op10_line_dedup,
+        "op11_exact_dedup": op11_exact_dedup,
+        "op12_tokenizer_alignment": op12_tokenizer_alignment,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
@@ -83,4 +98,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_minhash_near_dedup": oracle.NEAR_DUPLICATES,
         "op9_mixing": oracle.MIXTURE,
         "op10_line_dedup": oracle.LINES,
+        "op11_exact_dedup": oracle.COPIES,
+        "op13_spelling_variants": oracle.SPELLING,
     }

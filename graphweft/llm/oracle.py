@@ -220,3 +220,51 @@ select d.doc_id, (length(x) // 2)::bigint as n_bytes, coalesce(n, 0)::bigint as
   sha256(unhex(coalesce(kept, x))) as kept_sha256
 from d left join found on d.doc_id = found.doc_id
 """
+
+
+COPIES = r"""
+select doc_id, first_value(doc_id) over best as keep_id, count(*) over (partition by bare)::bigint as group_size,
+  row_number() over best = 1 as kept, sha256(bare) as text_sha256
+from (select doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as bare from documents)
+window best as (partition by bare order by length(text) desc, doc_id nulls last)
+"""
+
+#: CRC-32 a byte a round over all (document, run) pairs; neighbours by their texts without one place.
+SPELLING = r"""
+with recursive bits as (
+  select i, i::ubigint as v, 0 as k from range(256) as r(i)
+  union all select i, case when v & 1 = 1 then xor(v >> 1, 3988292384::ubigint) else v >> 1 end, k + 1 from bits where k < 8
+), remainders as (
+  select i::ubigint as i, v from bits where k = 8
+), pairs as (
+  select doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) as w from documents) group by all
+), texts as (
+  select row_number() over () as p, doc_id, run, n, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as x from pairs
+), crc as (
+  select p, x, 4294967295::ubigint as c from texts
+  union all select p, substr(x, 3), xor(c >> 8, v) from crc join remainders on i = xor(c, ('0x' || substr(x, 1, 2))::ubigint) & 255 where x <> ''
+), hashed as (
+  select run, n, xor(c, 4294967295::ubigint) as h from crc join texts using (p) where crc.x = ''
+), counted as (
+  select word, sum(n)::bigint as n
+  from (select case when h % 199 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from hashed)
+  where length(word) >= 6 group by 1 having sum(n) >= 5
+), cut as (
+  select word, i, left(word, i::int) || substr(word, i::int + 2) as rest from (select word, unnest(range(length(word))) as i from counted)
+), near as (
+  select a.word, b.word as other from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select a.word, b.word from cut a join counted b on a.rest = b.word
+  union select b.word, a.word from cut a join counted b on a.rest = b.word
+), best as (
+  select near.word, count(*) as n_near, min({'less': -c.n, 'word': other}) as best from near join counted c on c.word = other group by 1
+), forms as (
+  select c.word, n, coalesce(n_near, 0)::bigint as n_near, case when -best.less >= 5 * n then best.word end as form, case when -best.less >= 5 * n then -best.less end as form_n
+  from counted c left join best b on c.word = b.word
+), walk as (
+  select word, word as at from forms
+  union all select walk.word, form from walk join forms on forms.word = walk.at where form is not null
+)
+select f.word, f.form, w.at as root, f.n, f.n_near, f.form_n
+from forms f join walk w on w.word = f.word join forms g on g.word = w.at and g.form is null
+"""
