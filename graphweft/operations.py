@@ -36,23 +36,54 @@ def load(spark: SparkSession, store: str, files: Sequence[str], join: bool = Fal
 
 
 def append(spark: SparkSession, store: str, files: Sequence[str], deduplicate: bool = False) -> dict:
+    """Files as new segments of the store's tables; older files stay as they are. With ``deduplicate`` a row whose id, or
+    triple without ids, is stored already is left out, and kept in ``duplicate_<table>``."""
     target = GraphStore(spark, store)
-    old = target.graph()
     loaded = readers.load_graph(spark, [readers.infer_file_spec(f) for f in readers.discover(files)])
-    parts, tables = {"nodes": old.nodes, "edges": old.edges}, dict(old.tables)
-    added = {}
-    for t in parts:
+    added, before = {}, target.stats()
+    for t in ("nodes", "edges"):
         new = getattr(loaded.graph, t)
-        if new is not None:
-            added[t] = it.new_columns(parts[t], new) if parts[t] is not None else new.columns
-            parts[t], archive = it.append(parts[t], [new], deduplicate)
-            if archive is not None:
-                tables[f"duplicate_{t}"] = archive
-    before = target.stats()
-    target.save(Graph(parts["nodes"], parts["edges"], tables))
+        if new is None:
+            continue
+        done = target.append(t, new, deduplicate)
+        added[t] = done.new_columns
+        if done.left_out is not None:
+            target.append(f"duplicate_{t}", done.left_out)
     return {"new_columns": added, "errors": loaded.errors, "net_rows": {t: n - before.get(t, 0) for t, n in target.stats().items()}}
 
 
+def lay_out(spark: SparkSession, store: str) -> None:
+    """Copies of the edges in buckets of subject and of object, next to the nodes' buckets of id."""
+    target = GraphStore(spark, store)
+    for end in ("subject", "object"):
+        target.add_layout("edges", f"edges_by_{end}", [end])
+
+
+def stored_dangling(target: GraphStore) -> DataFrame:
+    """The dangling edges of a store that is laid out: each end is looked up bucket by bucket. Only edges that lack
+    their object's node are shuffled, to see that they have their subject's and aren't counted twice."""
+    ids = target.bucketed("nodes").select("id")
+    no_subject = target.bucketed("edges_by_subject").join(ids, F.col("subject") == ids["id"], "left_anti")
+    no_object = target.bucketed("edges_by_object").join(ids, F.col("object") == ids["id"], "left_anti")
+    return no_subject.unionByName(no_object.join(ids, F.col("subject") == ids["id"], "left_semi"))
+
+
+def stored_singletons(target: GraphStore) -> DataFrame:
+    """Nodes of a store that is laid out that are no edge's end, bucket by bucket."""
+    nodes = target.bucketed("nodes")
+    for end in ("subject", "object"):
+        ends = target.bucketed(f"edges_by_{end}").select(F.col(end).alias("_end"))
+        nodes = nodes.join(ends, nodes["id"] == ends["_end"], "left_anti")
+    return nodes
+
+
+def stored_named_edges(target: GraphStore, end: str, columns: Sequence[str] = ("category", "name")) -> DataFrame:
+    """Edges with ``<end>_<column>`` of the node at one end, bucket by bucket. Of repeated node ids the first counts."""
+    nodes, _ = it.deduplicate(target.bucketed("nodes"))
+    named = nodes.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns])
+    return target.bucketed(f"edges_by_{end}").join(named, end, "left")
+
+
 def _changed(spark: SparkSession, store: str, change) -> dict[str, int]:
     target = GraphStore(spark, store)
     target.save(change(target.graph()))

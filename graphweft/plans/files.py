@@ -8,8 +8,10 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import operations
 from ..ingest import runner
 from ..model import FileSpec, Graph
+from ..operators import components_update
 from ..operators.closure import sorted_closure
 from ..operators.integrity import split_lists
 from ..operators.reports import schema_report
@@ -149,7 +151,7 @@ def split_load_back(spark, g):
 
 def store_load_back(spark, g):
     """Two versions of a stored graph; the second drops a table's rows, and is what a reader sees."""
-    path = _mounted(spark, "store")
+    path = readers.shared_folder(spark, "store")
     GraphStore(spark, path).save(Graph(g.nodes, g.edges))
     store = GraphStore(spark, path)
     store.save(Graph(store.table("nodes").where("category = 'Part'"), store.table("edges")))
@@ -158,6 +160,46 @@ def store_load_back(spark, g):
     return graph.nodes.select("id", "file_source").unionByName(graph.edges.select("id", "file_source"))
 
 
+def append_new_only(spark, g):
+    """Events are appended to the stored lines, then again with changed rows of both: what is stored already is left out."""
+    store = GraphStore(spark, readers.shared_folder(spark, "store"))
+    store.put("edges", g.edges.where("file_source = 'lineitem'"))
+    events = g.edges.where("file_source = 'events'")
+    store.append("edges", events, unique=True)
+    again = events.unionByName(g.edges.where("file_source in ('lineitem', 'customer')")).withColumns({"predicate": F.lit("changed"), "batch": F.lit(2)})
+    store.append("edges", again, unique=True)
+    return store.table("edges").select("id", "predicate", "file_source", "batch")
+
+
+def _laid_out(spark, g) -> GraphStore:
+    store = GraphStore(spark, readers.shared_folder(spark, "store"))
+    store.save(Graph(g.nodes, g.edges))
+    operations.lay_out(spark, store.path)
+    return GraphStore(spark, store.path, "r")
+
+
+def stored_dangling_edges(spark, g):
+    return operations.stored_dangling(_laid_out(spark, g)).select("id", "subject", "predicate", "object")
+
+
+def stored_singleton_nodes(spark, g):
+    return operations.stored_singletons(_laid_out(spark, g)).select("id", "category")
+
+
+def stored_named_edges(spark, g):
+    return operations.stored_named_edges(_laid_out(spark, g), "object").select("id", "object", "object_category", "object_name")
+
+
+def components_over_appends(spark, g):
+    """Components of the lines, brought up to date with customers, orders and events."""
+    store = GraphStore(spark, readers.shared_folder(spark, "store"))
+    kept = g.edges
+    components_update.start(store, kept.where("file_source = 'lineitem'"))
+    for source in ("customer", "orders", "events"):
+        components_update.add_edges(store, kept.where(F.col("file_source") == source))
+    return components_update.components(store)
+
+
 def schema_of_tables(spark, g):
     return schema_report({"nodes": g.nodes, "edges": g.edges})
 
@@ -167,6 +209,17 @@ _NODES = ("id", "category", "name", "in_taxon", "provided_by", "file_source")
 _SCHEMA = " union all ".join([*(f"select 'nodes' as table_name, '{c}' as column_name, 'string' as data_type" for c in _NODES), *(f"select 'edges', '{c}', '{t}'" for c, t in _TYPES.items())])
 _BOTH = "both_ways as (select subject_id as f, object_id as t from mappings where predicate_id = 'skos:exactMatch' union all select object_id, subject_id from mappings where predicate_id = 'skos:exactMatch')"
 
+
+def _labels_sql(rounds: int = 12) -> str:
+    """The least id reached, by rounds of least labels of neighbours and then of their labels."""
+    steps = ", ".join(
+        f"n{k} as materialized (select v as id, min(r) as r from both_ways join l{k} on l{k}.id = u group by 1), l{k + 1} as materialized (select l{k}.id, least(l{k}.r, n{k}.r, j.r) as r from l{k} join n{k} using (id) join l{k} as j on j.id = least(l{k}.r, n{k}.r))"
+        for k in range(rounds)
+    )
+    return f"""with both_ways as materialized (select subject as u, object as v from edges where subject is not null and object is not null union select object, subject from edges where subject is not null and object is not null),
+l0 as materialized (select distinct u as id, u as r from both_ways), {steps} select id, r as component from l{rounds}"""
+
+
 QUERIES = {
     tsv_file_scan: f"select id, subject, object, case when len({_PUBS}) > 0 then array_to_string({_PUBS}, '|') end as publications, cast(negated as varchar) as negated from edges",
     jsonl_file_scan: f"select id, predicate, {_PUBS} as publications, score from edges",
@@ -185,6 +238,13 @@ select coalesce(x.t, n.id) as subject, 'is_a' as predicate, 'THING:' || n.catego
     export_load_back: f"select id, name as label, null::varchar[] as publications, 'g_nodes' as file_source from nodes union all select id, predicate, case when len({_PUBS}) > 0 then {_PUBS} end, 'g_edges' from edges",
     split_load_back: "select id, category, coalesce(category, 'null') || '|' || coalesce(provided_by, 'null') as part from nodes",
     store_load_back: "select id, file_source from nodes where category = 'Part' union all select id, file_source from edges",
+    append_new_only: """select distinct id, predicate, file_source, cast(null as integer) as batch from edges where file_source in ('lineitem', 'events')
+union all select id, 'changed', file_source, 2 from edges where file_source = 'customer'""",
+    stored_dangling_edges: "select id, subject, predicate, object from edges where subject is null or object is null or subject not in (select id from nodes) or object not in (select id from nodes)",
+    stored_singleton_nodes: "select id, category from nodes where id not in (select subject from edges where subject is not null) and id not in (select object from edges)",
+    stored_named_edges: """with kept as (select * from (select *, row_number() over (partition by id order by file_source nulls last) as rn from nodes) where rn = 1)
+select e.id, e.object, k.category as object_category, k.name as object_name from edges e left join kept k on e.object = k.id""",
+    components_over_appends: _labels_sql(),
     schema_of_tables: _SCHEMA + " where exists (select 1 from nodes)",
 }
 
