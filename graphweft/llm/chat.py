@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import id_text, shuffle_partitions
 
 #: The control strings of the template.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<<ROLE:", ":ROLE>>")
@@ -402,7 +402,7 @@ def read_turn(text: str, at: int) -> tuple[str, str, int] | None:
     return (role if m["role"] is None else unescape(m["role"])), unescape(m[role]), m.end()
 
 
-FORMATTED = "conv_id long, part long, formatted string, loss array<struct<start:long,end:long>>"
+FORMATTED = "conv_id string, part long, formatted string, loss array<struct<start:long,end:long>>"
 
 
 def _rendered(template: str, chunk: int):
@@ -410,7 +410,7 @@ def _rendered(template: str, chunk: int):
         render = compile_stream(template)
         turns = (x for batch in batches for x in zip(batch["conv_id"], batch["role"], batch["text"], strict=True))
         out, held = [], 0
-        for conv_id, own in groupby(turns, key=lambda x: None if pd.isna(x[0]) else int(x[0])):
+        for conv_id, own in groupby(turns, key=lambda x: x[0]):
             texts, loss, at, part = [], [], 0, 0
             for piece, learned in render({"messages": ({"role": role or "", "text": text or ""} for _, role, text in own)}):
                 if texts and at + len(piece) > chunk:
@@ -431,8 +431,7 @@ def _rendered(template: str, chunk: int):
 
 
 def _chunks(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["conv_id", "part", "formatted", "loss"])
-    return frame.assign(conv_id=frame["conv_id"].astype("Int64"))
+    return pd.DataFrame(rows, columns=["conv_id", "part", "formatted", "loss"])
 
 
 def formatted_conversations(conversations: DataFrame, template: str = TEMPLATE, chunk: int = CHUNK) -> DataFrame:
@@ -445,7 +444,8 @@ def formatted_conversations(conversations: DataFrame, template: str = TEMPLATE,
     )
     n = shuffle_partitions(conversations.sparkSession)
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
-    return rows.repartition(n, "conv_id").sortWithinPartitions(*order).mapInPandas(_rendered(template, chunk), FORMATTED)
+    ordered = rows.repartition(n, "conv_id").sortWithinPartitions(*order).withColumn("conv_id", id_text(F.col("conv_id")))
+    return ordered.mapInPandas(_rendered(template, chunk), FORMATTED).withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 class _Digest:
@@ -476,7 +476,7 @@ class _Digest:
             self.all.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
         self.rest = self.rest[at:]
 
-    def row(self, conv_id: int | None) -> list:
+    def row(self, conv_id: str | None) -> list:
         self.read()
         if self.rest:
             raise ValueError(f"conversation {conv_id} doesn't read back: {self.rest[:100]!r}")
@@ -488,11 +488,10 @@ def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for conv_id, text, loss in zip(batch["conv_id"], batch["formatted"], batch["loss"], strict=True):
-            key = None if pd.isna(conv_id) else int(conv_id)
-            if digest is None or key != now:
+            if digest is None or conv_id != now:
                 if digest is not None:
                     out.append(digest.row(now))
-                now, digest = key, _Digest()
+                now, digest = conv_id, _Digest()
             digest.add(text, loss)
         yield _frame(out)
     if digest is not None:
@@ -501,13 +500,13 @@ def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _frame(rows: list[list]) -> pd.DataFrame:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    frame = pd.DataFrame(rows, columns=names)
-    return frame.assign(conv_id=frame["conv_id"].astype("Int64"))
+    return pd.DataFrame(rows, columns=names)
 
 
 def conversation_digests(chunks: DataFrame) -> DataFrame:
     """What reads back from formatted conversations: one row each. ``chunks`` as ``formatted_conversations`` returns them."""
-    return chunks.mapInPandas(_digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    kinds = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return chunks.withColumn("conv_id", id_text(F.col("conv_id"))).mapInPandas(_digested, kinds).withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 def injection_probe(spark: SparkSession) -> DataFrame:

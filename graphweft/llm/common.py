@@ -56,6 +56,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def id_text(doc_id: Column) -> Column:
+    """An id on its way into Python: as text, since a column of integers with a null beside them arrives as floats."""
+    return doc_id.cast("long").cast("string")
+
+
 def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string"))
 
@@ -98,18 +103,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of words, each word hashed once while it is remembered.
 
-    Forgets everything when ``limit`` words are held, so its memory is bounded.
+    Forgets everything when its words take about ``limit`` bytes, long words too.
     """
 
-    def __init__(self, limit: int = 300_000):
+    #: What an entry takes besides its word: the key's and the value's headers, and its place in the table.
+    ENTRY = 170
+
+    def __init__(self, limit: int = 48 << 20):
         self.limit = limit
+        self.held = 0
         self.known: dict[bytes, int] = {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > self.limit:
-            known.clear()
         new = [w for w in set(words) if w not in known]
         if new:
+            self.held += sum(map(len, new)) + self.ENTRY * len(new)
+            if self.held > self.limit and known:
+                known.clear()
+                new = list(set(words))
+                self.held = sum(map(len, new)) + self.ENTRY * len(new)
             known.update(zip(new, (xxhash.xxh64_intdigest(w) for w in new), strict=True))
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_partitions, small
+from .common import id_text, shared_dir, shuffle_partitions, small
 
 END_ID = 2
 SHARD_BYTES = 4 << 20
@@ -50,10 +50,13 @@ class UnitEncoder:
     The vocabulary's pre-tokenizer always starts a new piece at a single space
     between two non-spaces, so the units between such spaces are encoded each by
     itself, and each distinct unit once. New units are encoded joined, and cut
-    apart by the byte lengths of the tokens. Forgets all when ``limit`` are held.
+    apart by the byte lengths of the tokens. Forgets all when they take about ``limit`` bytes.
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    #: What a unit takes besides its text and ids: two objects and its place in the table.
+    ENTRY = 190
+
+    def __init__(self, path: str, limit: int = 192 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -61,12 +64,16 @@ class UnitEncoder:
         # a byte-level token has one character for each byte
         self.lengths = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())])
         self.limit = limit
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > self.limit:
-            self.known.clear()
+        if self.held > self.limit:
+            self.forget()
         known = self.known
         split = [self._units(t) for t in texts]
         found = [list(map(known.get, units)) for _, units in split]
@@ -93,6 +100,7 @@ class UnitEncoder:
             for u, cut in zip(part, ((cuts + 1) * 4).tolist(), strict=True):
                 self.known[u] = data[at:cut]
                 at = cut
+            self.held += sum(map(len, part)) + len(data) + self.ENTRY * len(part)
 
     @staticmethod
     def _units(text: str) -> tuple[str, list[str]]:
@@ -110,7 +118,7 @@ _encoders: dict[str, UnitEncoder] = {}
 
 
 def encoder(path: str) -> UnitEncoder:
-    """One encoder in each Python worker."""
+    """One encoder in each Python worker; a task empties its memory of units when it ends."""
     if path not in _encoders:
         _encoders[path] = UnitEncoder(path)
     return _encoders[path]
@@ -157,7 +165,7 @@ def _shards(path: str, data: bytes, shard_bytes: int):
                 for doc_id, x in zip(few["doc_id"], own.encode([t or "" for t in few["text"]]), strict=True):
                     x += END_BYTES
                     frames.append(squeeze.compress(x))
-                    ids.append(None if pd.isna(doc_id) else int(doc_id))
+                    ids.append(None if doc_id is None else int(doc_id))
                     held += len(frames[-1])
                     n_ids += len(x) // 4
                     if held >= shard_bytes:
@@ -165,6 +173,7 @@ def _shards(path: str, data: bytes, shard_bytes: int):
                         ids, frames, held, n_ids, shard = [], [], 0, 0, shard + 1
         if frames:
             yield row()
+        own.forget()
 
     return run
 
@@ -178,7 +187,7 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, folder: str, shard_byt
     ordered = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
     )
-    ordered.mapInPandas(_shards(tokenizer_path, data, shard_bytes), SHARDS).write.option("compression", "uncompressed").parquet(f"{folder}/shards")
+    ordered.select(id_text(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(_shards(tokenizer_path, data, shard_bytes), SHARDS).write.option("compression", "uncompressed").parquet(f"{folder}/shards")
 
 
 def _decoded(data: bytes):
@@ -197,7 +206,7 @@ def _decoded(data: bytes):
                     sizes.append(len(ids) // 4)
                     sums.append(zlib.crc32(ids))
                 starts = [int(r.start), *(int(r.start) + np.cumsum(sizes)[:-1])]
-                yield pd.DataFrame({"doc_id": pd.array(list(r.doc_ids), "Int64"), "start": starts, "n_tokens": sizes, "ids_crc32": sums})
+                yield pd.DataFrame({"doc_id": list(r.doc_ids), "start": starts, "n_tokens": sizes, "ids_crc32": sums})
 
     return run
 
@@ -223,7 +232,9 @@ def read_token_summary(spark: SparkSession, folder: str) -> DataFrame:
         .join(base, "part")
         .select("part", "shard", (F.col("base") + F.coalesce(F.sum("n_ids").over(earlier), F.lit(0))).alias("start"))
     )
-    return shards.join(small(starts), ["part", "shard"]).mapInPandas(_decoded(data), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = shards.join(small(starts), ["part", "shard"]).withColumn("doc_ids", F.col("doc_ids").cast("array<string>"))
+    found = placed.mapInPandas(_decoded(data), "doc_id string, start long, n_tokens long, ids_crc32 long")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[list[int]]:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, utf8
+from .common import crc32_of_id, id_text, utf8
 
 #: A-Z become a-z; what isn't a letter or above ASCII becomes a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -256,6 +256,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 1500, sample_word
     field = fit(training_rows(docs, labels, sample, sample_words))
     shared = docs.sparkSession.sparkContext.broadcast(field)
     held_out = F.coalesce(crc32_of_id(F.col("doc_id")) % FOLDS == 0, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
-    scored = rows.mapInPandas(_scored(shared, least), "doc_id long, held_out boolean, score double, spans array<struct<start:long,end:long>>")
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+    rows = docs.select(id_text(F.col("doc_id")).alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
+    scored = rows.mapInPandas(_scored(shared, least), "doc_id string, held_out boolean, score double, spans array<struct<start:long,end:long>>")
+    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
