@@ -53,7 +53,8 @@ class Tokens:
 
     def __init__(self, pieces: list[bytes]):
         self.bytes = pieces
-        self.lengths = pa.array([len(x) for x in pieces], pa.int64())
+        self.sizes = np.array([len(x) for x in pieces])
+        self.lengths = pa.array(self.sizes, pa.int64())
         self.names = pa.array([str(i) for i in range(len(pieces))])
 
 
@@ -82,17 +83,40 @@ class Tokenizers:
             raise ValueError("tokens of B reach over spaces")
         self.b = Tokens([bytes([int(p[3:5], 16)]) if self.b_model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
 
-    def read(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """The ids of a space and each unit by both tokenizers, as little-endian 32-bit integers; None where bytes differ."""
-        out: list[tuple[bytes, bytes] | None] = []
-        of_a, of_b = self.a.bytes, self.b.bytes
-        with_a = self.a_model.encode_batch_fast([" " + u for u in units], add_special_tokens=False)
-        with_b = self.b_model.encode(units, num_threads=1)
-        for u, a, b in zip(units, with_a, with_b, strict=True):
-            want, ids = b" " + u.encode("utf-8", "surrogatepass"), a.ids
-            right = b"".join([of_a[i] for i in ids]) == want and b"".join([of_b[i] for i in b]) == want
-            out.append((np.array(ids, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if right else None)
-        return out
+    def read(self, units: list[str]) -> list[bytes]:
+        """The ids of a space and each unit by A and then by B, as little-endian 32-bit integers after the number of A's; empty where bytes differ.
+
+        Units are joined and the ids cut apart again by the tokens' bytes; where that can't be, each is read by itself.
+        """
+        if len(units) > 1:
+            want = [len(u.encode("utf-8", "surrogatepass")) + 1 for u in units]
+            text = " ".join(units)
+            cut = [
+                self._cut(np.array(self.a_model.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, "<u4"), self.a, text, want),
+                self._cut(np.array(self.b_model.encode(text), "<u4"), self.b, text, want),
+            ]
+            if cut[0] is None or cut[1] is None or any(u[:1].isspace() or u[-1:].isspace() for u in units):
+                half = len(units) // 2
+                return self.read(units[:half]) + self.read(units[half:])
+            (a, of_a), (b, of_b) = cut
+            n_a = np.diff(np.array(of_a), prepend=0) // 4
+            heads = n_a.astype("<u4").tobytes()
+            starts_a, starts_b = [0, *of_a], [0, *of_b]
+            return [heads[4 * i : 4 * i + 4] + a[starts_a[i] : of_a[i]] + b[starts_b[i] : of_b[i]] for i in range(len(units))]
+        (u,) = units
+        a, b = self.a_model.encode_batch_fast([" " + u], add_special_tokens=False)[0].ids, self.b_model.encode(u)
+        want = b" " + u.encode("utf-8", "surrogatepass")
+        if b"".join([self.a.bytes[i] for i in a]) != want or b"".join([self.b.bytes[i] for i in b]) != want:
+            return [b""]
+        return [np.array([len(a), *a, *b], "<u4").tobytes()]
+
+    @staticmethod
+    def _cut(ids: np.ndarray, tokens: Tokens, text: str, want: list[int]) -> tuple[bytes, list[int]] | None:
+        """The ids as bytes and the places where the units end in them; None if tokens cross units or give other bytes."""
+        ends, wanted = np.cumsum(tokens.sizes[ids]), np.cumsum(want)
+        cuts = np.searchsorted(ends, wanted, "right")
+        right = len(ends) and np.array_equal(ends[cuts - 1], wanted) and b"".join([tokens.bytes[i] for i in ids.tolist()]) == b" " + text.encode("utf-8", "surrogatepass")
+        return (ids.tobytes(), (cuts * 4).tolist()) if right else None
 
 
 _loaded: dict[tuple[str, str], Tokenizers] = {}
@@ -107,20 +131,25 @@ def tokenizers_of(a_path: str, b_path: str) -> Tokenizers:
 class Memory:
     """Units that were read, forgotten when their estimated bytes go beyond ``limit``."""
 
-    def __init__(self, both: Tokenizers, limit: int = 96 << 20):
+    #: What a unit takes besides its text and ids: two objects and its place in the table.
+    ENTRY, TOGETHER = 190, 2000
+
+    def __init__(self, both: Tokenizers, limit: int = 160 << 20):
         self.both, self.limit, self.held = both, limit, 0
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.known: dict[str, bytes] = {}
 
-    def lookup(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
+    def lookup(self, texts: list[list[str]]) -> list[list[bytes]]:
+        """The cells of the units of each text."""
         if self.held > self.limit:
             self.known, self.held = {}, 0
         known = self.known
-        new = [u for u in dict.fromkeys(units) if u not in known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            known.update(zip(part, self.both.read(part), strict=True))
-        self.held += sum(map(len, new)) * 6 + 350 * len(new)
-        return [known[u] for u in units]
+        new = sorted(set().union(*texts).difference(known))
+        for at in range(0, len(new), self.TOGETHER):
+            part = new[at : at + self.TOGETHER]
+            cells = self.both.read(part)
+            known.update(zip(part, cells, strict=True))
+            self.held += sum(map(len, part)) + sum(map(len, cells)) + self.ENTRY * len(part)
+        return [list(map(known.__getitem__, units)) for units in texts]
 
 
 def _ends(lists: pa.ListArray, lengths: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -144,7 +173,8 @@ def aligned(a: pa.ListArray, b: pa.ListArray, a_tokens: Tokens, b_tokens: Tokens
         sides.append(pa.table({"text": parent, "end": end, name: ids}))
         keys.append(parent.to_numpy().astype(np.int64) << 40 | end.to_numpy())
     links = sides[0].join(sides[1], ["text", "end"], join_type="inner", use_threads=False)
-    cuts = np.unique(links["text"].to_numpy().astype(np.int64) << 40 | links["end"].to_numpy())
+    cuts = np.sort(links["text"].to_numpy().astype(np.int64) << 40 | links["end"].to_numpy())
+    cuts = cuts[np.diff(cuts, prepend=-1) > 0]
     joined = []
     for side, name, tokens, key in zip(sides, "ab", (a_tokens, b_tokens), keys, strict=True):
         # a token belongs to the first cut at or after its end; tokens are in that order
@@ -156,10 +186,24 @@ def aligned(a: pa.ListArray, b: pa.ListArray, a_tokens: Tokens, b_tokens: Tokens
     return links, pc.binary_join(pa.ListArray.from_arrays(pa.array(of_text), each), ";"), pa.array(np.diff(of_text), pa.int64())
 
 
-def _lists(parts: list[list[bytes]]) -> pa.ListArray:
-    joined = [b"".join(x) for x in parts]
-    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in joined])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(joined), "<u4").astype(np.int32)))
+def _lists(texts: list[list[bytes]]) -> tuple[pa.ListArray, pa.ListArray]:
+    """The ids of both tokenizers as list columns, from the cells of each text."""
+    flat = np.frombuffer(b"".join([b"".join(x) for x in texts]), "<u4").astype(np.int32)
+    sizes = np.fromiter((len(c) for x in texts for c in x), np.int64) // 4
+    starts = np.cumsum(sizes) - sizes
+    n_a = flat[starts]
+    side = np.ones(len(flat), np.int8)  # 0: a cell's head, 1: A, 2: B
+    bounds = np.zeros(len(flat) + 1, np.int8)
+    bounds[starts + 1 + n_a] += 1
+    bounds[starts[1:]] -= 1
+    side += np.cumsum(bounds[:-1], dtype=np.int8)
+    side[starts] = 0
+    cells = np.cumsum([0, *map(len, texts)])
+    out = []
+    for k, each in ((1, n_a), (2, sizes - 1 - n_a)):
+        offsets = np.concatenate([[0], np.cumsum(each)])[cells].astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[side == k])))
+    return out[0], out[1]
 
 
 def _pair_lists(links: pa.Table, n: int) -> tuple[pa.ListArray, pa.ListArray, list[int], list[int]]:
@@ -183,7 +227,7 @@ def _task(a_path: str, b_path: str):
 
         def slice_of(held: list) -> Iterator[pa.RecordBatch]:
             nonlocal digest, sums, first
-            a, b = _lists([[x for x, _ in cells] for _, _, cells, _ in held]), _lists([[y for _, y in cells] for _, _, cells, _ in held])
+            a, b = _lists([cells for _, _, cells, _ in held])
             links, groups, n_groups = aligned(a, b, both.a, both.b)
             pairs, counts, slice_pairs, slice_counts = _pair_lists(links, len(held))
             n_links = pc.list_value_length(pairs).to_numpy().astype(np.int64) * 0
@@ -206,26 +250,38 @@ def _task(a_path: str, b_path: str):
             if slice_pairs:
                 yield pa.RecordBatch.from_pylist([{"pairs": slice_pairs, "counts": slice_counts}], schema=_SCHEMA)
 
-        held: list = []
+        def read(texts: list) -> Iterator:
+            """(row, doc_id, cells, whether the last) of each segment."""
+            units = [[start, *rest] if text else [] for _, _, text in texts for start, rest in [UnitEncoder._units(text or "")]]
+            for (row, doc_id, _), cells in zip(texts, memory.lookup(units), strict=True):
+                cells = [] if b"" in cells else cells
+                for at in range(0, max(1, len(cells)), SEGMENT):
+                    yield row, doc_id, cells[at : at + SEGMENT], at + SEGMENT >= len(cells)
+
+        def sliced(texts: list) -> Iterator[pa.RecordBatch]:
+            held: list = []
+            size = 0
+            for x in read(texts):
+                held.append(x)
+                size += len(x[2])
+                if size >= SEGMENT:
+                    yield from slice_of(held)
+                    held, size = [], 0
+            if held:
+                yield from slice_of(held)
+
+        texts: list = []
         size = 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 number += 1
-                cells: list = []
-                if text:
-                    start, rest = UnitEncoder._units(text)
-                    cells = memory.lookup([start, *rest])
-                    if None in cells:
-                        cells = []
-                for at in range(0, max(1, len(cells)), SEGMENT):
-                    part = cells[at : at + SEGMENT]
-                    held.append((number, doc_id, part, at + SEGMENT >= len(cells)))
-                    size += 8 * len(part)
-                    if size >= SLICE or len(held) >= 5000:
-                        yield from slice_of(held)
-                        held, size = [], 0
-        if held:
-            yield from slice_of(held)
+                texts.append((number, doc_id, text))
+                size += len(text or "")
+                if size >= SLICE or len(texts) >= 5000:
+                    yield from sliced(texts)
+                    texts, size = [], 0
+        if texts:
+            yield from sliced(texts)
 
     return run
 
