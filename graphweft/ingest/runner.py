@@ -15,8 +15,14 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import RowFilter, filtered
 from ..model import Graph
+from ..operators.components import checkpointed
 from ..operators.lookup import looked_up, mapped_on_write, mapping_table
-from ..sources.readers import CsvFormat, parsed_json, read_csv, read_json, read_jsonl, read_mappings, read_yaml, require_paths
+from ..operators.integrity import union_by_name
+from ..sources import archives
+from ..sources.archives import members_of, text_lines
+from ..sources.delimited import CsvFormat, read_delimited
+from ..sources.positions import PLACE, first_rows, placed, union_in_order
+from ..sources.readers import parsed_json, read_json, read_jsonl, read_mappings, read_yaml, require_paths
 from ..sources.sinks import write_nodes_and_edges
 
 # --- hooks -------------------------------------------------------------------
@@ -36,6 +42,30 @@ def _hook(kind: str):
 prepare_data, transform, transform_record, on_data_begin, on_data_end = map(_hook, ("prepare", "transform", "record", "begin", "end"))
 
 
+@dataclass(frozen=True)
+class State:
+    """What is gathered over records: ``zero()``, ``add(value, record)`` and ``merge(value, value)``, all of JSON values.
+
+    Each task folds its own records and hands on one value as a row of its output, so a task that is
+    tried again is counted once. Records come in no order, so ``merge`` must not depend on it.
+    """
+
+    name: str
+    zero: Callable
+    add: Callable
+    merge: Callable
+
+
+def state(name: str, zero: Callable, merge: Callable, tag: str | None = None):
+    """Marks ``add(value, record)`` as the fold of a state that the end hooks find in ``context.state[name]``."""
+
+    def mark(add: Callable) -> Callable:
+        add._ingest_hook, add._ingest_state = ("state", (tag,)), State(name, zero, add, merge)
+        return add
+
+    return mark
+
+
 @dataclass
 class Hooks:
     prepare: list[Callable] = field(default_factory=list)
@@ -43,6 +73,11 @@ class Hooks:
     record: list[Callable] = field(default_factory=list)
     begin: list[Callable] = field(default_factory=list)
     end: list[Callable] = field(default_factory=list)
+    state: list[Callable] = field(default_factory=list)
+
+    @property
+    def states(self) -> list[State]:
+        return [f._ingest_state for f in self.state]
 
     def check(self) -> None:
         if bool(self.transform) == bool(self.record):
@@ -80,34 +115,65 @@ def kind_of(entity: dict) -> str:
     raise ValueError(f"neither a node nor an edge: {entity}")
 
 
-def _emitted(functions: Sequence[Callable]):
+def _as_dict(entity) -> dict:
+    return entity if isinstance(entity, dict) else {k: v for k, v in vars(entity).items() if v is not None}
+
+
+def _emitted(functions: Sequence[Callable], states: Sequence[State]):
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
+        values = {s.name: s.zero() for s in states}
         for batch in batches:
             out = []
             for text in batch["record"]:
                 record = json.loads(text)
+                for s in states:
+                    values[s.name] = s.add(values[s.name], record)
                 for f in functions:
-                    for entity in f(record) or ():
-                        entity = entity if isinstance(entity, dict) else {k: v for k, v in vars(entity).items() if v is not None}
+                    for entity in map(_as_dict, f(record) or ()):
                         out.append((kind_of(entity), json.dumps(entity)))
             yield pd.DataFrame(out, columns=["kind", "entity"])
+        if states:
+            yield pd.DataFrame([(f"state {k}", json.dumps(v)) for k, v in values.items()], columns=["kind", "entity"])
 
     return run
 
 
-def records_to_graph(df: DataFrame, functions: Sequence[Callable], node_schema: str | None = None, edge_schema: str | None = None) -> Graph:
-    """Row-at-a-time Python: each record's entities, as rows (kind, JSON), then one table a kind.
+def _merged(states: Sequence[State]):
+    """The values of a task's rows, merged into one for each state."""
 
-    Schemas are given, or inferred from the entities. Without them the emitted rows are kept in a checkpoint.
-    """
-    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("record")).mapInPandas(_emitted(functions), "kind string, entity string")
-    made = {}
-    if not (node_schema and edge_schema):
-        from ..operators.components import checkpointed
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
 
-        rows = checkpointed(rows)
+        by, values = {f"state {s.name}": s for s in states}, {}
+        for batch in batches:
+            for kind, text in zip(batch["kind"], batch["entity"], strict=True):
+                value = json.loads(text)
+                values[kind] = by[kind].merge(values[kind], value) if kind in values else value
+        yield pd.DataFrame([(k, json.dumps(v)) for k, v in values.items()], columns=["kind", "entity"])
+
+    return run
+
+
+def gathered(rows: DataFrame, states: Sequence[State], fan_in: int = 32) -> dict:
+    """Each state's value. Tasks' values are merged by tasks, so many at a time, until few are left."""
+    found = rows.where(F.col("kind").startswith("state "))
+    parts = rows.rdd.getNumPartitions() if states else 0
+    while parts > fan_in:
+        parts = -(-parts // fan_in)
+        found = found.repartition(parts).mapInPandas(_merged(states), "kind string, entity string")
+    values = {s.name: s.zero() for s in states}
+    by = {f"state {s.name}": s for s in states}
+    for r in found.collect() if states else ():  # at most fan_in rows a state
+        s = by[r["kind"]]
+        values[s.name] = s.merge(values[s.name], json.loads(r["entity"]))
+    return values
+
+
+def _entities(rows: DataFrame, node_schema: str | None, edge_schema: str | None) -> Graph:
+    """One table for each kind of entity in rows (kind, JSON)."""
+    made = {}
     for kind, schema in (("nodes", node_schema), ("edges", edge_schema)):
         own = rows.where(F.col("kind") == kind).select("entity")
         if schema is None:
@@ -118,6 +184,29 @@ def records_to_graph(df: DataFrame, functions: Sequence[Callable], node_schema:
     return Graph(made["nodes"], made["edges"])
 
 
+def records_to_graph(df: DataFrame, functions: Sequence[Callable], node_schema: str | None = None, edge_schema: str | None = None, states: Sequence[State] = (), into: dict | None = None) -> Graph:
+    """Row-at-a-time Python: each record's entities, as rows (kind, JSON), then one table a kind. ``into`` gets the states' values.
+
+    Schemas are given, or inferred from the entities. Without them, or with states, the emitted rows are kept in a checkpoint.
+    """
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("record")).mapInPandas(_emitted(functions, states), "kind string, entity string")
+    if states or not (node_schema and edge_schema):
+        rows = checkpointed(rows)
+    if states and into is not None:
+        into.update(gathered(rows, states))
+    return _entities(rows, node_schema, edge_schema)
+
+
+def with_entities(graph: Graph, spark: SparkSession, entities: Sequence) -> Graph:
+    """``graph`` with what an end hook returned, a list that the driver holds."""
+    if not entities:
+        return graph
+    rows = spark.createDataFrame([(kind_of(x), json.dumps(x)) for x in map(_as_dict, entities)], "kind string, entity string")
+    more = _entities(rows, None, None)
+    both = [[x for x in (getattr(graph, t), getattr(more, t)) if x is not None] for t in ("nodes", "edges")]
+    return Graph(*[union_by_name(x) if x else None for x in both], graph.tables)
+
+
 # --- configuration ----------------------------------------------------------------
 
 
@@ -156,26 +245,46 @@ def load_config(path: str, overrides: dict | None = None) -> dict:
     return merged(config, overrides or {})
 
 
+def csv_format(reader: dict) -> CsvFormat:
+    columns = reader.get("columns") or []
+    names = [next(iter(c)) if isinstance(c, dict) else c for c in columns]
+    types = {next(iter(c)): next(iter(c.values())) for c in columns if isinstance(c, dict)}
+    return CsvFormat(
+        reader.get("delimiter", "\t"), reader.get("header_mode", "infer"), tuple(names), types, reader.get("comment_char", "#"),
+        reader.get("header_prefix") or "", reader.get("header_delimiter"), reader.get("skip_blank_lines", True), reader.get("dialect", "excel"),
+    )
+
+
+def _parts(reader: dict) -> list[tuple[str, str | None]]:
+    """(file, member) of a reader in order: its files, all members of those that are archives, or the chosen members of ``file_archive``."""
+    if archive := reader.get("file_archive"):
+        there = members_of(archive)
+        if absent := set(reader.get("files") or ()) - set(there):
+            raise FileNotFoundError(f"not in {archive}: {sorted(absent)}")
+        return [(archive, m) for m in there if not reader.get("files") or m in reader["files"]]
+    return [(f, m) for f in reader["files"] for m in (members_of(f) if archives.kind_of(f) in ("zip", "tar") else [None])]
+
+
 def read_source(spark: SparkSession, reader: dict) -> DataFrame:
-    """A reader's configuration: files, format, csv options, json_path, filters, limit."""
-    files, kind = reader["files"], reader.get("format", "csv")
-    if kind == "csv":
-        columns = reader.get("columns") or []
-        names = [next(iter(c)) if isinstance(c, dict) else c for c in columns]
-        types = {next(iter(c)): next(iter(c.values())) for c in columns if isinstance(c, dict)}
-        header = reader.get("header_mode", "infer")
-        form = CsvFormat(reader.get("delimiter", "\t"), header, tuple(names), types, reader.get("comment_char", "#"), reader.get("header_prefix") or "", reader.get("header_delimiter"))
-        df = read_csv(spark, files, form)
-    else:
-        from ..operators.integrity import union_by_name
-
-        read = {"jsonl": lambda f: read_jsonl(spark, f), "json": lambda f: read_json(spark, f, reader.get("json_path") or ()), "yaml": lambda f: read_yaml(spark, f, reader.get("json_path") or ())}[kind]
-        df = union_by_name([read(f) for f in files])
+    """A reader's configuration: files or members of an archive, format, csv options, json_path, filters, limit.
+
+    ``limit`` takes the first rows that pass the filters, in the order of the files and of their lines.
+    """
+    kind, keys = reader.get("format", "csv"), reader.get("json_path") or ()
+    frames = []
+    for path, member in _parts(reader):
+        if kind == "csv":
+            frames.append(read_delimited(text_lines(spark, path, [member] if member else None), csv_format(reader)).drop("_long"))
+            continue
+        df = {"jsonl": lambda: read_jsonl(spark, path, member=member), "json": lambda: read_json(spark, path, keys, member), "yaml": lambda: read_yaml(spark, path, keys, member)}[kind]()  # noqa: B023
+        frames.append(placed(df) if reader.get("limit") else df)
+    df = union_in_order(frames) if kind == "csv" or reader.get("limit") else union_by_name(frames)
+    own = [c for c in df.columns if c not in PLACE]
     if reader.get("required_properties"):
         df = require_paths(df, reader["required_properties"])
     rows = [RowFilter(x["column"], x.get("filter_code", "eq"), x["value"], x.get("inclusion", "include") == "include") for x in reader.get("filters", ())]
     df = filtered(df, rows)
-    return df.limit(reader["limit"]) if reader.get("limit") else df
+    return first_rows(df, reader["limit"]) if reader.get("limit") else df.select(*own)
 
 
 def mappings_of(spark: SparkSession, config: dict) -> dict[str, dict[str, DataFrame]]:
@@ -191,8 +300,8 @@ def mappings_of(spark: SparkSession, config: dict) -> dict[str, dict[str, DataFr
 class Context:
     """What hooks get besides their frame: the configuration, its metadata, the mappings, and a dictionary of their own.
 
-    ``state`` lives on the driver for the whole run; executors don't share it, so
-    what is gathered over records is an aggregate of a frame.
+    ``state`` holds what begin hooks put there and, before the end hooks, the values of the states that were
+    gathered over the records; tasks can't read it.
     """
 
     config: dict
@@ -235,7 +344,7 @@ def run(spark: SparkSession, config: dict, module=None, output: str | None = Non
     """Run a configuration: for each tagged reader, look up, prepare, transform and, with ``output``, write.
 
     A reader's ``lookups`` (column, maps, value, into, on_failure) are made before
-    the hooks, so record transforms find them as columns. ``writer.sssom`` maps edge
+    the hooks, so record transforms find them as columns. Entities that end hooks return join the graph. ``writer.sssom`` maps edge
     ends by exact match, and ``node_properties`` and ``edge_properties`` fix the header.
     """
     module = module or module_at(config["transform"]["code"])
@@ -252,9 +361,14 @@ def run(spark: SparkSession, config: dict, module=None, output: str | None = Non
             _called(f, context)
         for f in hooks.prepare:
             df = _called(f, context, df)
-        graph = _called(hooks.transform[0], context, df) if hooks.transform else records_to_graph(df, hooks.record)
+        if hooks.transform:
+            graph = _called(hooks.transform[0], context, df)
+            if hooks.states:
+                records_to_graph(df, (), "id string", "id string", hooks.states, context.state)
+        else:
+            graph = records_to_graph(df, hooks.record, states=hooks.states, into=context.state)
         for f in hooks.end:
-            _called(f, context)
+            graph = with_entities(graph, spark, _called(f, context) or ())
         out[tag] = graph
         if output:
             _written(context, spark, graph, output, config.get("name", "ingest") + (f"_{tag}" if tag else ""))

@@ -32,7 +32,7 @@ def load(spark: SparkSession, store: str, files: Sequence[str], join: bool = Fal
     have = {t: df for t, df in (("nodes", loaded.graph.nodes), ("edges", loaded.graph.edges)) if df is not None}
     target = GraphStore(spark, store)
     target.save(loaded.graph, schema=export_schema(have) if have else None)
-    return {"files": loaded.files, "errors": loaded.errors, "rows": target.stats()}
+    return {"files": loaded.files, "errors": loaded.errors, "rows": target.stats(), "losing": {f: dict(x.get) for f, x in loaded.losing.items()}}
 
 
 def append(spark: SparkSession, store: str, files: Sequence[str], deduplicate: bool = False) -> dict:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import as_list, curie_prefix, is_list, list_text, present
 from .closure import denormalized_edges
+from .integrity import union_by_name
 
 NODE_REPORT = ("category", "provided_by", "namespace", "in_taxon")
 EDGE_REPORT = (
@@ -70,10 +71,12 @@ def graph_stats(df: DataFrame, table: str) -> DataFrame:
 
 
 def schema_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, column_name, data_type)."""
-    spark = next(iter(tables.values())).sparkSession
-    rows = [(t, f.name, f.dataType.simpleString()) for t, df in tables.items() for f in df.schema]
-    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string")
+    """(table_name, column_name, data_type, n_rows, n_values): one pass over each table; null cells are no values."""
+    parts = []
+    for t, df in tables.items():
+        cells = [F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"), F.count(f.name).alias("n_values")) for f in df.schema]
+        parts.append(df.agg(F.count(F.lit(1)).alias("n_rows"), F.array(*cells).alias("c")).select(F.lit(t).alias("table_name"), "n_rows", F.inline("c")))
+    return union_by_name(parts).select("table_name", "column_name", "data_type", "n_rows", "n_values")
 
 
 # --- cross-tabs -----------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from types import SimpleNamespace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import operations
@@ -15,7 +15,7 @@ from ..operators import components_update
 from ..operators.closure import sorted_closure
 from ..operators.integrity import split_lists
 from ..operators.reports import schema_report
-from ..sources import readers, sinks
+from ..sources import archives, delimited, readers, sinks
 from . import fixture
 from .store import GraphStore
 
@@ -54,8 +54,8 @@ def csv_file_scan(spark, g):
     cells = F.concat_ws(",", F.concat(F.lit(" "), "id", F.lit(" ")), F.concat(F.lit('"'), F.coalesce("predicate", F.lit("")), F.lit('"')), F.coalesce(F.col("score").cast("string"), F.lit("")))
     path = readers.shared_folder(spark, "csv")
     g.edges.select(F.explode(F.array(cells, F.lit("# a comment"), F.lit(""))).alias("line")).write.text(path)
-    form = readers.CsvFormat(",", "none", ("id", "predicate", "score"), {"score": "float"})
-    return readers.read_csv(spark, [path], form)
+    form = delimited.CsvFormat(",", "none", ("id", "predicate", "score"), {"score": "float"})
+    return delimited.read_csv(spark, [path], form)
 
 
 def closure_file_scan(spark, g):
@@ -73,18 +73,126 @@ def sssom_files_scan(spark, g):
     return readers.read_mappings(spark, paths).select("subject_id", "predicate_id", "object_id", "mapping_source")
 
 
+def _as_documents(lines: DataFrame, spark: SparkSession, label: str, before: str, between: str, after: str, each: int = 2000) -> str:
+    """A folder of documents of about ``each`` lines, one a file, written by all tasks."""
+
+    def run(batches):
+        import pandas as pd
+
+        found = [x for batch in batches for x in batch["line"]]
+        yield pd.DataFrame({"value": [before + between.join(found) + after]})
+
+    path = readers.shared_folder(spark, label)
+    parts = max(1, -(-lines.count() // each))
+    lines.repartition(parts).mapInPandas(run, "value string").write.text(path)
+    return path
+
+
 def json_file_scan(spark, g):
-    path = readers.shared_folder(spark, "json")
-    records = g.nodes.where("category = 'Nation'").select(F.struct("id", "name").alias("r"))
-    records.groupBy().agg(F.to_json(F.struct(F.struct(F.collect_list("r").alias("items")).alias("data"))).alias("value")).write.text(path)
+    """All nodes in documents with their records below two keys."""
+    lines = g.nodes.select(F.to_json(F.struct("id", "name"), {"ignoreNullFields": "false"}).alias("line"))
+    path = _as_documents(lines, spark, "json", '{"data": {"items": [', ", ", "]}}")
     return readers.read_json(spark, path, ["data", "items"]).select("id", "name")
 
 
 def yaml_file_scan(spark, g):
-    path = readers.shared_folder(spark, "yaml")
-    lines = F.concat(F.lit("- {id: '"), "id", F.lit("', name: '"), "name", F.lit("'}"))
-    g.nodes.where("category = 'Region'").groupBy().agg(F.array_join(F.array_sort(F.collect_list(lines)), "\n").alias("value")).write.text(path)
-    return readers.read_yaml(spark, path).select("id", "name")
+    """All nodes in YAML documents; the names are quoted, as YAML reads JSON's strings."""
+    lines = g.nodes.select(F.concat(F.lit("- "), F.to_json(F.struct("id", "name"), {"ignoreNullFields": "false"})).alias("line"))
+    return readers.read_yaml(spark, _as_documents(lines, spark, "yaml", "", "\n", "\n")).select("id", "name")
+
+
+def csv_quoted_breaks(spark, g):
+    """Cells with line breaks, delimiters and quotes, in few large files that Spark splits."""
+    note = F.concat(F.lit('say ""'), F.col("id"), F.lit('"",\n# no comment,\n'), F.repeat(F.coalesce("object", F.lit("none")), 12), F.lit("\n\n"), "predicate")
+    line = F.concat(F.col("id"), F.lit(',"'), note, F.lit('",'), F.coalesce(F.col("score").cast("string"), F.lit("")))
+    path = readers.shared_folder(spark, "csv")
+    g.edges.select(line.alias("line")).coalesce(2).write.text(path)
+    form = delimited.CsvFormat(",", "none", ("id", "note", "score"), {"score": "float"})
+    return delimited.read_csv(spark, [path], form).select("id", F.length("note").alias("n_chars"), F.md5("note").alias("note_md5"), "score")
+
+
+def archive_members_scan(spark, g):
+    """Nodes zipped and edges tarred, a member for each source, by tasks; the ingest's configuration chooses the members."""
+    folder, frames = readers.shared_folder(spark, "archives"), []
+    for table, ending, columns in ((g.nodes, ".zip", ["id", "name"]), (g.edges, ".tar", ["id", "object"])):
+        head = spark.createDataFrame([("\t".join(columns),)], "value string")
+        cells = F.concat_ws("\t", *[F.coalesce(F.regexp_replace(c, "[\t\n\"]", " "), F.lit("")) for c in columns])
+        member = F.concat(F.col("file_source"), F.lit(".tsv"))
+        names = table.select(member.alias("member")).distinct()
+        lines = names.crossJoin(F.broadcast(head)).select("member", "value", F.lit(0).alias("k")).unionByName(table.select(member.alias("member"), cells.alias("value"), F.lit(1).alias("k")))
+        for archive in sinks.write_archives(lines.repartition(4, "member").sortWithinPartitions("member", "k"), f"{folder}/{columns[1]}", ending):
+            wanted = [m for m in archives.members_of(archive) if m not in ("nation.tsv", "orders.tsv")]
+            if wanted:
+                read = runner.read_source(spark, {"file_archive": archive, "files": wanted, "comment_char": None})
+                frames.append(read.select("id", F.nullif(F.col(columns[1]), F.lit("")).alias("value")))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def first_rows_in_file_order(spark, g):
+    """Customers' edges, then orders' in files in the order of their ids; a limit that ends among the orders."""
+    files = []
+    for source in ("customer", "orders"):
+        files.append(readers.shared_folder(spark, source))
+        g.edges.where(F.col("file_source") == source).select("id", "score").orderBy("id").write.json(files[-1])
+    n = spark.read.json(files[0]).count() + 100
+    return runner.read_source(spark, {"files": files, "format": "jsonl", "limit": n}).select("id", "score")
+
+
+def ingest_running_totals(spark, g):
+    """Totals by type of event, gathered over the records of a run, become nodes at its end."""
+    source = _put(g.edges.where("file_source = 'events'").select("id", "object", "score"), spark, "events", "jsonl")
+
+    def together(a, b):
+        return {k: [x + y for x, y in zip(a.get(k, [0, 0]), b.get(k, [0, 0]), strict=True)] for k in {**a, **b}}
+
+    @runner.state("totals", dict, together)
+    def add(value, record):
+        return together(value, {record["object"]: [1, round(record["score"] * 100)]})
+
+    @runner.transform_record
+    def made(record):
+        return [{"subject": record["id"], "predicate": "of_type", "object": record["object"]}]
+
+    @runner.on_data_end
+    def ended(context):
+        return [{"id": k, "name": f"{n} events", "cents": cents} for k, (n, cents) in context.state["totals"].items()]
+
+    config = {"name": "events", "reader": {"files": [source], "format": "jsonl"}}
+    graph = runner.run(spark, config, SimpleNamespace(add=add, made=made, ended=ended))[None]
+    return graph.nodes.select("id", "name", "cents")
+
+
+def counts_while_writing(spark, g):
+    """Rows that lose values of a column that keeps one, malformed mappings and long rows, each counted in the pass that writes."""
+    edges = _put(split_lists(g.edges.drop("file_source"), ["publications"]), spark, "edges", "jsonl")
+    loaded = readers.load_graph(spark, [FileSpec(edges, "jsonl", "edges", "e")], single=["publications"])
+    sssom = f"{readers.shared_folder(spark, 'sssom')}.tsv"
+    cells = F.concat_ws("\t", "subject_id", "predicate_id", "object_id")
+    odd = F.col("subject_id").startswith("PARTZ")
+    lines = g.tables["mappings"].select(F.when(odd, F.concat(cells, F.lit("\tmore"))).otherwise(cells).alias("value"))
+    lines.mapInPandas(_with_header("subject_id\tpredicate_id\tobject_id"), "value string").write.text(sssom)
+    seen, long = Observation(), Observation()
+    mappings = readers.read_mappings(spark, [sssom], seen)
+    csv = readers.shared_folder(spark, "csv")
+    g.nodes.select(F.concat_ws(",", "id", F.coalesce("in_taxon", F.lit("")), F.when(F.col("category") == "Part", "x")).alias("value")).write.text(csv)
+    nodes = delimited.read_csv(spark, [csv], delimited.CsvFormat(",", "none", ("id", "in_taxon"), comment=None), observation=long)
+    GraphStore(spark, readers.shared_folder(spark, "store")).save(Graph(nodes, loaded.graph.edges, {"mappings": mappings}))
+    counts = {"losing publications": loaded.losing[edges].get["publications"], **{f"mappings {k}": v for k, v in seen.get.items()}, **{f"nodes {k}": v for k, v in long.get.items()}}
+    return spark.createDataFrame(list(counts.items()), "what string, n long")
+
+
+def _with_header(header: str):
+    def run(batches):
+        import pandas as pd
+
+        first = True
+        for batch in batches:
+            yield pd.concat([pd.DataFrame({"value": [header]}), batch]) if first else batch
+            first = False
+        if first:
+            yield pd.DataFrame({"value": [header]})
+
+    return run
 
 
 def required_properties_scan(spark, g):
@@ -113,15 +221,15 @@ def ingest_whole_source(spark, g):
 
 
 def ingest_records(spark, g):
-    """Row-at-a-time: each customer becomes a node and an edge; the edges' ends are mapped when they are written."""
-    source = _put(g.nodes.where("category = 'Supplier' or category = 'Part'"), spark, "parts", "jsonl")
+    """Row-at-a-time: each node becomes a node and an edge; the edges' ends are mapped when they are written."""
+    source = _put(g.nodes, spark, "parts", "jsonl")
     sssom = f"{readers.shared_folder(spark, 'sssom')}.tsv"
     sinks.write(g.tables["mappings"].drop("mapping_source"), sssom, "tsv")
     out = readers.shared_folder(spark, "out")
 
     @runner.transform_record
     def made(record):
-        return [{"id": record["id"], "name": record["name"]}, {"subject": record["id"], "predicate": "is_a", "object": "THING:" + record["category"]}]
+        return [{"id": record["id"], "name": record.get("name")}, {"subject": record["id"], "predicate": "is_a", "object": "THING:" + (record.get("category") or "")}]
 
     config = {"name": "parts", "reader": {"files": [source], "format": "jsonl"}, "writer": {"format": "jsonl", "sssom": {"files": [sssom], "subject_target_prefixes": ["PARTX"]}}}
     runner.run(spark, config, SimpleNamespace(made=made), out)
@@ -206,7 +314,9 @@ def schema_of_tables(spark, g):
 
 _TYPES = {"id": "string", "subject": "string", "predicate": "string", "object": "string", "category": "string", "knowledge_level": "string", "agent_type": "string", "negated": "boolean", "score": "double", "publications": "string", "provided_by": "string", "file_source": "string"}
 _NODES = ("id", "category", "name", "in_taxon", "provided_by", "file_source")
-_SCHEMA = " union all ".join([*(f"select 'nodes' as table_name, '{c}' as column_name, 'string' as data_type" for c in _NODES), *(f"select 'edges', '{c}', '{t}'" for c, t in _TYPES.items())])
+_SCHEMA = " union all ".join(
+    f"select '{t}' as table_name, '{c}' as column_name, '{kind}' as data_type, count(*) as n_rows, count({c}) as n_values from {t}" for t, cols in (("nodes", dict.fromkeys(_NODES, "string")), ("edges", _TYPES)) for c, kind in cols.items()
+)
 _BOTH = "both_ways as (select subject_id as f, object_id as t from mappings where predicate_id = 'skos:exactMatch' union all select object_id, subject_id from mappings where predicate_id = 'skos:exactMatch')"
 
 
@@ -228,13 +338,21 @@ QUERIES = {
     csv_file_scan: "select id, predicate, score from edges",
     closure_file_scan: "select subject_id, predicate_id, object_id from closure",
     sssom_files_scan: "select subject_id, predicate_id, object_id, mapping_source || '.sssom.tsv' as mapping_source from mappings",
-    json_file_scan: "select id, name from nodes where category = 'Nation'",
-    yaml_file_scan: "select id, name from nodes where category = 'Region'",
+    json_file_scan: "select id, name from nodes",
+    yaml_file_scan: "select id, name from nodes",
+    csv_quoted_breaks: """select id, length(note) as n_chars, md5(note) as note_md5, score from
+(select *, 'say "' || id || '",' || chr(10) || '# no comment,' || chr(10) || repeat(coalesce(object, 'none'), 12) || chr(10) || chr(10) || predicate as note from edges)""",
+    archive_members_scan: "select id, name as value from nodes where file_source <> 'nation' union all select id, object from edges where file_source <> 'orders'",
+    first_rows_in_file_order: "select id, score from edges where file_source = 'customer' union all (select id, score from edges where file_source = 'orders' order by id limit 100)",
+    ingest_running_totals: "select object as id, count(*) || ' events' as name, sum(cast(round(score * 100) as bigint))::bigint as cents from edges where file_source = 'events' group by object",
+    counts_while_writing: f"""select 'losing publications' as what, count(*) filter (where len({_PUBS}) > 1) as n from edges
+union all select 'mappings rows', count(*) filter (where subject_id not like 'PARTZ%') from mappings union all select 'mappings malformed', count(*) filter (where subject_id like 'PARTZ%') from mappings
+union all select 'nodes rows', count(*) from nodes union all select 'nodes long_rows', count(*) filter (where category = 'Part') from nodes""",
     required_properties_scan: "select id, predicate from edges",
     ingest_whole_source: """with m as (select object_id as key, max(subject_id) as value from mappings group by 1)
 select e.id, e.subject, e.predicate, coalesce(m.value, e.object) as object, cast(null as varchar) as absent from edges e left join m on e.object = m.key where file_source = 'lineitem' and score >= 10""",
     ingest_records: f"""with {_BOTH}, x as (select f, min(t) as t from both_ways where t like 'PARTX:%' group by 1)
-select coalesce(x.t, n.id) as subject, 'is_a' as predicate, 'THING:' || n.category as object, case when x.t is not null then n.id end as original_subject from nodes n left join x on n.id = x.f where n.category in ('Supplier', 'Part')""",
+select coalesce(x.t, n.id) as subject, 'is_a' as predicate, 'THING:' || coalesce(n.category, '') as object, case when x.t is not null then n.id end as original_subject from nodes n left join x on n.id = x.f""",
     export_load_back: f"select id, name as label, null::varchar[] as publications, 'g_nodes' as file_source from nodes union all select id, predicate, case when len({_PUBS}) > 0 then {_PUBS} end, 'g_edges' from edges",
     split_load_back: "select id, category, coalesce(category, 'null') || '|' || coalesce(provided_by, 'null') as part from nodes",
     store_load_back: "select id, file_source from nodes where category = 'Part' union all select id, file_source from edges",
@@ -245,7 +363,7 @@ union all select id, 'changed', file_source, 2 from edges where file_source = 'c
     stored_named_edges: """with kept as (select * from (select *, row_number() over (partition by id order by file_source nulls last) as rn from nodes) where rn = 1)
 select e.id, e.object, k.category as object_category, k.name as object_name from edges e left join kept k on e.object = k.id""",
     components_over_appends: _labels_sql(),
-    schema_of_tables: _SCHEMA + " where exists (select 1 from nodes)",
+    schema_of_tables: _SCHEMA,
 }
 
 

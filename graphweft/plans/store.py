@@ -213,7 +213,7 @@ class GraphStore:
 
     # --- appending -----------------------------------------------------------------
 
-    def append(self, name: str, rows: DataFrame, unique: bool = False) -> Appended:
+    def append(self, name: str, rows: DataFrame, unique: bool = False, views: dict | None = None) -> Appended:
         """``rows`` as one new segment. With ``unique`` only those whose key is new; of repeats among them the first, as
         ``deduplicate`` orders them. Rows that were stored before stay.
 
@@ -254,7 +254,7 @@ class GraphStore:
             if x.get("layout_of") == name:
                 copy = written.select(*x["columns"]) if x["columns"] else written
                 tables[other] = {**x, "schema": schema.jsonValue() if not x["columns"] else x["schema"], "segments": [*x["segments"], self._write(other, copy, x["key"])]}
-        self._commit(tables)
+        self._commit(tables, **({"views": views} if views else {}))
         return Appended(segment["rows"], left_out, added, read)
 
     def _make_unique(self, name: str) -> None:

@@ -3,55 +3,27 @@
 from __future__ import annotations
 
 import glob as _glob
-import lzma
+import json
 import os
-import shutil
-import tarfile
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import FileSpec, Graph, infer_file_spec
 from ..operators.catalogue import Catalogue, UnknownSlotsError, default_catalogue
-from ..operators.integrity import missing_required, split_lists, union_by_name, with_provenance
+from ..operators.integrity import losing_values, missing_required, split_lists, union_by_name, with_provenance
+from .archives import kind_of, text_lines, whole_texts
+from .delimited import CsvFormat, read_csv, read_delimited
 
 _TSV = {"sep": "\t", "header": True, "inferSchema": False, "quote": '"', "escape": '"', "multiLine": True}
 
 
-def unpacked(path: str) -> str:
-    """A path that Spark reads by itself: ``.xz`` is expanded next to nothing else in a scratch folder."""
-    if not path.endswith(".xz"):
-        return path
-    target = os.path.join(tempfile.mkdtemp(prefix="graphweft-"), os.path.basename(path)[:-3])
-    with lzma.open(path) as source, open(target, "wb") as out:
-        shutil.copyfileobj(source, out)
-    return target
-
-
-def extracted(path: str, members: Sequence[str] | None = None) -> list[str]:
-    """The files of a zip or tar archive, or the chosen ones, in a scratch folder."""
-    folder = tempfile.mkdtemp(prefix="graphweft-")
-    if zipfile.is_zipfile(path):
-        with zipfile.ZipFile(path) as z:
-            names = [n for n in z.namelist() if not n.endswith("/") and (members is None or n in members)]
-            z.extractall(folder, names)
-    else:
-        with tarfile.open(path) as t:
-            chosen = [m for m in t.getmembers() if m.isfile() and (members is None or m.name in members)]
-            t.extractall(folder, chosen, filter="data")
-            names = [m.name for m in chosen]
-    if members is not None and set(members) - set(names):
-        raise FileNotFoundError(f"not in {path}: {sorted(set(members) - set(names))}")
-    return [os.path.join(folder, n) for n in names]
-
-
 def discover(paths: Iterable[str], endings: Sequence[str] = (".tsv", ".jsonl", ".parquet")) -> list[str]:
     """Folders and globs expanded, in order, each file once."""
     found: dict[str, None] = {}
@@ -64,16 +36,31 @@ def discover(paths: Iterable[str], endings: Sequence[str] = (".tsv", ".jsonl", "
     return list(found)
 
 
+def _text_table(spark: SparkSession, path: str, separator: str, member: str | None = None) -> DataFrame:
+    """A delimited file with a header; all columns are text, and empty cells null."""
+    if kind_of(path) is None:
+        return spark.read.options(**{**_TSV, "sep": separator}).csv(path)
+    rows = read_delimited(text_lines(spark, path, [member] if member else None), CsvFormat(separator, comment=None))
+    return rows.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in rows.columns if not c.startswith("_")])
+
+
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.options(**_TSV).csv(unpacked(path))
+    return _text_table(spark, path, "\t")
 
 
-def read_jsonl(spark: SparkSession, path: str, slots: Sequence[str] | None = None, catalogue: Catalogue | None = None) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, slots: Sequence[str] | None = None, catalogue: Catalogue | None = None, member: str | None = None) -> DataFrame:
     """Inferred from every record; or with ``slots``, in one pass, other keys dropped and misfits an error."""
     if not slots:
-        return spark.read.option("primitivesAsString", False).json(unpacked(path))
+        if kind_of(path):
+            return parsed_json(text_lines(spark, path, [member] if member else None).select("value"))
+        return spark.read.option("primitivesAsString", False).json(path)
     kinds = (catalogue or default_catalogue()).schema(slots, strict=True)
-    rows = spark.read.schema(T.StructType([*kinds, T.StructField("_corrupt_record", T.StringType())])).json(unpacked(path))
+    wanted = T.StructType([*kinds, T.StructField("_corrupt_record", T.StringType())])
+    if kind_of(path):
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+        rows = text_lines(spark, path, [member] if member else None).where("value <> ''").select(F.from_json("value", wanted, options).alias("r")).select("r.*")
+    else:
+        rows = spark.read.schema(wanted).json(path)
     bad = F.raise_error(F.concat(F.lit("not of the slots' types: "), F.col("_corrupt_record")))
     first, *rest = slots
     return rows.select(F.when(F.col("_corrupt_record").isNotNull(), bad.cast(kinds[first].dataType)).otherwise(F.col(first)).alias(first), *rest)
@@ -83,11 +70,11 @@ def read_file(spark: SparkSession, spec: FileSpec, catalogue: Catalogue | None =
     if spec.format == "tsv":
         return read_tsv(spark, spec.path)
     if spec.format == "csv":
-        return spark.read.options(**{**_TSV, "sep": ","}).csv(unpacked(spec.path))
+        return _text_table(spark, spec.path, ",")
     if spec.format == "jsonl":
         return read_jsonl(spark, spec.path, spec.slots, catalogue)
     if spec.format == "json":
-        return spark.read.option("multiLine", True).json(unpacked(spec.path))
+        return read_json(spark, spec.path)
     if spec.format == "parquet":
         return spark.read.parquet(spec.path)
     if spec.format == "yaml":
@@ -120,24 +107,29 @@ def parsed_json(lines: DataFrame) -> DataFrame:
     return lines.sparkSession.read.json(path)
 
 
-def read_yaml(spark: SparkSession, path: str, at: Sequence[str] = ()) -> DataFrame:
-    """The records of YAML documents, each parsed by the task that reads it."""
-    import json
+def _documents(texts: DataFrame, at: Sequence[str], parse) -> DataFrame:
+    """The records of documents, each parsed by the task that reads it."""
 
-    def parse(batches):
+    def run(batches):
         import pandas as pd
 
         for batch in batches:
             for text in batch["value"]:
-                yield pd.DataFrame({"value": [json.dumps(r, default=str) for r in _at(yaml.safe_load(text), at)]})
+                yield pd.DataFrame({"value": [json.dumps(r, default=str) for r in _at(parse(text), at)]})
+
+    return parsed_json(texts.mapInPandas(run, "value string"))
 
-    lines = spark.read.text(path, wholetext=True).mapInPandas(parse, "value string")
-    return parsed_json(lines)
 
+def read_yaml(spark: SparkSession, path: str, at: Sequence[str] = (), member: str | None = None) -> DataFrame:
+    """The records of YAML documents below the keys ``at``."""
+    return _documents(whole_texts(spark, path, [member] if member else None), at, yaml.safe_load)
 
-def read_json(spark: SparkSession, path: str, at: Sequence[str] = ()) -> DataFrame:
+
+def read_json(spark: SparkSession, path: str, at: Sequence[str] = (), member: str | None = None) -> DataFrame:
     """The records of a JSON document below the keys ``at``; a list or one object."""
-    rows = spark.read.option("multiLine", True).json(unpacked(path))
+    if kind_of(path):
+        return _documents(whole_texts(spark, path, [member] if member else None), at, json.loads)
+    rows = spark.read.option("multiLine", True).json(path)
     for key in at:
         kind = rows.schema[key].dataType
         rows = rows.select(F.explode(key).alias("_x")) if isinstance(kind, T.ArrayType) else rows.select(F.col(key).alias("_x"))
@@ -160,82 +152,34 @@ def require_paths(df: DataFrame, paths: Sequence[str]) -> DataFrame:
     return df
 
 
-@dataclass(frozen=True)
-class CsvFormat:
-    """Ingest CSV: delimiter (``tab`` and ``\\\\s`` allowed), header mode (infer, none, or a 0-based line), column types."""
-
-    delimiter: str = "\t"
-    header: str | int = "infer"
-    columns: tuple[str, ...] = ()
-    types: dict[str, str] = field(default_factory=dict)
-    comment: str | None = "#"
-    header_prefix: str = ""
-    header_delimiter: str | None = None
-
-
-_TYPES = {"str": "string", "int": "long", "float": "double"}
-
-
-def _delimiter(x: str) -> str:
-    return {"tab": "\t", "\\s": " "}.get(x, x)
-
-
-def read_csv(spark: SparkSession, paths: Sequence[str], form: CsvFormat = CsvFormat()) -> DataFrame:
-    """Cells are stripped and typed. Configured columns must all be there; a short row is an error when read.
-
-    The header is read on the driver; the scan splits files, and drops the header's own line and those before it.
-    """
-    frames = []
-    for path in paths:
-        path = unpacked(path)
-        text = spark.read.text(path)
-        skip: list[str] = []
-        if form.header == "none":
-            if not form.columns:
-                raise ValueError("header mode none needs columns")
-            names = list(form.columns)
-        elif isinstance(form.header, int):
-            skip = [r["value"] for r in text.limit(form.header + 1).collect()]
-            names = _header(skip[-1], form)
-        else:
-            lines = [r["value"] for r in text.limit(1000).collect()]
-            own = next(x for x in lines if x.strip() and not (form.comment and x.startswith(form.comment) and not (form.header_prefix and x.startswith(form.header_prefix))))
-            skip, names = [own], _header(own, form)
-        absent = set(form.columns) - set(names)
-        if absent:
-            raise ValueError(f"configured columns are absent: {sorted(absent)}")
-        rows = text.where(F.trim("value") != "").where(~F.col("value").isin(skip) if skip else F.lit(True))
-        if form.comment:
-            rows = rows.where(~F.col("value").startswith(form.comment))
-        cells = F.from_csv("value", ", ".join(f"`{i}` string" for i in range(len(names))), {"sep": _delimiter(form.delimiter), "quote": '"', "escape": '"'})
-        enough = F.size(F.split("value", "\\Q" + _delimiter(form.delimiter) + "\\E", -1)) >= len(names)
-        line = F.when(enough, cells).otherwise(F.raise_error(F.concat(F.lit("too few cells: "), F.col("value"))).cast(T.StructType([T.StructField(str(i), T.StringType()) for i in range(len(names))])))
-        parsed = rows.select(line.alias("c")).select(*[F.trim(F.col("c")[str(i)]).alias(n) for i, n in enumerate(names)])
-        wanted = list(form.columns) or names
-        frames.append(parsed.select(*[F.col(c).try_cast(_TYPES[form.types.get(c, "str")]).alias(c) for c in wanted]))
-    return union_by_name(frames)
-
-
-def _header(line: str, form: CsvFormat) -> list[str]:
-    line = line.removeprefix(form.header_prefix)
-    return [c.strip().strip('"') for c in line.split(_delimiter(form.header_delimiter or form.delimiter))]
-
-
 def read_closure(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("subject_id string, predicate_id string, object_id string").option("sep", "\t").csv(path)
 
 
-def read_mappings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """SSSOM files: the ``#`` header is skipped, malformed lines are dropped, ``mapping_source`` is the file's name."""
-    read = spark.read.option("sep", "\t").option("header", True).option("comment", "#").option("mode", "DROPMALFORMED")
-    return union_by_name([read.csv(p).withColumn("mapping_source", F.lit(os.path.basename(p))) for p in paths])
+def read_mappings(spark: SparkSession, paths: Sequence[str], observation: Observation | None = None) -> DataFrame:
+    """SSSOM files: the ``#`` header is skipped, ``mapping_source`` is the file's name. Lines with another number of cells
+    are left out; ``observation`` gets ``rows`` and ``malformed`` in the pass that uses the rows."""
+    frames = []
+    for p in paths:
+        read = spark.read.option("sep", "\t").option("header", True).option("comment", "#").option("enforceSchema", False)
+        names = read.csv(p).columns
+        kinds = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_malformed"]])
+        frames.append(read.schema(kinds).option("columnNameOfCorruptRecord", "_malformed").csv(p).withColumn("mapping_source", F.lit(os.path.basename(p))))
+    rows = union_by_name(frames)
+    bad = F.col("_malformed").isNotNull()
+    if observation is not None:
+        rows = rows.observe(observation, F.count_if(~bad).alias("rows"), F.count_if(bad).alias("malformed"))
+    return rows.where(~bad).drop("_malformed")
 
 
 @dataclass(frozen=True)
 class Loaded:
+    """``losing`` gives, for each file, how many rows lost values of columns that keep one; it is known once they are written."""
+
     graph: Graph
     files: list[dict]
     errors: list[dict]
+    losing: dict[str, Observation] = field(default_factory=dict)
 
 
 def load_graph(
@@ -249,7 +193,7 @@ def load_graph(
     """
     catalogue = catalogue or default_catalogue()
     parts: dict[str, list[DataFrame]] = {"nodes": [], "edges": []}
-    files, errors = [], []
+    files, errors, losing = [], [], {}
     for spec in [s if isinstance(s, FileSpec) else infer_file_spec(s) for s in specs]:
         try:
             df = read_file(spark, spec, catalogue)
@@ -260,7 +204,11 @@ def load_graph(
             continue
         if strict:
             catalogue.schema(df.columns, strict=True)
-        df = split_lists(with_provenance(df, spec.source, spec.source if provided_by else None), sorted(catalogue.multivalued()), single)
+        df = split_lists(with_provenance(df, spec.source, spec.source if provided_by else None), sorted(catalogue.multivalued()))
+        many = [c for c in single if c in df.columns and isinstance(df.schema[c].dataType, T.ArrayType)]
+        if many:
+            losing[spec.path] = Observation()
+            df = split_lists(df.observe(losing[spec.path], *[losing_values(df, c).alias(c) for c in many]), (), many)
         if required and required.get(spec.table):
             bad = [r for r in missing_required(df, list(required[spec.table])).collect() if r["missing"]]
             if bad:
@@ -268,7 +216,7 @@ def load_graph(
         files.append({"file": spec.path, "table": spec.table, "source": spec.source, "columns": [(f.name, f.dataType.simpleString()) for f in df.schema]})
         parts[spec.table].append(df)
     made = {t: union_by_name(x) if x else None for t, x in parts.items()}
-    return Loaded(Graph(made["nodes"], made["edges"]), files, errors)
+    return Loaded(Graph(made["nodes"], made["edges"]), files, errors, losing)
 
 
 def join_graphs(spark: SparkSession, specs: Sequence[FileSpec | str], **options) -> Loaded:

@@ -5,11 +5,13 @@ import tarfile
 import types
 
 import pytest
+from pyspark.sql import Observation
 
 from graphweft.ingest import runner
 from graphweft.model import FileSpec, Graph
 from graphweft.plans.store import GraphStore
-from graphweft.sources import readers, sinks
+from graphweft.sources import archives, delimited, readers, sinks
+from graphweft.sources.positions import first_rows
 from graphweft.streaming import append as stream
 
 
@@ -41,7 +43,7 @@ def test_load_join_and_round_trip(spark, graph_files, tmp_path):
     (archive,) = sinks.export_graph(loaded.graph, str(tmp_path / "tar"), "g", "jsonl", archive=True, compress=True)
     with tarfile.open(archive) as t:
         assert sorted(t.getnames()) == ["g_edges.jsonl", "g_nodes.jsonl"]
-    assert len(readers.extracted(archive, ["g_nodes.jsonl"])) == 1
+    assert archives.members_of(archive) == ["g_nodes.jsonl", "g_edges.jsonl"] and archives.archive_lines(spark, [archive], ["g_nodes.jsonl"]).count() == 3
     with pytest.raises(ValueError, match="lack name"):
         readers.load_graph(spark, paths[:1], required={"edges": ["name"]})
 
@@ -58,16 +60,132 @@ def test_slots_and_strictness(spark, tmp_path):
         readers.load_graph(spark, [str(path.with_name("x_nodes.jsonl"))][:1] and [FileSpec(str(path), "jsonl", "nodes", "x", ("id", "nonsense"))])
 
 
-def test_csv_reader(spark, tmp_path):
+def read(spark, text, tmp_path, **form):
     path = tmp_path / "d.txt"
-    path.write_text("# note\n\na, b ,c\n 1 ,x,2.5\nbad,y,\n")
-    form = readers.CsvFormat(",", columns=("a", "c"), types={"a": "int", "c": "float"})
-    assert rows(readers.read_csv(spark, [str(path)], form), "a", "c") == sorted([(1, 2.5), (None, None)], key=repr)
+    path.write_text(text)
+    return delimited.read_csv(spark, [str(path)], delimited.CsvFormat(",", **form))
+
+
+def test_csv_reader(spark, tmp_path):
+    form = {"columns": ("a", "c"), "types": {"a": "int", "c": "float"}}
+    with pytest.warns(UserWarning, match="aren't configured"):
+        got = read(spark, "# note\n\na, b ,c\n 1 ,x,2.5\n,y,\n", tmp_path, **form)
+    assert rows(got, "a", "c") == sorted([(1, 2.5), (None, None)], key=repr)
+    with pytest.warns(UserWarning), pytest.raises(Exception, match="not of type int: bad"):
+        read(spark, "a,b,c\nbad,x,1\n", tmp_path, **form).collect()
     with pytest.raises(ValueError, match="absent"):
-        readers.read_csv(spark, [str(path)], readers.CsvFormat(",", columns=("z",)))
-    path.write_text("a,b\n1\n")
-    with pytest.raises(Exception, match="too few"):
-        readers.read_csv(spark, [str(path)], readers.CsvFormat(",")).collect()
+        read(spark, "a,b\n", tmp_path, columns=("z",))
+    with pytest.raises(Exception, match="too few cells: 1"):
+        read(spark, "a,b\n1\n", tmp_path).collect()
+    with pytest.raises(ValueError, match="no header"):
+        read(spark, "# only\n\n", tmp_path)
+    with pytest.warns(UserWarning, match="another order"):
+        read(spark, "b,a\n1,2\n", tmp_path, columns=("a", "b"))
+
+
+def test_csv_lines_are_told_by_place(spark, tmp_path):
+    # a data row equal to the header, or to a skipped line, stays
+    assert rows(read(spark, "a,b\n1,2\na,b\n", tmp_path), "a", "b") == [("1", "2"), ("a", "b")]
+    assert rows(read(spark, "x,y\na,b\nx,y\n1,2\n", tmp_path, header=1), "a", "b") == [("1", "2"), ("x", "y")]
+    # a header after very many comments
+    assert rows(read(spark, "# c\n" * 3000 + "a,b\n1,2\n", tmp_path), "a", "b") == [("1", "2")]
+    assert rows(read(spark, "#a,b\n1,2\n", tmp_path, header_prefix="#"), "a", "b") == [("1", "2")]
+    assert rows(read(spark, "a|b\n1,2\n", tmp_path, header_delimiter="|"), "a", "b") == [("1", "2")]
+    # blank lines are skipped, or rows of NaN
+    assert read(spark, "a,b\n\n1,2\n", tmp_path).count() == 1
+    assert rows(read(spark, "a,b\n\n1,2\n", tmp_path, skip_blank=False), "a", "b") == [("1", "2"), ("NaN", "NaN")]
+    # cells beyond the header go, and are counted
+    seen = Observation()
+    (tmp_path / "d.txt").write_text("a,b\n1,2,3\n4,5\n")
+    got = delimited.read_csv(spark, [str(tmp_path / "d.txt")], delimited.CsvFormat(","), observation=seen)
+    assert rows(got, "a", "b") == [("1", "2"), ("4", "5")] and seen.get == {"rows": 2, "long_rows": 1}
+
+
+QUOTED = [
+    'a,"b\nc",d', '"x ""y"" z",2,3', '5" pipe,"",6', '"open\n\n# no comment\nstill",1,2', 'say "hi",x,y', '"a""",b,c', '"""",2,3', '"q",w"e,r', '"tail"x,1,2', '"1\n2","3\n4","5\n6"',
+]
+
+
+@pytest.mark.parametrize("most", ["20b", "64b", "1m"])
+def test_quoted_line_breaks_over_splits(spark, tmp_path, most):
+    import csv
+    import io
+
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in kept:
+        spark.conf.set(k, most)
+    try:
+        text = "k,l,m\n" + "\n".join(QUOTED * 3) + "\n"
+        want = [tuple(c.strip() for c in r) for r in csv.reader(io.StringIO(text, newline=""))][1:]
+        assert rows(read(spark, text, tmp_path), "k", "l", "m") == sorted(want, key=repr)
+        # the first rows in the order of the file, across its splits
+        placed = delimited.read_csv(spark, [str(tmp_path / "d.txt")], delimited.CsvFormat(","), places=True)
+        for n in (1, 7, 29, 99):
+            assert rows(first_rows(placed, n), "k", "l", "m") == sorted(want[:n], key=repr)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+
+
+def test_archives_xz_and_web(spark, tmp_path):
+    import http.server
+    import lzma
+    import threading
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("one.csv", 'a,b\n1,"x\ny"\n')
+        z.writestr("dir/two.csv", "a,b\n2,z\n")
+        z.writestr("r.json", '{"rows": [{"a": 1}, {"a": 2}]}')
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as t:
+        for name in ("one.csv", "two.csv"):
+            (tmp_path / name).write_text("a,b\n" + f"{name},q\n")
+            t.add(tmp_path / name, name)
+    with lzma.open(tmp_path / "x_nodes.jsonl.xz", "wt") as f:
+        f.write('{"id": "A", "name": "n"}\n')
+    reader = {"file_archive": str(tmp_path / "a.zip"), "files": ["one.csv", "dir/two.csv"], "delimiter": ","}
+    assert rows(runner.read_source(spark, reader), "a", "b") == [("1", "x\ny"), ("2", "z")]
+    assert rows(runner.read_source(spark, {**reader, "limit": 1}), "a", "b") == [("1", "x\ny")]
+    with pytest.raises(FileNotFoundError, match="three"):
+        runner.read_source(spark, {**reader, "files": ["three.csv"]})
+    assert rows(runner.read_source(spark, {"file_archive": str(tmp_path / "a.zip"), "files": ["r.json"], "format": "json", "json_path": ["rows"]}), "a") == [(1,), (2,)]
+    assert rows(runner.read_source(spark, {"files": [str(tmp_path / "a.tar.gz")], "delimiter": ","}), "a") == [("one.csv",), ("two.csv",)]
+    assert rows(readers.load_graph(spark, [str(tmp_path / "x_nodes.jsonl.xz")]).graph.nodes, "id", "name") == [("A", "n")]
+    handler = lambda *a: http.server.SimpleHTTPRequestHandler(*a, directory=str(tmp_path))
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        url = f"http://127.0.0.1:{server.server_port}/one.csv"
+        assert rows(runner.read_source(spark, {"files": [url], "delimiter": ","}), "a") == [("one.csv",)]
+        server.shutdown()
+
+
+def test_written_archives_read_back(spark, tmp_path):
+    lines = spark.createDataFrame([("m1", "a"), ("m1", "b"), ("m2", "c")], "member string, value string").repartition(2, "member")
+    for ending in (".zip", ".tar", ".tar.gz"):
+        made = sinks.write_archives(lines, str(tmp_path / ending[1:]), ending)
+        assert rows(archives.archive_lines(spark, made), "member", "value") == [("m1", "a"), ("m1", "b"), ("m2", "c")]
+
+
+def test_state_over_records(spark):
+    add = lambda value, record: value + record["x"]
+    states = [runner.State("sum", int, add, lambda a, b: a + b), runner.State("most", lambda: None, lambda v, r: max(v or 0, r["x"]), lambda a, b: max(a or 0, b or 0))]
+    df = spark.range(1000).selectExpr("id as x").repartition(40)
+    into: dict = {}
+    graph = runner.records_to_graph(df, [lambda r: [{"id": str(r["x"]), "name": "n"}]], states=states, into=into)
+    assert into == {"sum": 499500, "most": 999} and graph.nodes.count() == 1000
+    runner.records_to_graph(df.limit(0), (), "id string", "id string", states, into)
+    assert into["sum"] == 0
+
+
+def test_null_ids_are_never_repeats(spark, tmp_path):
+    nodes = spark.createDataFrame([("A", "1"), ("A", "2"), (None, "3"), (None, "4")], "id string, name string")
+    assert sinks.write_nodes_and_edges(nodes, None, str(tmp_path), "g") == {"nodes": 3}
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "1.jsonl").write_text('{"id": null, "name": "x"}\n{"id": null, "name": "y"}\n{"id": "A", "name": "z"}\n')
+    for _ in range(2):
+        stream.append_stream(spark, str(source), nodes.schema, str(tmp_path / "t"), str(tmp_path / "c"), "nodes").awaitTermination(120)
+        assert GraphStore(spark, str(tmp_path / "t"), "r").stats() == {"nodes": 3}
 
 
 def test_json_yaml_and_mappings(spark, tmp_path):
@@ -129,7 +247,7 @@ def test_streaming_append(spark, tmp_path):
         if name:
             (source / name).write_text('{"id": "A", "name": "z"}\n{"id": "B", "name": "b"}\n')
         stream.append_stream(spark, str(source), schema, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(120)
-        assert spark.read.parquet(str(tmp_path / "t")).count() == n
+        assert GraphStore(spark, str(tmp_path / "t"), "r").table("edges").where("id is not null").count() == n
 
 
 def test_large_exports_are_folders_written_by_all_tasks(spark, tmp_path, monkeypatch):
