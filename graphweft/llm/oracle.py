@@ -6,13 +6,8 @@ from . import mixing, quality
 
 
 def _quality() -> str:
-    rules = "\n  union all ".join(
-        f"select stratum, quality, '{r}' as rule, {r} as value, step, cutoff from f, (values {', '.join(f'({i}, {c}::double)' for i, c in enumerate(g))}) as t(step, cutoff) where quality is not null and not base_failed"
-        for r, g in quality.GRIDS.items()
-    )
-    n_rules, top = len(quality.GRIDS), max(map(len, quality.GRIDS.values()))
-    over = " or ".join(f"coalesce({r} > (select cutoff from best b where b.rule = '{r}' and b.stratum = f.stratum), false)" for r in quality.GRIDS)
-    alpha, white = 0.05 / n_rules, r"[\x20\x09-\x0D]"
+    first = "case " + " ".join(f"when {r} > {c!r} then {i + 1}" for i, (r, c) in enumerate(quality.PATH)) + " end"
+    alpha, top, white = 0.05, len(quality.PATH), r"[\x20\x09-\x0D]"
     return rf"""
 with t as (
   select doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as text from documents
@@ -45,26 +40,26 @@ with t as (
     case when n_words = 0 then 0 else n_marks / n_words::double end as mark_ratio,
     quality
   from c left join (select doc_id, min(quality) as quality from labels where quality in (0, 1) group by doc_id) l on c.doc_id = l.doc_id
+), placed as (
+  select *, {first} as first from f
+), counted as (
+  select stratum, first, sum(quality) as good, count(*) filter (where quality = 0) as bad from placed where quality is not null and not base_failed group by all
 ), tried as (
-  {rules}
-), cells as (
-  select stratum, rule, step, cutoff, sum(quality)::bigint as n_good,
-    count(*) filter (where quality = 1 and value > cutoff) as good_lost,
-    count(*) filter (where quality = 0 and value > cutoff) as bad_caught
-  from tried group by all
+  select stratum, step, sum(good)::bigint as n_good, coalesce(sum(good) filter (where first <= step), 0)::bigint as good_lost, coalesce(sum(bad) filter (where first <= step), 0)::bigint as bad_caught
+  from counted, range(1, {top} + 1) as s(step) group by all
 ), tested as (
   select *, n_good > 0 and list_sum(list_transform(range(0, good_lost + 1), lambda i:
       case when i > n_good then 0 else exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(greatest(n_good - i, 0) + 1) + i * ln({alpha!r}) + (n_good - i) * ln(1 - {alpha!r})) end))
-      <= 0.05 / ((select count(distinct stratum) from cells) * {n_rules}) as passed
-  from cells
-), best as (
-  select stratum, rule, arg_max(cutoff, (bad_caught - 20.0 * good_lost, -step)) as cutoff
-  from (select *, coalesce(min(step) filter (where not passed) over (partition by stratum, rule), {top}) as failed_at from tested)
-  where step < failed_at group by stratum, rule
+      <= 0.05 / (select count(distinct stratum) from tried) as passed
+  from tried
+), chosen as (
+  select stratum, arg_max(step, (bad_caught - 20.0 * good_lost, -step)) as step
+  from (select *, coalesce(min(step) filter (where not passed) over (partition by stratum), {top} + 1) as failed_at from tested)
+  where step < failed_at and bad_caught - 20.0 * good_lost > 0 group by stratum
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not ({over}) as kept
-from f
+  not base_failed and not coalesce(first <= step, false) as kept
+from placed p left join chosen c on p.stratum = c.stratum
 """
 
 

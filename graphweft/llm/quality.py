@@ -1,14 +1,19 @@
 """Quality rules with risk-controlled thresholds. DataFrame functions only.
 
 Rules reject a document when a ratio exceeds a cutoff. The cutoffs come from a
-labelled holdout: a rule's grid of candidate cutoffs is fixed beforehand, and a
-candidate is certified in a stratum when an exact binomial test rejects "it
-rejects more than ``risk / number of rules`` of the good documents". The test
-levels share ``delta`` over strata and rules; inside a rule the grid is tested
-in a fixed order, lenient to strict, and testing stops at the first failure, so
-the family-wise error is at most ``delta``. Among certified cutoffs the one
-that rejects most bad documents, each good one weighing ``good_weight`` bad
-ones, is used; a stratum without a certified cutoff has none.
+labelled holdout. All rules together are tightened along one path that is fixed
+beforehand, from no rule at all, one cutoff a step, lenient to strict. A step is
+certified in a stratum when an exact binomial test rejects "the rules as tight as
+this reject more than ``risk`` of the good documents". Inside a stratum the steps
+are tested in their order and testing stops at the first failure, which needs no
+correction; the strata share ``delta``, so with a chance of at least 1 - ``delta``
+no stratum loses more than ``risk`` of its good documents. Among certified steps
+the one that rejects most bad documents, each good one weighing ``good_weight``
+bad ones, is used, or none if nothing is gained. As every rule's part is in the
+one test, ln(delta / strata) / ln(1 - risk) good rows suffice to begin.
+
+Along the path a document is rejected from some step on, so a stratum's labels are
+counted by that step alone.
 
 Null text has no words. Empty tables give empty results; a row whose stratum
 has no labels is judged by the base rules alone; repeated rows are judged each
@@ -32,6 +37,8 @@ GRIDS = {
     "upper_ratio": (0.9, 0.75, 0.6, 0.5, 0.4, 0.3, 0.2),
     "mark_ratio": (1.5, 1.0, 0.75, 0.5, 0.3, 0.2),
 }
+#: The path: (rule, cutoff) in the order in which cutoffs are tightened, all rules' first ones first.
+PATH = tuple((r, g[k]) for k in range(max(map(len, GRIDS.values()))) for r, g in GRIDS.items() if k < len(g))
 
 
 def _removed(text: Column, chars: str) -> Column:
@@ -129,62 +136,65 @@ def _binomial_cdf(k: Column, n: Column, p: Column) -> Column:
     )
 
 
+def first_step(at=F.col) -> Column:
+    """The first step, from 1, at which the path rejects a document with these ratios; null if none does."""
+    return F.coalesce(*[F.when(at(r) > c, F.lit(i + 1)) for i, (r, c) in enumerate(PATH)])
+
+
 def thresholds(features: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, good_weight: float = 20.0) -> DataFrame:
-    """Rows (stratum, rule, cutoff): the chosen cutoff of each rule that has a certified one.
+    """Rows (stratum, step, n_good, good_lost, bad_caught): the chosen step of each stratum with a certified one.
 
     ``features``: doc_id, stratum, ratios. ``labels``: doc_id, quality 0 or 1; other labels are not used.
     """
     marks = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("value"), F.array(*map(F.lit, g)).alias("grid")) for r, g in GRIDS.items()])
-    cells = (
+    counted = (
         features.where(~F.col("base_failed"))
         .join(marks, "doc_id")
-        .select("stratum", "quality", F.inline(rules))
-        .select("stratum", "rule", "quality", "value", F.posexplode("grid").alias("step", "cutoff"))
-        .groupBy("stratum", "rule", "step", "cutoff")
-        .agg(
-            F.sum(F.col("quality").cast("long")).alias("n_good"),
-            F.count_if((F.col("quality") == 1) & (F.col("value") > F.col("cutoff"))).alias("good_lost"),
-            F.count_if((F.col("quality") == 0) & (F.col("value") > F.col("cutoff"))).alias("bad_caught"),
-        )
+        .groupBy("stratum", first_step().alias("first"))
+        .agg(F.sum(F.col("quality").cast("long")).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
+    )
+    # at most len(PATH) + 1 rows a stratum from here on
+    reached = F.coalesce(F.col("first") <= F.col("step"), F.lit(False))
+    tried = (
+        counted.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(PATH)))))
+        .groupBy("stratum", "step")
+        .agg(F.sum("good").alias("n_good"), F.sum(F.when(reached, F.col("good")).otherwise(0)).alias("good_lost"), F.sum(F.when(reached, F.col("bad")).otherwise(0)).alias("bad_caught"))
     )
-    strata = cells.select("stratum").distinct().agg(F.count("*").alias("n_strata")).withColumn("_one", F.lit(0))
+    strata = tried.select("stratum").distinct().agg(F.count("*").alias("n_strata")).withColumn("_one", F.lit(0))
     tested = (
-        cells.withColumn("_one", F.lit(0))
+        tried.withColumn("_one", F.lit(0))
         .join(F.broadcast(strata), "_one")  # one row
-        .withColumn("p_value", _binomial_cdf(F.col("good_lost"), F.col("n_good"), F.lit(risk / len(GRIDS))))
-        .withColumn("passed", (F.col("n_good") > 0) & (F.col("p_value") <= F.lit(delta) / (F.col("n_strata") * len(GRIDS))))
+        .withColumn("p_value", _binomial_cdf(F.col("good_lost"), F.col("n_good"), F.lit(risk)))
+        .withColumn("passed", (F.col("n_good") > 0) & (F.col("p_value") <= F.lit(delta) / F.col("n_strata")))
     )
-    best = (
-        tested.groupBy("stratum", "rule")
-        .agg(F.array_sort(F.collect_list(F.struct("step", "cutoff", "passed", "bad_caught", "good_lost"))).alias("steps"))
-        .withColumn("failed_at", F.coalesce(F.get(F.filter("steps", lambda s: ~s["passed"]), F.lit(0))["step"], F.lit(len(max(GRIDS.values(), key=len)))))
-        .select("stratum", "rule", F.inline(F.filter("steps", lambda s: s["step"] < F.col("failed_at"))))
+    failed = tested.where(~F.col("passed")).groupBy("stratum").agg(F.min("step").alias("failed_at"))
+    return (
+        tested.join(failed, "stratum", "left")
+        .where(F.col("step") < F.coalesce("failed_at", F.lit(len(PATH) + 1)))
         .withColumn("gain", F.col("bad_caught") - good_weight * F.col("good_lost"))
-        .groupBy("stratum", "rule")
-        .agg(F.max_by("cutoff", F.struct("gain", -F.col("step"))).alias("cutoff"))
+        .where("gain > 0")
+        .groupBy("stratum")
+        .agg(F.max(F.struct("gain", (-F.col("step")).alias("early"), "n_good", "good_lost", "bad_caught")).alias("x"))
+        .select("stratum", (-F.col("x.early")).alias("step"), "x.n_good", "x.good_lost", "x.bad_caught")
     )
-    return best
+
+
+def cutoffs(step: int) -> dict[str, float]:
+    """The cutoff of each rule that has one at a step."""
+    return dict(PATH[:step])
 
 
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """``docs`` with the features struct ``_f`` and the verdict ``_kept``; texts aren't shuffled."""
-    rows = staged(with_features(docs), "quality")
+    """``docs`` without ``text``, with the features struct ``_f`` and the verdict ``_kept``; texts aren't shuffled."""
+    rows = staged(with_features(docs).drop("text"), "quality")
     features = rows.select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), "_f.*")
-    cutoffs = (
-        thresholds(features, labels, risk, delta)
-        .groupBy("stratum")
-        .agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs"))
-    )
-    over = [F.coalesce(F.col("_f")[r] > F.try_element_at(F.col("_cutoffs"), F.lit(r)), F.lit(False)) for r in GRIDS]
-    rejected = over[0]
-    for x in over[1:]:
-        rejected = rejected | x
+    chosen = thresholds(features, labels, risk, delta).select(F.col("stratum").alias("_stratum"), F.col("step").alias("_step"))
+    rejected = F.coalesce(first_step(lambda r: F.col("_f")[r]) <= F.col("_step"), F.lit(False))
     return (
         rows.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-        .join(cutoffs.withColumnRenamed("stratum", "_stratum"), "_stratum", "left")
+        .join(chosen, "_stratum", "left")
         .withColumn("_kept", ~F.col("_f")["base_failed"] & ~rejected)
-        .drop("_stratum", "_cutoffs")
+        .drop("_stratum", "_step")
     )
 
 

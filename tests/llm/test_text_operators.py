@@ -308,8 +308,11 @@ def test_quality_thresholds_bound_the_risk(spark):
         if rule != "symbol_ratio":
             features = features.withColumn(rule, F_lit(0.0))
     marks = spark.createDataFrame([(i, q) for i, _, _, q in rows], "doc_id long, quality int")
-    chosen = {x.rule: x.cutoff for x in quality.thresholds(features, marks).collect()}
-    assert chosen["symbol_ratio"] == 0.1
+    (chosen,) = quality.thresholds(features, marks).collect()
+    assert quality.cutoffs(chosen.step)["symbol_ratio"] == 0.1 and chosen.good_lost == 0
+    # about ln(delta) / ln(1 - risk) = 59 good rows suffice, fewer certify nothing
+    few = features.orderBy("doc_id")
+    assert quality.thresholds(few.limit(84), marks).count() == 1 and quality.thresholds(few.limit(72), marks).count() == 0
 
 
 # --- token output -------------------------------------------------------------------
@@ -665,17 +668,19 @@ def test_quality_verdicts_where_cutoffs_bind(spark):
         marks.append((i, int(good), 0))
     df, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     got = {x.doc_id: x.kept for x in quality.quality_report(df, labels).collect()}
-    limit, delta = 0.05 / len(quality.GRIDS), 0.05 / (2 * len(quality.GRIDS))
+    limit, delta = 0.05, 0.05 / 2
     for lang in ("en", "de"):
         own = [(i, t.count("#") / 80, m[1]) for (i, t, g, *_), m in zip(rows, marks, strict=True) if g == lang]
-        cutoff, gain = None, None
-        for c in quality.GRIDS["symbol_ratio"]:
+        cutoff, gain = None, 0
+        for rule, c in quality.PATH:
+            if rule != "symbol_ratio":
+                continue  # these reject none of the rows
             lost = sum(x > c for _, x, q in own if q)
             n = sum(q for *_, q in own)
             if sum(math.comb(n, k) * limit**k * (1 - limit) ** (n - k) for k in range(lost + 1)) > delta:
                 break
             value = sum(x > c for _, x, q in own if not q) - 20.0 * lost
-            if gain is None or value > gain:
+            if value > gain:
                 cutoff, gain = c, value
         assert cutoff is not None
-        assert all(not got[i] for i, x, _ in own if x > cutoff) and sum(got[i] for i, x, q in own if q) > 0.9 * n
+        assert all(got[i] == (x <= cutoff) for i, x, _ in own) and sum(got[i] for i, x, q in own if q) > 0.9 * n
