@@ -1,59 +1,67 @@
-"""Connected components of an edge list, by min-label propagation with pointer jumping."""
+"""Connected components of an edge list, by local contractions."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint in ``spark.checkpoint.dir``."""
+def _shared(df: DataFrame) -> str:
     context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="graphweft-"))
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by a reliable checkpoint in ``spark.checkpoint.dir``."""
+    _shared(df)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``df`` cut from its lineage by one write to the shared folder, and its rows, counted while they are written."""
+    path, seen = f"{_shared(df)}/{label}-{uuid.uuid4().hex}", Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
 def connected_components(edges: DataFrame, source: str, target: str, max_rounds: int = 200) -> DataFrame:
     """Rows (id, component) for every non-null end of an edge; component is its least id.
 
-    Each round every id takes the least label among itself and its neighbours,
-    then the label of its label, so a chain of n ids takes about log n rounds.
-    Edges between ids of one label no longer matter and are dropped. Hot ids
-    aren't gathered: a round only keeps minima, combined before the shuffle.
+    In each round every id that still has edges moves to the one with the least hash among itself and its
+    neighbours, under another hash each time; edges between ids that meet are dropped. So about half of the
+    ids or more go in a round, whatever the graph's diameter, and a round is one grouped minimum and one
+    pass of two joins, each written once. At the end the moves are put together from the last and smallest
+    round to the first. Hot ids aren't gathered: a round only keeps minima, combined before the shuffle.
     """
     ends = edges.select(F.col(source).alias("u"), F.col(target).alias("v")).where("u is not null and v is not null")
-    both = checkpointed(ends.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    labels = checkpointed(ends.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("component", F.col("id")))
-    live = both
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            return labels
-        # labels are roots of trees: hook the larger root of an edge under the least root next to it
-        hooks = live.groupBy(F.col("v").alias("root")).agg(F.min("u").alias("to"))
-        hooks = checkpointed(hooks)
-        while True:  # pointer jumping among the roots that moved, until all point at roots that stay
-            jumped = checkpointed(
-                hooks.alias("h")
-                .join(hooks.alias("g"), F.col("h.to") == F.col("g.root"), "left")
-                .select("h.root", F.coalesce("g.to", "h.to").alias("to"), F.col("g.to").isNotNull().alias("moved"))
-            )
-            hooks = jumped.select("root", "to")
-            if jumped.where("moved").isEmpty():
-                break
-        labels = checkpointed(
-            labels.join(hooks, labels["component"] == hooks["root"], "left").select("id", F.coalesce("to", "component").alias("component"))
-        )
-        a = hooks.select(F.col("root").alias("u"), F.col("to").alias("u_to"))
-        b = hooks.select(F.col("root").alias("v"), F.col("to").alias("v_to"))
-        live = checkpointed(
-            live.join(a, "u", "left")
-            .join(b, "v", "left")
-            .select(F.coalesce("u_to", "u").alias("x"), F.coalesce("v_to", "v").alias("y"))
-            .where("x <> y")
-            .select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-            .distinct()
-        )
-    raise RuntimeError(f"no convergence after {max_rounds} rounds")
+    # repeated edges go; loops stay for now, as they name ids
+    whole, _ = stored(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "components-edges")
+    live, n, moves = whole.where("u <> v"), 1, []
+    while n:
+        if len(moves) == max_rounds:
+            raise RuntimeError(f"no convergence after {max_rounds} rounds")
+        hashed = lambda c: F.xxhash64(F.lit(len(moves)), F.col(c))  # noqa: E731, B023
+        both = live.select("u", "v").unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(F.col("u").alias("id")).agg(F.min(F.struct(hashed("v").alias("h"), "v")).alias("near"))
+        own = F.struct(hashed("id").alias("h"), F.col("id").alias("v"))
+        move, _ = stored(least.select("id", F.least("near", own)["v"].alias("to")), "components-moves")
+        moves.append(move)
+        a, b = (move.select(F.col("id").alias(x), F.col("to").alias(f"to_{x}")) for x in "uv")
+        met = live.join(a, "u").join(b, "v").where("to_u <> to_v")
+        live, n = stored(met.select(F.least("to_u", "to_v").alias("u"), F.greatest("to_u", "to_v").alias("v")).distinct(), "components-edges")
+    ids = whole.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    placed = moves.pop()
+    while moves:
+        later = placed.select(F.col("id").alias("to"), F.col("to").alias("root"))
+        placed = moves.pop().join(later, "to", "left").select("id", F.coalesce("root", "to").alias("to"))
+    placed = ids.join(placed, "id", "left").select("id", F.coalesce("to", "id").alias("root"))
+    placed, _ = stored(placed, "components-roots")
+    named = placed.groupBy("root").agg(F.min("id").alias("component"))
+    return placed.join(named, "root").select("id", "component")
