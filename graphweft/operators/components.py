@@ -31,20 +31,47 @@ def stored(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
+#: Edges that one task may finish, so that the last and smallest rounds don't each cost two jobs.
+LAST = 20_000
+
+
+def _united(batches):
+    """(id, to) of the few edges that are left: the roots that joining them one by one gives."""
+    import pandas as pd
+
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch["u"].tolist(), batch["v"].tolist(), strict=True):
+            a, b = root(u), root(v)
+            parent[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"id": list(parent), "to": [root(x) for x in parent]})
+
+
 def connected_components(edges: DataFrame, source: str, target: str, max_rounds: int = 200) -> DataFrame:
     """Rows (id, component) for every non-null end of an edge; component is its least id.
 
     In each round every id that still has edges moves to the one with the least hash among itself and its
     neighbours, under another hash each time; edges between ids that meet are dropped. So about half of the
     ids or more go in a round, whatever the graph's diameter, and a round is one grouped minimum and one
-    pass of two joins, each written once. At the end the moves are put together from the last and smallest
+    pass of two joins, each written once. Once no more than ``LAST`` edges are counted, one task ends them. At the end the moves are put together from the last and smallest
     round to the first. Hot ids aren't gathered: a round only keeps minima, combined before the shuffle.
     """
     ends = edges.select(F.col(source).alias("u"), F.col(target).alias("v")).where("u is not null and v is not null")
     # repeated edges go; loops stay for now, as they name ids
     whole, _ = stored(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "components-edges")
-    live, n, moves = whole.where("u <> v"), 1, []
+    live, moves = whole.where("u <> v"), []
+    n = live.count()
     while n:
+        if n <= LAST:
+            kind = live.schema["u"].dataType.simpleString()
+            moves.append(stored(live.coalesce(1).mapInPandas(_united, f"id {kind}, to {kind}"), "components-moves")[0])
+            break
         if len(moves) == max_rounds:
             raise RuntimeError(f"no convergence after {max_rounds} rounds")
         hashed = lambda c: F.xxhash64(F.lit(len(moves)), F.col(c))  # noqa: E731, B023
@@ -57,6 +84,8 @@ def connected_components(edges: DataFrame, source: str, target: str, max_rounds:
         met = live.join(a, "u").join(b, "v").where("to_u <> to_v")
         live, n = stored(met.select(F.least("to_u", "to_v").alias("u"), F.greatest("to_u", "to_v").alias("v")).distinct(), "components-edges")
     ids = whole.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    if not moves:
+        return ids.withColumn("component", F.col("id"))
     placed = moves.pop()
     while moves:
         later = placed.select(F.col("id").alias("to"), F.col("to").alias("root"))
