@@ -7,10 +7,12 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import yaml
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .components import checkpointed
+
 SCALARS = {
     "integer": T.LongType(), "float": T.DoubleType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
     "string": T.StringType(), "uriorcurie": T.StringType(), "date": T.StringType(), "datetime": T.StringType(), "time": T.StringType(),
@@ -105,11 +107,18 @@ class Catalogue:
         )
 
     # --- inheritance
+    def parents(self, name: str) -> list[str]:
+        """The classes that a class is derived from: its ``is_a`` and its mixins."""
+        x = self.classes.get(name, {})
+        return [p for p in (x.get("is_a"), *(x.get("mixins") or ())) if p in self.classes]
+
     def ancestors(self, name: str) -> list[str]:
-        out = []
-        while name in self.classes and name not in out:
-            out.append(name)
-            name = self.classes[name].get("is_a", "")
+        out, open_ = [], [name] if name in self.classes else []
+        while open_:
+            now = open_.pop(0)
+            if now not in out:
+                out.append(now)
+                open_ += self.parents(now)
         return out
 
     def descendants(self, name: str) -> list[str]:
@@ -190,10 +199,43 @@ class Catalogue:
                 found |= {(f"biolink:{camel(s)}", f"biolink:{p}", f"biolink:{camel(o)}") for o in self.descendants(x["range"])}
         return sorted(found)
 
+    def relations(self, spark: SparkSession) -> dict[str, DataFrame]:
+        """The model as tables, each of the model's own size: ``lineage`` (class, ancestor), ``constraints`` (association, subject,
+        predicate, object) and ``legal`` (subject, predicate, object), whose classes stand for their descendants too, and ``prefixes``
+        (class, prefix)."""
+        named = lambda c: f"biolink:{camel(c)}"
+        parents = [(named(c), named(p)) for c in self.classes for p in self.parents(c)] + [(named(c), named(c)) for c in self.classes]
+        bound = []
+        for c, x in self.classes.items():
+            use = x.get("slot_usage")
+            if use and {"subject", "predicate", "object"} <= set(use):
+                predicates = use["predicate"] if isinstance(use["predicate"], list) else [use["predicate"]]
+                bound += [(named(c), named(use["subject"]), f"biolink:{snake(p)}", named(use["object"])) for p in predicates]
+        legal = {x[1:] for x in bound} | {(named(x["domain"]), f"biolink:{p}", named(x["range"])) for p, x in self.predicates.items()}
+        own = [(c, p) for c, ps in self.prefixes().items() for p in ps]
+        made = {
+            "constraints": (bound, "association string, subject string, predicate string, object string"),
+            "legal": (sorted(legal), "subject string, predicate string, object string"),
+            "prefixes": (own, "class string, prefix string"),
+            "lineage": (parents, "class string, ancestor string"),
+        }
+        tables = {k: spark.createDataFrame(rows, kinds) for k, (rows, kinds) in made.items()}
+        return {**tables, "lineage": closed(tables["lineage"])}
+
     def prefixes(self) -> dict[str, list[str]]:
         return {f"biolink:{camel(c)}": x["id_prefixes"] for c, x in self.classes.items() if x.get("id_prefixes")}
 
 
+def closed(lineage: DataFrame) -> DataFrame:
+    """(class, ancestor) with all ancestors, from pairs that include each class with itself. Each round doubles the length of the
+    paths that are covered, so the rounds grow with the logarithm of the hierarchy's depth; rings are no trouble."""
+    pairs, n = checkpointed(lineage.distinct()), -1
+    while n != (n := pairs.count()):
+        up = pairs.select(F.col("class").alias("ancestor"), F.col("ancestor").alias("_up"))
+        pairs = checkpointed(pairs.join(up, "ancestor").select("class", F.col("_up").alias("ancestor")).distinct())
+    return pairs
+
+
 @lru_cache(maxsize=1)
 def default_catalogue() -> Catalogue:
     return Catalogue.load(DEFAULT_MODEL)

@@ -279,6 +279,25 @@ def append_new_only(spark, g):
     return store.table("edges").select("id", "predicate", "file_source", "batch")
 
 
+def estimates_from_sketches(spark, g):
+    """Distinct values and quantiles of edges that came in four segments, from sketches alone, against the exact ones."""
+    store = GraphStore(spark, readers.shared_folder(spark, "store"))
+    store.put("edges", g.edges.where("file_source = 'lineitem'"))
+    store.sketch("edges")
+    for source in ("customer", "orders", "events"):
+        store.append("edges", g.edges.where(F.col("file_source") == source))
+        store.sketch("edges")
+    found, edges = {r["column"]: r for r in store.estimates("edges").collect()}, store.table("edges")  # a row a column
+    checks = []
+    for c, r in found.items():
+        near = F.abs(F.count_distinct(c) - r["distinct"]) <= F.lit(1) + 0.04 * F.count_distinct(c)
+        ranks = F.lit(True)
+        for p, q in zip((0.25, 0.5, 0.75), r["quantiles"] or (), strict=False):
+            ranks = ranks & (F.count_if(F.col(c) < q) <= (p + 0.015) * F.count(c)) & (F.count_if(F.col(c) <= q) >= (p - 0.015) * F.count(c))
+        checks.append(F.struct(F.lit(c).alias("column_name"), F.lit(r["n"]).alias("n"), near.alias("distinct_near"), ranks.alias("quantiles_near"), F.lit(r["quantiles"] is not None).alias("is_number")))
+    return edges.agg(F.array(*checks).alias("x")).select(F.inline("x"))
+
+
 def _laid_out(spark, g) -> GraphStore:
     store = GraphStore(spark, readers.shared_folder(spark, "store"))
     store.save(Graph(g.nodes, g.edges))
@@ -358,6 +377,7 @@ select coalesce(x.t, n.id) as subject, 'is_a' as predicate, 'THING:' || coalesce
     store_load_back: "select id, file_source from nodes where category = 'Part' union all select id, file_source from edges",
     append_new_only: """select distinct id, predicate, file_source, cast(null as integer) as batch from edges where file_source in ('lineitem', 'events')
 union all select id, 'changed', file_source, 2 from edges where file_source = 'customer'""",
+    estimates_from_sketches: " union all ".join(f"select '{c}' as column_name, count({c}) as n, true as distinct_near, true as quantiles_near, {str(kind == 'double').lower()} as is_number from edges" for c, kind in _TYPES.items()),
     stored_dangling_edges: "select id, subject, predicate, object from edges where subject is null or object is null or subject not in (select id from nodes) or object not in (select id from nodes)",
     stored_singleton_nodes: "select id, category from nodes where id not in (select subject from edges where subject is not null) and id not in (select object from edges)",
     stored_named_edges: """with kept as (select * from (select *, row_number() over (partition by id order by file_source nulls last) as rn from nodes) where rn = 1)

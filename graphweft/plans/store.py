@@ -32,6 +32,8 @@ from ..sources import filesystem as fs
 
 #: Keys for each 64-bit word of a filter.
 KEYS_A_WORD = 4
+#: The size of the sketches of distinct values, as a power of two, and of quantiles.
+DISTINCT_LG_K, QUANTILE_K = 14, 800
 #: The largest bucket's rows may be so many times the mean's before joins leave the buckets unused.
 UNEVEN = 4
 
@@ -302,6 +304,37 @@ class GraphStore:
         finally:
             maybe.unpersist()
 
+    # --- sketches ------------------------------------------------------------------
+
+    def sketch(self, name: str) -> int:
+        """Sketches of the segments that have none yet: distinct values of each plain column, and quantiles of numbers.
+        Returns how many segments were read."""
+        plain = [f for f in self._schema(name) if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+        read = 0
+        for s in self._entry(name)["segments"]:
+            folder = f"{self.path}/index/{name}/seg={s['n']}/sketches"
+            if fs.exists(self.spark, f"{folder}/_SUCCESS"):
+                continue
+            cells = []
+            for f in plain:
+                c = F.col(f.name)
+                number = isinstance(f.dataType, T.NumericType)
+                quantiles = F.kll_sketch_agg_double(c.cast("double"), F.lit(QUANTILE_K)) if number else F.lit(None).cast("binary")
+                cells.append(F.struct(F.lit(f.name).alias("column"), F.count(F.lit(1)).alias("rows"), F.count(c).alias("n"), F.hll_sketch_agg(c.cast("string"), F.lit(DISTINCT_LG_K)).alias("distinct"), quantiles.alias("quantiles")))
+            rows = self.spark.read.schema(self._schema(name)).parquet(self._folder(name, s["n"])).agg(F.array(*cells).alias("c")).select(F.inline("c"))
+            rows.write.mode("overwrite").parquet(folder)
+            read += 1
+        return read
+
+    def estimates(self, name: str, quantiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+        """(column, rows, n, distinct, quantiles) from the sketches alone, united over the segments: ``n`` values that aren't
+        null; the distinct values with a relative standard error of 0.8 %, the quantiles with a rank error of 0.5 %."""
+        kinds = "column string, rows long, n long, distinct binary, quantiles binary"
+        kept = self.spark.read.schema(kinds).parquet(*[f"{self.path}/index/{name}/seg={s['n']}/sketches" for s in self._entry(name)["segments"]])
+        one = kept.groupBy("column").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("distinct")).alias("distinct"), F.count("quantiles").alias("_k"), F.kll_merge_agg_double("quantiles").alias("_q"))
+        at = F.kll_sketch_get_quantile_double("_q", F.array(*map(F.lit, quantiles)))
+        return one.select("column", "rows", "n", "distinct", F.when((F.col("_k") > 0) & (F.col("n") > 0), at).alias("quantiles"))
+
     def compact(self, name: str) -> None:
         """The segments of a table, and of its layouts, as one each."""
         tables = dict(self.manifest["tables"])
