@@ -11,8 +11,7 @@ from .sources import sinks
 
 COMMANDS = (
     "transform", "join", "load", "split", "schema-export", "closurize", "information-content", "profile", "prune", "append", "normalize",
-    "deduplicate", "merge", "report", "node-report", "edge-report", "node-examples", "edge-examples", "export", "convert", "model-check",
-)
+    "deduplicate", "merge", "report", "node-report", "edge-report", "node-examples", "edge-examples", "export", "convert", "model-check", "connectivity", "lay-out")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -21,7 +20,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("files", nargs="*")
     p.add_argument("--store")
     p.add_argument("--output")
-    p.add_argument("--format", default="tsv", choices=("tsv", "jsonl", "parquet"))
+    p.add_argument("--format", default="tsv", choices=("tsv", "jsonl", "parquet", "yaml"))
     p.add_argument("--kind", default="qc", choices=("qc", "graph-stats", "schema", "connectivity"))
     p.add_argument("--columns", nargs="*", default=())
     p.add_argument("--sets", nargs="*", default=())
@@ -69,6 +68,9 @@ def main(argv: list[str] | None = None) -> None:
         out = op.convert(spark, a.files, a.output, format=a.format)
     elif c == "closurize":
         out = op.closurize(spark, a.store, a.closure)
+    elif c == "lay-out":
+        op.lay_out(spark, a.store)
+        out = {"store": a.store}
     elif c == "information-content":
         out = op.information_content(spark, a.store, a.predicates)
     elif c == "transform":
@@ -78,7 +80,13 @@ def main(argv: list[str] | None = None) -> None:
     else:
         graph = op.graph_of(spark, a.store, a.files)
         if c == "report":
-            out = reported(op.report(graph, a.kind))
+            if a.format == "yaml" and a.kind == "qc":
+                sinks.write_yaml(op.qc_report(graph), a.output)
+                out = {"file": a.output}
+            else:
+                out = reported(op.report(graph, a.kind))
+        elif c == "connectivity":
+            out = op.connectivity_tables(graph, a.output)
         elif c == "profile":
             out = reported(op.profile(graph))
         elif c == "node-report":

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .model import Graph
@@ -199,6 +199,58 @@ def report(graph: Graph, kind: str) -> DataFrame:
     return it.union_by_name(parts)
 
 
+def _nested(df: DataFrame, table: str) -> list[dict]:
+    """For each source, nulls left out: its rows, categories or predicates with counts, and namespaces. One entry a source, read from
+    counts that were grouped before."""
+    source = rp.source_column(df, table)
+    if not source:
+        return []
+    kind = "category" if table == "nodes" else "predicate"
+    out: dict[str, dict] = {}
+    for r in rp.graph_stats(df, table).where("source is not null").collect() if kind in df.columns else ():
+        entry = out.setdefault(r["source"], {"name": r["source"], "total_number": 0, "categories" if table == "nodes" else "predicates": {}})
+        if r["kind"] == kind:
+            entry["total_number"] += r["count"]
+            entry["categories" if table == "nodes" else "predicates"][str(r["value"])] = r["count"]
+    for r in rp.namespaces_by_source(df, table).where("source is not null").collect():
+        out.setdefault(r["source"], {"name": r["source"]}).setdefault("namespaces", []).append(r[1])
+    for entry in out.values():
+        entry["namespaces"] = sorted(x for x in entry.get("namespaces", []) if x is not None)
+    return [out[k] for k in sorted(out)]
+
+
+def qc_report(graph: Graph) -> dict:
+    """The nested quality report: totals, and for nodes, edges, dangling and repeated rows what each source has; dangling edges
+    also with the distinct ids that are missing. Its size is that of the sources and their categories."""
+    tables = {t: df for t, df in {"nodes": graph.nodes, "edges": graph.edges, **graph.tables}.items() if df is not None}
+    summary = {f"total_{t}" if t in ("nodes", "edges") else t: tables[t].count() for t in ("nodes", "edges", "dangling_edges", "duplicate_nodes", "duplicate_edges", "singleton_nodes") if t in tables}
+    out = {"summary": summary}
+    for name, as_table in (("nodes", "nodes"), ("edges", "edges"), ("dangling_edges", "edges"), ("duplicate_nodes", "nodes"), ("duplicate_edges", "edges")):
+        if name in tables:
+            out[name] = _nested(tables[name], as_table)
+    if "dangling_edges" in tables and graph.nodes is not None:
+        by = rp.source_column(tables["dangling_edges"], "edges") or "file_source"
+        if by in tables["dangling_edges"].columns:
+            missing = {r[by]: r["missing_ids"] for r in it.dangling_counts(tables["dangling_edges"], graph.nodes, by).collect()}  # a row a source
+            for entry in out["dangling_edges"]:
+                entry["missing_ids"] = missing.get(entry["name"], 0)
+    return out
+
+
+def connectivity_tables(graph: Graph, folder: str) -> dict[str, int]:
+    """The three tables of the components, ``cc_nodes``, ``cc_components`` and ``cc_component_sources``, as Parquet, with their rows."""
+    from .operators.components import stored
+
+    placed, _ = stored(cc.node_components(graph.nodes, graph.edges), "components-placed")
+    made = {"cc_nodes": cc.cc_nodes(graph.nodes, placed), "cc_components": cc.cc_components(graph.nodes, graph.edges, placed), "cc_component_sources": cc.cc_component_sources(graph.edges, placed)}
+    out = {}
+    for name, df in made.items():
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+        out[name] = seen.get["n"]
+    return out
+
+
 def profile(graph: Graph, top: int | None = None) -> DataFrame:
     parts = [pf.marginals(df, c, t, top) for t, df in (("nodes", graph.nodes), ("edges", graph.edges)) if df is not None and (c := pf.categorical_columns(df))]
     return it.union_by_name(parts)

@@ -104,3 +104,22 @@ def connectivity_summary(components: DataFrame) -> DataFrame:
 
 def bucket_distribution(components: DataFrame) -> DataFrame:
     return components.groupBy("bucket").agg(F.count(F.lit(1)).alias("components"), F.sum("size").alias("nodes"))
+
+
+def top_minor_components(components: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` largest components besides the largest one, in order."""
+    return components.where("component_id > 0").orderBy("component_id").limit(n)
+
+
+def connectivity_highlights(nodes_placed: DataFrame, sources: DataFrame, categories: int = 20, source_column: str = "provided_by", most_sources: int = 15) -> DataFrame:
+    """(section, value, count): the most frequent categories inside and outside the largest component, and the sources with most
+    edges outside it; ties by value. ``nodes_placed`` as of ``cc_nodes``, ``sources`` as of ``cc_component_sources``."""
+    outside = F.col("component_id") != 0
+    by_category = (
+        nodes_placed.where("category is not null").groupBy(F.when(outside, "categories outside").otherwise("categories inside").alias("section"), F.col("category").alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    )
+    by_source = sources.where(outside & F.col(source_column).isNotNull()).groupBy(F.lit("sources outside").alias("section"), F.col(source_column).alias("value")).agg(F.sum("edge_count").alias("count"))
+    down = by_category.unionByName(by_source).withColumn("_down", -F.col("count"))
+    top = first_of_each(down, ["section"], ["_down", "value"], max(categories, most_sources))
+    ranked = top.withColumn("_rank", F.row_number().over(Window.partitionBy("section").orderBy("_down", "value")))
+    return ranked.where(F.col("_rank") <= F.when(F.col("section") == "sources outside", most_sources).otherwise(categories)).select("section", "value", "count")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -196,9 +197,9 @@ def with_missing_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def split_dangling(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, dangling): an exact partition of ``edges``; an edge with a null end dangles."""
-    marked, bad = with_missing_ends(edges, nodes), F.col("_no_subject") | F.col("_no_object")
-    drop = ("_no_subject", "_no_object")
-    return marked.where(~bad).drop(*drop), marked.where(bad).drop(*drop)
+    there = nodes.select(F.col("id").alias("_node_id"))
+    has = [there.where(F.col("_node_id") == F.col(end).outer()).exists() for end in ("subject", "object")]
+    return edges.where(has[0] & has[1]), edges.where(~(has[0] & has[1]))
 
 
 def dangling_counts(edges: DataFrame, nodes: DataFrame, by: str = "file_source") -> DataFrame:
@@ -280,8 +281,17 @@ def merge_graph(graph: Graph, mappings: DataFrame | None = None, steps: MergeSte
 def split_memberships(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """``df`` with ``_<field>`` values, one row for each combination a row belongs to.
 
-    A list field gives a row for each distinct element; null, or an empty list, is a value of its own.
+    A list field gives a row for each distinct element; null, or an empty list, is a value of its own. With several
+    list fields the combinations are those that some row's lists make side by side, the shorter filled with null; a row
+    belongs to each of them whose values are all its own.
     """
+    lists = [f for f in fields if isinstance(df.schema[f].dataType, T.ArrayType)]
+    if len(lists) > 1:
+        at = [F.col("_z")[f] if f in lists else F.col(f) for f in fields]
+        filled = df.withColumns({f: F.coalesce(F.col(f), F.array().cast(df.schema[f].dataType)) for f in lists})
+        beside = filled.select(*[f for f in fields if f not in lists], F.explode_outer(F.arrays_zip(*lists)).alias("_z")).select(*[x.alias(f"_made_{f}") for x, f in zip(at, fields, strict=True)]).distinct()
+        single = reduce(lambda d, f: d.withColumn(f"_{f}", F.explode_outer(F.array_distinct(F.col(f))) if f in lists else F.col(f)), fields, df)
+        return single.join(beside, reduce(and_, [F.equal_null(f"_{f}", f"_made_{f}") for f in fields]), "left_semi")
     for f in fields:
         if isinstance(df.schema[f].dataType, T.ArrayType):
             df = df.withColumn(f"_{f}", F.explode_outer(F.array_distinct(F.col(f))))

@@ -160,3 +160,20 @@ def node_examples(nodes: DataFrame, n: int = 5, by: str = "category") -> DataFra
 def edge_examples(edges: DataFrame, nodes: DataFrame, n: int = 5, by: Sequence[str] = ("subject_category", "predicate", "object_category")) -> DataFrame:
     full = denormalized_edges(edges, nodes, wanted=[*edges.columns, "subject_category", "object_category"])
     return first_of_each(full, present(full, by), ["subject", "object"], n)
+
+
+def types_sampled(examples: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row: the types, those with a null left out, that examples were taken of, and the examples."""
+    named = F.lit(True)
+    for c in by:
+        named = named & F.col(c).isNotNull()
+    types = F.count_distinct(F.when(named, F.struct(*by)))
+    return examples.agg(types.alias("types_sampled"), F.count(F.lit(1)).alias("examples"))
+
+
+def file_schemas(df: DataFrame) -> DataFrame:
+    """(filename, table_type, column_count, columns, record_count) of rows (filename, table_type, column_name, record_count): the
+    names of each file's columns as one text, each once and in order."""
+    return df.groupBy("filename", "table_type").agg(
+        F.count_distinct("column_name").alias("column_count"), F.array_join(F.array_sort(F.collect_set("column_name")), ", ").alias("columns"), F.max("record_count").alias("record_count")
+    )

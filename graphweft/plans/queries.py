@@ -508,6 +508,54 @@ def export_tsv_cells(g):
     return edges.select("id", "predicate", C.tsv_cell(edges, "publications").alias("publications"))
 
 
+@query(f"with {_CC_ROWS} select * from rows where component_id > 0 order by component_id limit 10")
+def top_minor_components(g):
+    placed = cc.node_components(_n(g), g.edges)
+    return cc.top_minor_components(cc.cc_components(_n(g), g.edges, placed))
+
+
+@query(f"""with {_CC}, c as (select case when component_id = 0 then 'categories inside' else 'categories outside' end as section, category as value, count(*) as count from placed join vertices using (id) where category is not null group by all
+union all select 'sources outside', provided_by, count(*) from edges join placed on placed.id = subject where component_size > 1 and component_id <> 0 and provided_by is not null group by all)
+select section, value, count from c qualify row_number() over (partition by section order by count desc, value) <= case section when 'sources outside' then 15 else 20 end""")
+def connectivity_highlights(g):
+    nodes, edges = _n(g), g.edges
+    placed = cc.node_components(nodes, edges)
+    return cc.connectivity_highlights(cc.cc_nodes(nodes, placed), cc.cc_component_sources(edges, placed))
+
+
+@query("""with r as (select predicate, agent_type, row_number() over (partition by predicate, agent_type) as k from edges)
+select count(distinct case when predicate is not null and agent_type is not null then predicate || '|' || agent_type end) as types_sampled, count(*) as examples from r where k <= 3""")
+def example_types_sampled(g):
+    by = ["predicate", "agent_type"]
+    return rp.types_sampled(rp.first_of_each(g.edges.select("id", *by), by, ["id"], 3), by)
+
+
+@query("""with l as (select id, ['a', 'b'] as x, case when id like '%1' then ['u'] else ['u', 'v'] end as y from nodes),
+made as (select distinct unnest(x) as x, unnest(y) as y from l)
+select l.id, m.x, m.y from l join made m on list_contains(l.x, m.x) and list_contains(l.y, m.y)""")
+def split_several_lists(g):
+    """Lists side by side make the combinations; a shorter one is filled with null, which is no row's own value."""
+    lists = g.nodes.select("id", F.array(F.lit("a"), F.lit("b")).alias("x"), F.when(F.col("id").endswith("1"), F.array(F.lit("u"))).otherwise(F.array(F.lit("u"), F.lit("v"))).alias("y"))
+    return it.split_memberships(lists, ["x", "y"]).select("id", F.col("_x").alias("x"), F.col("_y").alias("y"))
+
+
+@query("""select file_source as filename, 'edges' as table_type, 12 as column_count, 'agent_type, category, file_source, id, knowledge_level, negated, object, predicate, provided_by, publications, score, subject' as columns, count(*) as record_count from edges group by 1
+union all select file_source, 'nodes', 6, 'category, file_source, id, in_taxon, name, provided_by', count(*) from nodes group by 1""")
+def file_schema_report(g):
+    both = []
+    for table, df in (("nodes", g.nodes), ("edges", g.edges)):
+        counts = df.groupBy(F.col("file_source").alias("filename")).agg(F.count(F.lit(1)).alias("record_count"))
+        both.append(counts.select("filename", F.lit(table).alias("table_type"), F.explode(F.array(*map(F.lit, df.columns))).alias("column_name"), "record_count"))
+    return rp.file_schemas(it.union_by_name(both))
+
+
+@query("select count(distinct l) as lists, count(distinct subject) as subjects, bool_or(negated) as any_negated, bool_or(score < 0) as any_below from (select *, case when publications like 'PMID%|%' then string_split(publications, '|') end as l from edges) where l is not null")
+def distinct_lists(g):
+    """Lists are counted as wholes, in their order."""
+    rows = g.edges.where(F.col("publications").contains("|") & F.col("publications").startswith("PMID")).withColumn("l", F.split("publications", "\\|"))
+    return rows.agg(F.count_distinct("l").alias("lists"), F.count_distinct("subject").alias("subjects"), F.bool_or("negated").alias("any_negated"), F.bool_or(F.col("score") < 0).alias("any_below"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: (lambda spark, sf_dir, f=f: f(fixture.graph(spark, sf_dir))) for n, f in _QUERIES.items()} | files.queries()
 

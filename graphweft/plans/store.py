@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import Graph
-from ..operators.integrity import _as_type, _common_type, _ranked, deduplicate, union_by_name
+from ..operators.integrity import _as_type, _common_type, _nullable, _ranked, deduplicate, union_by_name
 from ..sources import filesystem as fs
 
 #: Keys for each 64-bit word of a filter.
@@ -190,7 +190,7 @@ class GraphStore:
         return [*self.KEYS.get(name, ())] if set(self.KEYS.get(name, ())) <= set(df.columns) else []
 
     def _listed(self, name: str, df: DataFrame, key: Sequence[str], segments: list[dict], unique: bool = False) -> dict:
-        return {"schema": T.StructType([T.StructField(f.name, f.dataType) for f in df.schema]).jsonValue(), "key": list(key), "unique": unique, "segments": segments}
+        return {"schema": T.StructType([T.StructField(f.name, _nullable(f.dataType)) for f in df.schema]).jsonValue(), "key": list(key), "unique": unique, "segments": segments}
 
     def save(self, graph: Graph, views: dict | None = None, schema: str | None = None) -> None:
         """All tables of ``graph`` as one new version, each of one segment; layouts go. A failed write leaves the old version in place."""
@@ -228,7 +228,7 @@ class GraphStore:
         entry, stored = self._entry(name), self._schema(name)
         kinds = {f.name: f.dataType for f in stored}
         added = [c for c in rows.columns if c not in kinds]
-        if any(c in kinds and _common_type([kinds[c], rows.schema[c].dataType]) != kinds[c] for c in rows.columns):
+        if any(c in kinds and _common_type([kinds[c], rows.schema[c].dataType]) != _nullable(kinds[c]) for c in rows.columns):
             self.put(name, union_by_name([self.table(name), rows.limit(0)]))
             entry, kinds = self._entry(name), {f.name: f.dataType for f in self._schema(name)}
         rows = rows.select(*[_as_type(rows, c, kinds[c]).alias(c) if c in kinds else F.col(c) for c in rows.columns])
@@ -249,7 +249,7 @@ class GraphStore:
             left_out = old.unionByName(later).drop("_key")
             rows = first.drop("_key")
         segment = self._write(name, rows, key)
-        schema = T.StructType([*self._schema(name), *(T.StructField(c, rows.schema[c].dataType) for c in added)])
+        schema = T.StructType([*self._schema(name), *(T.StructField(c, _nullable(rows.schema[c].dataType)) for c in added)])
         tables = {**self.manifest["tables"], name: {**entry, "schema": schema.jsonValue(), "unique": unique, "segments": [*entry["segments"], segment]}}
         written = self.spark.read.schema(rows.schema).parquet(self._folder(name, segment["n"]))
         for other, x in list(tables.items()):
