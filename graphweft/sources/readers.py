@@ -161,15 +161,13 @@ def read_mappings(spark: SparkSession, paths: Sequence[str], observation: Observ
     are left out; ``observation`` gets ``rows`` and ``malformed`` in the pass that uses the rows."""
     frames = []
     for p in paths:
-        read = spark.read.option("sep", "\t").option("header", True).option("comment", "#").option("enforceSchema", False)
-        names = read.csv(p).columns
-        kinds = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_malformed"]])
-        frames.append(read.schema(kinds).option("columnNameOfCorruptRecord", "_malformed").csv(p).withColumn("mapping_source", F.lit(os.path.basename(p))))
+        rows = read_delimited(text_lines(spark, p), CsvFormat("\t"), ragged=True)
+        cells = [F.nullif(F.col(c), F.lit("")).alias(c) for c in rows.columns if not c.startswith("_")]
+        frames.append(rows.select(*cells, (F.col("_long") | F.col("_short")).alias("_malformed")).withColumn("mapping_source", F.lit(os.path.basename(p))))
     rows = union_by_name(frames)
-    bad = F.col("_malformed").isNotNull()
     if observation is not None:
-        rows = rows.observe(observation, F.count_if(~bad).alias("rows"), F.count_if(bad).alias("malformed"))
-    return rows.where(~bad).drop("_malformed")
+        rows = rows.observe(observation, F.count_if(~F.col("_malformed")).alias("rows"), F.count_if("_malformed").alias("malformed"))
+    return rows.where(~F.col("_malformed")).drop("_malformed")
 
 
 @dataclass(frozen=True)
