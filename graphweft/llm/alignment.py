@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small, staged
+from .common import checkpointed, small, staged, tidy
 from .tokenbin import UnitEncoder
 
 #: Characters of text that a slice gathers before it is aligned, and units of a segment of one text.
@@ -290,7 +290,7 @@ def token_links(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """The written results of the tasks: for each text, in its last row, its sizes and digest, with (pairs, counts) in
     each of its rows; and rows without ``row`` that hold the counts of pairs of a slice. A pair is A's id * 2^32 + B's id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return staged(rows.mapInArrow(_task(a_path, b_path), _DDL), "alignment")
+    return staged(rows.mapInArrow(tidy(_task(a_path, b_path)), _DDL), "alignment")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +72,35 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# --- memory of Python workers ---------------------------------------------
+
+
+def tidy(run):
+    """``run``, a function of an iterator of batches, giving back what it freed when it ends: Python workers live on between tasks,
+    and freed memory that they keep counts against their executor."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if _LIBC is not None:
+                _LIBC.malloc_trim(0)
+
+    return wrapped
+
+
+def _libc():
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:  # another C library
+        return None
+
+
+_LIBC = _libc()
+
 # --- words and 64-bit hashes inside tasks ---------------------------------
 
 #: A-Z become a-z; what is neither a letter, a digit nor above ASCII becomes a space.

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, small, staged
+from .common import alnum_words, small, staged, tidy
 
 WINDOW = 10
 #: Rarest terms of a window whose posting lists are intersected.
@@ -156,7 +156,7 @@ def term_frequencies(docs: DataFrame, packed: bytes) -> DataFrame:
         total = added()
         yield pd.DataFrame({"term": total.index.to_numpy(np.int64), "n": total.to_numpy(np.int64)})
 
-    return staged(docs.select("text").mapInPandas(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "term-frequencies")
+    return staged(docs.select("text").mapInPandas(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "term-frequencies")
 
 
 INDEX = "ids array<long>, no_id array<boolean>, row_keys array<long>, n_words array<int>, terms array<long>, starts array<int>, documents array<int>, positions array<int>"
@@ -200,7 +200,7 @@ def positional_index(docs: DataFrame, packed: bytes) -> DataFrame:
         if ids:
             yield shard()
 
-    return staged(docs.select("id", "no_id", "row_key", "text").mapInPandas(run, INDEX), "postings")
+    return staged(docs.select("id", "no_id", "row_key", "text").mapInPandas(tidy(run), INDEX), "postings")
 
 
 def intersected(shard, windows: pd.DataFrame, probes: int, slop: int) -> Iterator[pd.DataFrame]:
@@ -267,7 +267,7 @@ def diagonals(index: DataFrame, windows: pd.DataFrame, probes: int, slop: int) -
                 for found in intersected(shard, shared.value, probes, slop):
                     yield pd.DataFrame({"id": ids[found["document"]], "row_key": keys[found["document"]], "item": found["item"], "shift": found["shift"], "exact": found["exact"]})
 
-    return index.mapInPandas(run, "id long, row_key long, item long, shift int, exact boolean")
+    return index.mapInPandas(tidy(run), "id long, row_key long, item long, shift int, exact boolean")
 
 
 def hit_words(words: list[bytes], own: list[bytes], shifts: list[int], window: int, hit: np.ndarray) -> bool:
@@ -330,7 +330,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     found = staged(by_item.groupBy(*key).agg(F.collect_list(F.struct("item_id", "text", "shifts")).alias("found")), "found")
     exact = found.select(*key, F.filter("found", lambda x: F.size(x["shifts"]) > 0).alias("found")).where(F.size("found") > 0)
     held = rows.join(small(exact.select(*key)), key, "left_semi").dropDuplicates(key)
-    marked = held.join(exact, key).mapInPandas(_marked(window), "id long, row_key long, spans array<int>, items array<string>")
+    marked = held.join(exact, key).mapInPandas(tidy(_marked(window)), "id long, row_key long, spans array<int>, items array<string>")
     near = found.select(*key, F.array_sort(F.array_distinct("found.item_id")).alias("near_items"))
     every = index.select(F.explode(F.arrays_zip("ids", "no_id", "row_keys", "n_words")).alias("x"))
     every = every.select(F.col("x.ids").alias("id"), F.col("x.no_id").alias("no_id"), F.col("x.row_keys").alias("row_key"), F.col("x.n_words").cast("long").alias("n_words"))

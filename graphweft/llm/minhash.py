@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import WordHasher, checkpointed, mix64, small, space_words, staged
+from .common import WordHasher, checkpointed, mix64, small, space_words, staged, tidy
 
 BANDS, ROWS = 32, 4
 #: Rows of a shingle for each of the parts that its pairs are dealt to.
@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     """One row per doc_id: n_shingles, component_id (smallest linked doc_id), kept."""
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     signed = staged(
-        rows_in.mapInPandas(_signatures(shingle, bands, rows), "doc_id long, n_shingles long, set_low long, set_high long, bands array<long>"),
+        rows_in.mapInPandas(tidy(_signatures(shingle, bands, rows)), "doc_id long, n_shingles long, set_low long, set_high long, bands array<long>"),
         "minhash",
     )
     key = ["n_shingles", "set_low", "set_high"]
@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     buckets = checkpointed(members.join(shared, "bucket").select("bucket", "rep", "n", "hub"))
     pairs = checkpointed(buckets.where(near).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct())
     wanted = buckets.select("rep").distinct().join(reps.select("rep", *key), "rep").select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n"), "set_low", "set_high")
-    sets = rows_in.join(small(checkpointed(wanted)), "doc_id").mapInPandas(_sets(shingle), "id long, hashes array<long>")
+    sets = rows_in.join(small(checkpointed(wanted)), "doc_id").mapInPandas(tidy(_sets(shingle)), "id long, hashes array<long>")
     sets = staged(sets.dropDuplicates(["id"]), "minhash-sets")
     links = checkpointed(_confirmed(pairs, sets, percent))
     components = connected_components(links, "a", "b")

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, shared_dir, shuffle_partitions, small
+from .common import id_text, shared_dir, shuffle_partitions, small, tidy
 
 END_ID = 2
 SHARD_BYTES = 4 << 20
@@ -187,7 +187,7 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, folder: str, shard_byt
     ordered = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
     )
-    ordered.select(id_text(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(_shards(tokenizer_path, data, shard_bytes), SHARDS).write.option("compression", "uncompressed").parquet(f"{folder}/shards")
+    ordered.select(id_text(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(tidy(_shards(tokenizer_path, data, shard_bytes)), SHARDS).write.option("compression", "uncompressed").parquet(f"{folder}/shards")
 
 
 def _decoded(data: bytes):
@@ -233,7 +233,7 @@ def read_token_summary(spark: SparkSession, folder: str) -> DataFrame:
         .select("part", "shard", (F.col("base") + F.coalesce(F.sum("n_ids").over(earlier), F.lit(0))).alias("start"))
     )
     placed = shards.join(small(starts), ["part", "shard"]).withColumn("doc_ids", F.col("doc_ids").cast("array<string>"))
-    found = placed.mapInPandas(_decoded(data), "doc_id string, start long, n_tokens long, ids_crc32 long")
+    found = placed.mapInPandas(tidy(_decoded(data)), "doc_id string, start long, n_tokens long, ids_crc32 long")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
