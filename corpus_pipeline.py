@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from graphweft.llm import decontamination, minhash, mixing, quality, tokenbin
@@ -9,6 +12,17 @@ from graphweft.llm.common import staged, table
 from graphweft.llm.entry import tokenizer_path
 
 
+def few_rows(stage: Callable) -> Callable:
+    """``stage`` with few rows in a batch of those that go into Python, as a row is a whole text."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_filter(docs, table(spark, sf_dir, "labels"))
 
@@ -31,10 +45,10 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", quality_rules),
-    ("minhash_near_dedup", minhash_near_dedup),
-    ("benchmark_decontamination", benchmark_decontamination),
+    ("minhash_near_dedup", few_rows(minhash_near_dedup)),
+    ("benchmark_decontamination", few_rows(benchmark_decontamination)),
     ("source_mixing", source_mixing),
-    ("token_ids", token_ids),
+    ("token_ids", few_rows(token_ids)),
 ]
 
 ORACLE_SQL = None
