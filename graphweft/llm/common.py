@@ -83,23 +83,19 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if _LIBC is not None:
-                _LIBC.malloc_trim(0)
+            give_back()
 
     return wrapped
 
 
-def _libc():
+def give_back() -> None:
+    """Hand freed memory back to the operating system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
-        libc = ctypes.CDLL("libc.so.6")
-        return libc if hasattr(libc, "malloc_trim") else None
-    except OSError:  # another C library
-        return None
-
-
-_LIBC = _libc()
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 # --- words and 64-bit hashes inside tasks ---------------------------------
 
