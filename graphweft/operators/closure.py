@@ -109,12 +109,12 @@ def denormalized_edges(edges: DataFrame, nodes: DataFrame, closure: DataFrame |
             continue
         edges = edges.drop(*made)
         if is_list(edges, field):
-            side = side.withColumnRenamed("_key", "_element")
-            # a key from the row's own cells, so that a retried task makes the same one; equal rows share their hits
-            rows = edges.withColumn("_row", F.md5(F.to_json(F.struct(*edges.columns))))
-            elements = rows.select("_row", F.explode(F.array_distinct(F.col(field))).alias("_element")).distinct()
-            hits = elements.join(side, "_element").drop("_element")
-            edges = rows.join(hits, "_row", "left").drop("_row")
+            # a key of 128 bits from the row's own cells, so that a retried task makes the same one; equal rows share their hits
+            cells = [F.to_json(c) if "map<" in edges.schema[c].dataType.simpleString() else F.col(c) for c in edges.columns]
+            rows = edges.withColumns({"_row1": F.xxhash64(*cells), "_row2": F.xxhash64(F.lit(1), *cells[::-1])})
+            elements = rows.select("_row1", "_row2", F.explode(F.array_distinct(F.col(field))).alias("_element")).distinct()
+            hits = elements.join(side, F.col("_element") == F.col("_key")).drop("_element", "_key")
+            edges = rows.join(hits, ["_row1", "_row2"], "left").drop("_row1", "_row2")
         else:
             edges = edges.join(side, F.col(field) == F.col("_key"), "left").drop("_key")
     return edges if keep is None else edges.select(*wanted)
