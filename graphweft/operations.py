@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -126,7 +125,6 @@ def split(spark: SparkSession, file: str, folder: str, fields: Sequence[str], fo
     spec = readers.infer_file_spec(file)
     graph = readers.load_graph(spark, [spec]).graph
     name = spec.source.removesuffix(f"_{spec.table}")
-    os.makedirs(folder, exist_ok=True)
     return sinks.split_files(getattr(graph, spec.table), folder, fields, name, f"_{spec.table}", format or spec.format)
 
 

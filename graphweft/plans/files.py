@@ -236,14 +236,9 @@ def ingest_records(spark, g):
     return spark.read.schema("subject string, predicate string, object string, original_subject string").json(f"{out}/parts_edges.jsonl")
 
 
-def _mounted(spark: SparkSession, label: str) -> str:
-    """The shared folder as the driver mounts it, for sinks that name single files."""
-    return "/" + readers.shared_folder(spark, label).removeprefix("file:").lstrip("/")
-
-
 def export_load_back(spark, g):
     """An export of both tables as TSV, loaded again as a graph."""
-    files = sinks.export_graph(Graph(g.nodes.drop("file_source"), split_lists(g.edges.drop("file_source"), ["publications"])), _mounted(spark, "export"), "g", "tsv")
+    files = sinks.export_graph(Graph(g.nodes.drop("file_source"), split_lists(g.edges.drop("file_source"), ["publications"])), readers.shared_folder(spark, "export"), "g", "tsv")
     back = readers.load_graph(spark, files).graph
     nodes = back.nodes.select("id", F.col("name").alias("label"), F.lit(None).cast("array<string>").alias("publications"), "file_source")
     return nodes.unionByName(back.edges.select("id", F.col("predicate").alias("label"), "publications", "file_source"))
@@ -251,7 +246,7 @@ def export_load_back(spark, g):
 
 def split_load_back(spark, g):
     """Files split by category and source, read again, with the file that each row came from."""
-    folder = _mounted(spark, "split")
+    folder = readers.shared_folder(spark, "split")
     made = sinks.split_files(g.nodes, folder, ["category", "provided_by"], "n", "_nodes", "jsonl")
     parts = [spark.read.schema("id string, category string").json(p).withColumn("part", F.lit(k)) for k, p in sorted(made.items())]
     return reduce(DataFrame.unionByName, parts)
