@@ -5,13 +5,18 @@ from __future__ import annotations
 import argparse
 import json
 
+from pyspark.sql import functions as F
+
 from . import operations as op
+from .operators import profile
 from .operators import reports as rp
 from .sources import sinks
 
 COMMANDS = (
     "transform", "join", "load", "split", "schema-export", "closurize", "information-content", "profile", "prune", "append", "normalize",
-    "deduplicate", "merge", "report", "node-report", "edge-report", "node-examples", "edge-examples", "export", "convert", "model-check", "connectivity", "lay-out")
+    "deduplicate", "merge", "report", "node-report", "edge-report", "node-examples", "edge-examples", "export", "convert", "model-check", "connectivity",
+    "lay-out",
+)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -20,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("files", nargs="*")
     p.add_argument("--store")
     p.add_argument("--output")
-    p.add_argument("--format", default="tsv", choices=("tsv", "jsonl", "parquet", "yaml"))
+    p.add_argument("--format", default="tsv", choices=("tsv", "jsonl", "parquet", "yaml", "text"))
     p.add_argument("--kind", default="qc", choices=("qc", "graph-stats", "schema", "connectivity"))
     p.add_argument("--columns", nargs="*", default=())
     p.add_argument("--sets", nargs="*", default=())
@@ -87,6 +92,11 @@ def main(argv: list[str] | None = None) -> None:
                 out = reported(op.report(graph, a.kind))
         elif c == "connectivity":
             out = op.connectivity_tables(graph, a.output)
+        elif c == "profile" and a.format == "text":
+            found = op.profile(graph, 50).orderBy("table_name", "column_name", F.desc("count"), "value").collect()  # 50 rows a column at most
+            with open(a.output, "w") as f:
+                f.write(profile.render([(r["column_name"], r["value"], r["count"], r["share"]) for r in found]) + "\n")
+            out = {"file": a.output}
         elif c == "profile":
             out = reported(op.profile(graph))
         elif c == "node-report":

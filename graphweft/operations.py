@@ -14,13 +14,14 @@ from .operators import integrity as it
 from .operators import modelcheck as mc
 from .operators import profile as pf
 from .operators import reports as rp
-from .operators.catalogue import Catalogue, export_schema
+from .operators.catalogue import Catalogue, ensure_slots, export_schema
 from .plans.store import GraphStore
 from .sources import readers, sinks
 
 
-def load(spark: SparkSession, store: str, files: Sequence[str], join: bool = False, slots: str | None = None, **options) -> dict:
-    """Files into a new version of the store. With ``join`` ``provided_by`` comes from the files."""
+def load(spark: SparkSession, store: str, files: Sequence[str], join: bool = False, slots: str | None = None, ensure: dict[str, Sequence[str]] | None = None, **options) -> dict:
+    """Files into a new version of the store. With ``join`` ``provided_by`` comes from the files. ``ensure`` names columns of nodes and
+    edges that must be there: those that no file has are null, of the type that the model gives them."""
     from dataclasses import replace
 
     specs = [readers.infer_file_spec(f) for f in readers.discover(files)]
@@ -29,8 +30,9 @@ def load(spark: SparkSession, store: str, files: Sequence[str], join: bool = Fal
         specs = [replace(s, slots=wanted.get(s.table)) if s.format == "jsonl" and not s.slots else s for s in specs]
     loaded = readers.load_graph(spark, specs, provided_by=join, **options)
     have = {t: df for t, df in (("nodes", loaded.graph.nodes), ("edges", loaded.graph.edges)) if df is not None}
+    have = {t: ensure_slots(df, (ensure or {}).get(t, ())) for t, df in have.items()}
     target = GraphStore(spark, store)
-    target.save(loaded.graph, schema=export_schema(have) if have else None)
+    target.save(Graph(have.get("nodes"), have.get("edges"), loaded.graph.tables), schema=export_schema(have) if have else None)
     return {"files": loaded.files, "errors": loaded.errors, "rows": target.stats(), "losing": {f: dict(x.get) for f, x in loaded.losing.items()}}
 
 
@@ -48,6 +50,8 @@ def append(spark: SparkSession, store: str, files: Sequence[str], deduplicate: b
         added[t] = done.new_columns
         if done.left_out is not None:
             target.append(f"duplicate_{t}", done.left_out)
+    if any(added.values()):
+        _evolve(target)
     return {"new_columns": added, "errors": loaded.errors, "net_rows": {t: n - before.get(t, 0) for t, n in target.stats().items()}}
 
 
@@ -106,19 +110,44 @@ def merge(
     spark: SparkSession, store: str, files: Sequence[str], mappings: Sequence[str] = (), skip: Sequence[str] = (), remove_singletons: bool = False,
     export: str | None = None, format: str = "tsv", archive: bool = False, compress: bool = False,
 ) -> dict:
-    """Join, de-duplicate, normalize, prune and, with ``export``, write, as one plan. A failure is reported, not raised."""
-    try:
-        if compress and not archive:
-            raise ValueError("compress needs archive")
-        steps = it.MergeSteps("deduplicate" not in skip, "normalize" not in skip, "prune" not in skip, remove_singletons)
-        loaded = readers.join_graphs(spark, [readers.infer_file_spec(f) for f in readers.discover(files)])
-        maps = readers.read_mappings(spark, mappings) if mappings else None
-        target = GraphStore(spark, store)
-        target.save(it.merge_graph(loaded.graph, maps, steps))
-        written = sinks.export_graph(target.graph(), export, format=format, archive=archive, compress=compress) if export else []
-        return {"success": True, "rows": target.stats(), "errors": loaded.errors, "files": written}
-    except Exception as e:
-        return {"success": False, "error": str(e).splitlines()[0]}
+    """Join, de-duplicate, normalize, prune and, with ``export``, write, as one plan.
+
+    A failure is reported and not raised: ``steps`` tells of each step whether it went well, and those after a
+    failed one are still tried, on the graph as it was before that step. The store is changed only if all went well.
+    """
+    done: list[dict] = []
+
+    def step(name: str, f, otherwise=None):
+        try:
+            out = f()
+            done.append({"step": name, "success": True})
+            return out
+        except Exception as e:
+            done.append({"step": name, "success": False, "error": str(e).splitlines()[0]})
+            return otherwise
+
+    def normalized(g: Graph) -> Graph:
+        if maps is None:
+            raise ValueError("normalizing needs mappings")
+        return Graph(g.nodes, it.normalize_edges(g.edges, maps), g.tables) if g.edges is not None else g
+
+    if compress and not archive:
+        done.append({"step": "options", "success": False, "error": "compress needs archive"})
+    loaded = step("join", lambda: readers.join_graphs(spark, [readers.infer_file_spec(f) for f in readers.discover(files)]))
+    maps = step("mappings", lambda: readers.read_mappings(spark, mappings)) if mappings else None
+    out = {"errors": loaded.errors if loaded else [], "files": [], "rows": {}}
+    if loaded:
+        graph = loaded.graph
+        for name, change in (("deduplicate", it.deduplicate_graph), ("normalize", normalized), ("prune", lambda g: it.prune_graph(g, remove_singletons))):
+            if name not in skip:
+                graph = step(name, lambda change=change: change(graph), graph)  # noqa: B023
+        if all(x["success"] for x in done):
+            target = step("save", lambda: GraphStore(spark, store))
+            if target and step("write", lambda: target.save(graph) or True):
+                out["rows"] = target.stats()
+                if export:
+                    out["files"] = step("export", lambda: sinks.export_graph(target.graph(), export, format=format, archive=archive, compress=compress), [])
+    return {"success": all(x["success"] for x in done), "steps": done, **out}
 
 
 def split(spark: SparkSession, file: str, folder: str, fields: Sequence[str], format: str | None = None) -> dict[str, str]:
@@ -137,19 +166,31 @@ def convert(spark: SparkSession, files: Sequence[str], folder: str, name: str =
     return sinks.export_graph(loaded.graph, folder, name, format)
 
 
-def closurize(spark: SparkSession, store: str, closure: str | None = None, evidence: Sequence[str] = ("has_evidence", "publications"), grouping: Sequence[str] = ("subject", "negated", "predicate", "object")) -> dict[str, int]:
-    """Namespaces, evidence counts and grouping keys; with a closure file its long table too. List tables and
-    denormalized frames are views, made when they are asked for."""
+def closurize(
+    spark: SparkSession, store: str, closure: str | None = None, evidence: Sequence[str] = ("has_evidence", "publications"), grouping: Sequence[str] = ("subject", "negated", "predicate", "object"), lists: bool = False
+) -> dict[str, int]:
+    """Namespaces, evidence counts and grouping keys; with a closure file its long table too, and with ``lists`` a row for each
+    id with its ancestors, their labels and its descendants. Denormalized frames are views, made when they are asked for."""
 
     def change(g: Graph) -> Graph:
         edges = g.edges.drop("evidence_count", "grouping_key")
         edges = edges.withColumns({"evidence_count": cl.evidence_count(edges, evidence), "grouping_key": cl.grouping_key(edges, grouping)})
-        tables = dict(g.tables)
+        tables, nodes = dict(g.tables), cl.with_namespace(g.nodes)
         if closure:
             tables["closure"] = cl.sorted_closure(readers.read_closure(spark, closure))
-        return Graph(cl.with_namespace(g.nodes), edges, tables)
+        if lists:
+            pairs = tables["closure"]
+            tables |= {"closure_id": cl.closure_ids(pairs), "closure_label": cl.closure_labels(pairs, nodes), "descendants_id_label": cl.descendants(pairs, nodes)}
+        return Graph(nodes, edges, tables)
 
-    return _changed(spark, store, change)
+    out = _changed(spark, store, change)
+    _evolve(GraphStore(spark, store))
+    return out
+
+
+def _evolve(target: GraphStore) -> None:
+    """The store's schema as its tables are now."""
+    target.set_schema(export_schema({t: target.table(t) for t in ("nodes", "edges") if t in target.tables()}))
 
 
 def information_content(spark: SparkSession, store: str, predicates: Sequence[str], categories: Sequence[str] = ()) -> dict[str, int]:

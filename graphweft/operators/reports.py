@@ -154,7 +154,8 @@ def first_of_each(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: i
 
 
 def node_examples(nodes: DataFrame, n: int = 5, by: str = "category") -> DataFrame:
-    return first_of_each(nodes, [by], ["id"], n)
+    """The first ``n`` nodes of each type by id, in that order; a null type is one too, and comes last."""
+    return first_of_each(nodes, [by], ["id"], n).orderBy(F.col(by).asc_nulls_last(), F.col("id").asc_nulls_last())
 
 
 def edge_examples(edges: DataFrame, nodes: DataFrame, n: int = 5, by: Sequence[str] = ("subject_category", "predicate", "object_category")) -> DataFrame:

@@ -201,6 +201,10 @@ class GraphStore:
                 listed[name] = self._listed(name, df, key, [self._write(name, df, key)])
         self._commit(listed, views=views or self.manifest["views"], schema=schema or self.manifest["schema"])
 
+    def set_schema(self, schema: str) -> None:
+        """Another text of the schema; the tables stay as they are."""
+        self._commit(self.manifest["tables"], schema=schema)
+
     def put(self, name: str, df: DataFrame) -> None:
         """One table in a new version; the others stay as they are."""
         key = self._key_of(name, df)

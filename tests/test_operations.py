@@ -13,13 +13,21 @@ def test_a_graph_from_files_to_reports(spark, tmp_path):
     store, files = str(tmp_path / "s"), [str(tmp_path / "a_*.tsv")]
     got = op.merge(spark, store, files, [str(tmp_path / "m.sssom.tsv")], export=str(tmp_path / "out"), archive=True)
     assert got["success"] and got["rows"]["nodes"] == 3 and got["rows"]["edges"] == 2 and got["rows"]["dangling_edges"] == 1
-    assert op.merge(spark, store, files)["success"] is False
+    failed = op.merge(spark, store, files)
+    assert failed["success"] is False and [(x["step"], x["success"]) for x in failed["steps"]] == [("join", True), ("deduplicate", True), ("normalize", False), ("prune", True)]
+    assert "mappings" in failed["steps"][2]["error"] and GraphStore(spark, store, "r").stats()["edges"] == 2  # the store is as it was
     assert op.closurize(spark, store, str(tmp_path / "closure.tsv"))["closure"] == 3
     op.closurize(spark, store)
+    listed = op.closurize(spark, store, lists=True)
+    assert listed["closure_id"] == 2 and listed["descendants_id_label"] == 2
+    assert "evidence_count" in GraphStore(spark, store, "r").manifest["schema"]
     assert op.information_content(spark, store, ["sub"])["information_content"] == 2
     (tmp_path / "b_nodes.tsv").write_text("id\tcategory\tname\textra\nA:1\tX\tone\tq\nD:1\tX\tfour\tq\n")
     more = op.append(spark, store, [str(tmp_path / "b_nodes.tsv")], deduplicate=True)
-    assert "extra" in more["new_columns"]["nodes"] and more["net_rows"]["nodes"] == 1
+    assert "extra" in more["new_columns"]["nodes"] and more["net_rows"]["nodes"] == 1 and more["net_rows"]["duplicate_nodes"] == 1
+    assert "extra" in GraphStore(spark, store, "r").manifest["schema"]
+    op.load(spark, str(tmp_path / "ensured"), files, ensure={"nodes": ["synonym", "name"]})
+    assert GraphStore(spark, str(tmp_path / "ensured"), "r").table("nodes").schema["synonym"].dataType.simpleString() == "array<string>"
     graph = GraphStore(spark, store, "r").graph()
     for kind in ("qc", "graph-stats", "schema", "connectivity"):
         assert op.report(graph, kind).count() > 0
