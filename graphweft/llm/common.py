@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -75,11 +76,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 # --- memory of Python workers ---------------------------------------------
 
 
-def tidy(run):
+#: What a Python worker remembers between tasks of one operator: its name, and how to forget it.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def tidy(run, operator: str = ""):
     """``run``, a function of an iterator of batches, giving back what it freed when it ends: Python workers live on between tasks,
-    and freed memory that they keep counts against their executor."""
+    and freed memory that they keep counts against their executor. What tasks of other operators remember is forgotten first."""
 
     def wrapped(batches):
+        forget_others(operator)
         try:
             yield from run(batches)
         finally:
@@ -88,6 +94,11 @@ def tidy(run):
     return wrapped
 
 
+def forget_others(operator: str) -> None:
+    for name in [n for n in REMEMBERED if n != operator]:
+        REMEMBERED.pop(name)()
+
+
 def give_back() -> None:
     """Hand freed memory back to the operating system, where the C library can."""
     gc.collect()

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, shared_dir, shuffle_partitions, small, tidy
+from .common import REMEMBERED, id_text, shared_dir, shuffle_partitions, small, tidy
 
 END_ID = 2
 SHARD_BYTES = 4 << 20
@@ -118,9 +118,10 @@ _encoders: dict[str, UnitEncoder] = {}
 
 
 def encoder(path: str) -> UnitEncoder:
-    """One encoder in each Python worker; a task empties its memory of units when it ends."""
+    """One encoder in each Python worker, whose units are remembered until a task of another operator comes."""
     if path not in _encoders:
         _encoders[path] = UnitEncoder(path)
+    REMEMBERED[f"tokens {path}"] = _encoders[path].forget
     return _encoders[path]
 
 
@@ -173,7 +174,6 @@ def _shards(path: str, data: bytes, shard_bytes: int):
                         ids, frames, held, n_ids, shard = [], [], 0, 0, shard + 1
         if frames:
             yield row()
-        own.forget()
 
     return run
 
@@ -187,7 +187,7 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, folder: str, shard_byt
     ordered = rows.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
     )
-    ordered.select(id_text(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(tidy(_shards(tokenizer_path, data, shard_bytes)), SHARDS).write.option("compression", "uncompressed").parquet(f"{folder}/shards")
+    ordered.select(id_text(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(tidy(_shards(tokenizer_path, data, shard_bytes), f"tokens {tokenizer_path}"), SHARDS).write.option("compression", "uncompressed").parquet(f"{folder}/shards")
 
 
 def _decoded(data: bytes):
