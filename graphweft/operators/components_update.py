@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import checkpointed, connected_components
+from .components import connected_components, stored
 
 LABELS, ROOTS = "component_labels", "component_roots"
 
@@ -32,19 +32,19 @@ def components(store) -> DataFrame:
 def add_edges(store, edges: DataFrame, source: str = "subject", target: str = "object") -> None:
     """A batch of edges. Repeated edges, and edges inside a component, change nothing; an edge with a null end takes no part in
     merging, and its other end gets a label only if another edge has it."""
-    ends = checkpointed(edges.select(F.col(source).alias("u"), F.col(target).alias("v")).where("u is not null and v is not null").distinct())
+    ends, _ = stored(edges.select(F.col(source).alias("u"), F.col(target).alias("v")).where("u is not null and v is not null").distinct(), "update-edges")
     ids = ends.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    known = checkpointed(store.lookup(LABELS, ids).join(store.table(ROOTS), "component", "left").select("id", F.coalesce("root", "component").alias("component")))
-    own = checkpointed(ids.join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.col("component").isNull().alias("new")))
+    known = store.lookup(LABELS, ids).join(store.table(ROOTS), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    own, _ = stored(ids.join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.col("component").isNull().alias("new")), "update-ids")
     label = own.select("id", "component")
     between = ends.join(label.toDF("u", "cu"), "u").join(label.toDF("v", "cv"), "v").where("cu <> cv").select("cu", "cv").distinct()
     merged = connected_components(between, "cu", "cv").where("id <> component").select(F.col("id").alias("was"), F.col("component").alias("now"))
-    merged = checkpointed(merged)
+    merged, _ = stored(merged, "update-merged")
     fresh = own.where("new").select("id", "component").join(merged, F.col("component") == F.col("was"), "left").select("id", F.coalesce("now", "component").alias("component"))
     # roots so far are led on, and labels that stopped being roots get one; labels of new ids are final already
     roots = store.table(ROOTS)
     led = roots.join(merged, F.col("root") == F.col("was"), "left").select("component", F.coalesce("now", "root").alias("root"))
     stopped = merged.join(own.where("new").select(F.col("component").alias("was")), "was", "left_anti").select(F.col("was").alias("component"), F.col("now").alias("root"))
-    roots = checkpointed(led.unionByName(stopped))
+    roots, _ = stored(led.unionByName(stopped), "update-roots")
     store.append(LABELS, fresh)
     store.put(ROOTS, roots)

@@ -176,7 +176,7 @@ def counts_while_writing(spark, g):
     csv = readers.shared_folder(spark, "csv")
     g.nodes.select(F.concat_ws(",", "id", F.coalesce("in_taxon", F.lit("")), F.when(F.col("category") == "Part", "x")).alias("value")).write.text(csv)
     nodes = delimited.read_csv(spark, [csv], delimited.CsvFormat(",", "none", ("id", "in_taxon"), comment=None), observation=long)
-    GraphStore(spark, readers.shared_folder(spark, "store")).save(Graph(nodes, loaded.graph.edges, {"mappings": mappings}))
+    GraphStore(spark, readers.shared_folder(spark, "store"), buckets=8).save(Graph(nodes, loaded.graph.edges, {"mappings": mappings}))
     counts = {"losing publications": loaded.losing[edges].get["publications"], **{f"mappings {k}": v for k, v in seen.get.items()}, **{f"nodes {k}": v for k, v in long.get.items()}}
     return spark.createDataFrame(list(counts.items()), "what string, n long")
 
@@ -255,7 +255,7 @@ def split_load_back(spark, g):
 def store_load_back(spark, g):
     """Two versions of a stored graph; the second drops a table's rows, and is what a reader sees."""
     path = readers.shared_folder(spark, "store")
-    GraphStore(spark, path).save(Graph(g.nodes, g.edges))
+    GraphStore(spark, path, buckets=8).save(Graph(g.nodes, g.edges))
     store = GraphStore(spark, path)
     store.save(Graph(store.table("nodes").where("category = 'Part'"), store.table("edges")))
     store.vacuum()
@@ -265,7 +265,7 @@ def store_load_back(spark, g):
 
 def append_new_only(spark, g):
     """Events are appended to the stored lines, then again with changed rows of both: what is stored already is left out."""
-    store = GraphStore(spark, readers.shared_folder(spark, "store"))
+    store = GraphStore(spark, readers.shared_folder(spark, "store"), buckets=8)
     store.put("edges", g.edges.where("file_source = 'lineitem'"))
     events = g.edges.where("file_source = 'events'")
     store.append("edges", events, unique=True)
@@ -276,7 +276,7 @@ def append_new_only(spark, g):
 
 def estimates_from_sketches(spark, g):
     """Distinct values and quantiles of edges that came in four segments, from sketches alone, against the exact ones."""
-    store = GraphStore(spark, readers.shared_folder(spark, "store"))
+    store = GraphStore(spark, readers.shared_folder(spark, "store"), buckets=8)
     store.put("edges", g.edges.where("file_source = 'lineitem'"))
     store.sketch("edges")
     for source in ("customer", "orders", "events"):
@@ -294,7 +294,7 @@ def estimates_from_sketches(spark, g):
 
 
 def _laid_out(spark, g) -> GraphStore:
-    store = GraphStore(spark, readers.shared_folder(spark, "store"))
+    store = GraphStore(spark, readers.shared_folder(spark, "store"), buckets=8)
     store.save(Graph(g.nodes, g.edges))
     operations.lay_out(spark, store.path)
     return GraphStore(spark, store.path, "r")
@@ -314,7 +314,7 @@ def stored_named_edges(spark, g):
 
 def components_over_appends(spark, g):
     """Components of the lines, brought up to date with customers, orders and events."""
-    store = GraphStore(spark, readers.shared_folder(spark, "store"))
+    store = GraphStore(spark, readers.shared_folder(spark, "store"), buckets=8)
     kept = g.edges
     components_update.start(store, kept.where("file_source = 'lineitem'"))
     for source in ("customer", "orders", "events"):

@@ -72,6 +72,7 @@ class GraphStore:
 
     def __init__(self, spark: SparkSession, path: str, mode: str = "w", buckets: int | None = None):
         self.spark, self.path, self.mode = spark, path.rstrip("/"), mode
+        self._views: dict[tuple[str, int], str] = {}
         found = [n for n in fs.names(spark, f"{self.path}/manifests") if n.endswith(".json")]
         if found:
             self.manifest = json.loads(fs.read_text(spark, f"{self.path}/manifests/{found[-1]}"))
@@ -111,7 +112,10 @@ class GraphStore:
         entry = self._entry(name)
         if not entry["key"] or not entry["segments"] or self._uneven(entry):
             return self.table(name)
-        view = f"graphweft_{uuid.uuid4().hex}"
+        known = self._views.get((name, self.manifest["version"]))
+        if known:
+            return self.spark.table(known).drop("_seg")
+        view = self._views[name, self.manifest["version"]] = f"graphweft_{uuid.uuid4().hex}"
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self._schema(name))
         key = ", ".join(f"`{c}`" for c in entry["key"])
         self.spark.sql(
@@ -164,8 +168,8 @@ class GraphStore:
         # a task holds one bucket, so each makes one file of the segment
         df.repartition(buckets, *key).write.format("parquet").bucketBy(buckets, *key).sortBy(*key).option("path", folder).saveAsTable(view)
         self.spark.sql(f"drop table {view}")  # the files stay, as the path was given
-        sizes = self._write_index(name, n, df.schema, key).agg(F.sum("rows").alias("rows"), F.max("rows").alias("largest")).first()
-        return {"n": n, "rows": sizes["rows"] or 0, "largest": sizes["largest"] or 0}
+        sizes = [r["rows"] for r in self._write_index(name, n, df.schema, key).select("rows").collect()]  # one row a bucket
+        return {"n": n, "rows": sum(sizes), "largest": max(sizes, default=0)}
 
     def _keyed(self, df: DataFrame, key: Sequence[str]) -> DataFrame:
         """``df`` with ``_bucket``, as Spark's bucketed writer deals rows out, and ``_key``, null where it can't repeat."""
