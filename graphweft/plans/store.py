@@ -278,18 +278,19 @@ class GraphStore:
     def lookup(self, name: str, keys: DataFrame) -> DataFrame:
         """The rows of a keyed table whose key is in ``keys``, from the files that may hold them alone."""
         key = self._entry(name)["key"]
-        _, paths = self._held(name, self._keyed(keys.select(*key), key).select("_key", "_bucket").where("_key is not null").distinct())
+        maybe, paths = self._may_hold(name, self._keyed(keys.select(*key), key).select("_key", "_bucket").where("_key is not null").distinct())
+        if maybe is not None:
+            maybe.unpersist()
         if not paths:
             return self.table(name).limit(0)
-        found = self.spark.read.schema(self._schema(name)).parquet(*[f"{self.path}/tables/{name}/{p}" for p in paths])
+        found = self.spark.read.schema(self._schema(name)).parquet(*paths)
         return found.join(keys.select(*key).distinct(), key, "left_semi")
 
-    def _held(self, name: str, keys: DataFrame) -> tuple[DataFrame, list[str]]:
-        """(the keys that the table holds, the files that were read to know it); ``keys`` has _key and _bucket."""
+    def _may_hold(self, name: str, keys: DataFrame) -> tuple[DataFrame | None, list[str]]:
+        """(the keys that may be held, persisted; the files that may hold one); ``keys`` has _key and _bucket."""
         segments = self._entry(name)["segments"]
-        none = keys.select("_key").limit(0)
         if not segments:
-            return none, []
+            return None, []
         index = lambda part, kinds: self.spark.read.schema(kinds).option("basePath", f"{self.path}/index/{name}").parquet(*[f"{self.path}/index/{name}/seg={s['n']}/{part}" for s in segments])
         files = index("files", "bucket int, file string, rows long, words long, low string, high string, seg int")
         bits = index("words", "bucket int, word long, bits long, seg int")
@@ -297,17 +298,20 @@ class GraphStore:
         asked = asked.select("_key", "seg", "bucket", "file", _word(F.col("_key"), F.col("words")).alias("word"), _mask(F.col("_key")).alias("mask"))
         maybe = asked.join(bits, ["seg", "bucket", "word"]).where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
         maybe = maybe.select("_key", "seg", "file").persist()
+        found = maybe.select("seg", "file").distinct().collect()  # a subset of the files' names
+        return maybe, sorted(f"{self._folder(name, r['seg'])}/{r['file']}" for r in found)
+
+    def _held(self, name: str, keys: DataFrame) -> tuple[DataFrame, list[str]]:
+        """(the keys that the table holds, the files that were read to know it)."""
+        maybe, paths = self._may_hold(name, keys)
+        if not paths:
+            return keys.select("_key").limit(0), []
         try:
-            found = [(r["seg"], r["file"]) for r in maybe.select("seg", "file").distinct().collect()]  # a subset of the files' names
-            if not found:
-                return none, []
-            paths = sorted(f"{self._folder(name, seg)}/{file}" for seg, file in found)
             key = self._entry(name)["key"]
             kinds = T.StructType([f for f in self._schema(name) if f.name in key])
             there = self._keyed(self.spark.read.schema(kinds).parquet(*paths), key).select("_key")
-            held = there.join(maybe.select("_key").distinct(), "_key", "left_semi").distinct()
             path = f"{self.path}/scratch/{uuid.uuid4().hex}"
-            held.write.parquet(path)
+            there.join(maybe.select("_key").distinct(), "_key", "left_semi").distinct().write.parquet(path)
             return self.spark.read.schema("_key string").parquet(path), [p.removeprefix(f"{self.path}/tables/{name}/") for p in paths]
         finally:
             maybe.unpersist()
