@@ -56,7 +56,7 @@ class UnitEncoder:
     #: What a unit takes besides its text and ids: two objects and its place in the table.
     ENTRY = 190
 
-    def __init__(self, path: str, limit: int = 192 << 20):
+    def __init__(self, path: str, limit: int = 320 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
