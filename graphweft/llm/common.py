@@ -46,6 +46,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """``df`` written once as a table of the warehouse in buckets of ``key``, so that joins by it don't move its rows."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").bucketBy(shuffle_partitions(spark), key).saveAsTable(name, format="parquet")
+    return spark.table(name)
+
+
 def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """``df`` marked for broadcast if it was counted to have at most ``rows`` rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
