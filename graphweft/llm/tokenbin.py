@@ -134,12 +134,23 @@ def train_dictionary(docs: DataFrame, path: str, sample_rows: int = 1000, sample
     # only about twice the sample is ordered, however many tasks there are
     share = min(1.0, (2 * sample_rows + 100) / max(1, docs.count()))
     few = docs.where(F.conv(F.substring(order, 1, 8), 16, 10).cast("double") < share * 2**32)
-    texts = [r["text"] for r in few.orderBy(order, F.xxhash64("text")).limit(sample_rows).select("text").collect()]
-    samples = [(x + END_BYTES)[:sample_bytes] for x in UnitEncoder(path).encode(texts)]
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:  # too few or too short samples
-        return b""
+    sample = few.orderBy(order, F.xxhash64("text")).limit(sample_rows).select("text")
+    # made by a task, so that the driver holds neither the texts nor the tokenizer
+    row = sample.coalesce(1).mapInPandas(tidy(_trained(path, sample_bytes, size)), "dictionary binary").first()
+    return bytes(row["dictionary"]) if row else b""
+
+
+def _trained(path: str, sample_bytes: int, size: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = UnitEncoder(path)
+        samples = [(x + END_BYTES)[:sample_bytes] for batch in batches for x in own.encode(list(batch["text"]))]
+        try:
+            data = zstandard.train_dictionary(size, samples).as_bytes()
+        except zstandard.ZstdError:  # too few or too short samples
+            data = b""
+        yield pd.DataFrame({"dictionary": [data]})
+
+    return run
 
 
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
