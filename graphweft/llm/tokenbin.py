@@ -42,6 +42,12 @@ SHARD_BYTES = 4 << 20
 SHARDS = "part int, shard int, dictionary_sha256 string, n_ids long, doc_ids array<long>, offsets array<long>, payload binary"
 _AT_SPACES = re.compile(r"(?<=\S) (?=\S)")
 _UNEVEN = re.compile(r" (?:(?=\s)|(?<=\s ))")
+#: A word of Latin letters, and ASCII marks after it: the pre-tokenizer makes one piece of each.
+_WORD_AND_MARKS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+)([!-/:-@\[-`{-~]*)")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Bytes as characters, as a byte-level vocabulary writes them.
+_BYTE_LEVEL = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_PRINTED}))}
+_SPACE = _BYTE_LEVEL[32]
 
 
 class UnitEncoder:
@@ -49,8 +55,9 @@ class UnitEncoder:
 
     The vocabulary's pre-tokenizer always starts a new piece at a single space
     between two non-spaces, so the units between such spaces are encoded each by
-    itself, and each distinct unit once. New units are encoded joined, and cut
-    apart by the byte lengths of the tokens. Forgets all when they take about ``limit`` bytes.
+    itself, and each distinct unit once. New units that are a word, or a word and marks, are
+    made of those two pieces, of which the model encodes each new one. Other new units are encoded joined,
+    and cut apart by the byte lengths of the tokens. Forgets all when they take about ``limit`` bytes.
     """
 
     #: What a unit takes besides its text and ids: two objects and its place in the table.
@@ -68,6 +75,7 @@ class UnitEncoder:
 
     def forget(self) -> None:
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self.held = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -77,8 +85,8 @@ class UnitEncoder:
         known = self.known
         split = [self._units(t) for t in texts]
         found = [list(map(known.get, units)) for _, units in split]
-        missing = [list(compress(range(len(ids)), map(not_, ids))) for ids in found]
-        self._learn(sorted({units[i] for (_, units), at in zip(split, missing, strict=True) for i in at}))
+        missing = [list(compress(range(len(ids)), map(not_, ids))) if None in ids else [] for ids in found]
+        self._learn({units[i] for (_, units), at in zip(split, missing, strict=True) for i in at})
         firsts = self.tokenizer.encode_batch_fast([first for first, _ in split], add_special_tokens=False)
         out = []
         for e, (_, units), ids, at in zip(firsts, split, found, missing, strict=True):
@@ -87,7 +95,28 @@ class UnitEncoder:
             out.append(np.array(e.ids, "<u4").tobytes() + b"".join(ids))
         return out
 
-    def _learn(self, units: list[str]) -> None:
+    def _learn(self, units: set[str]) -> None:
+        known, marks, rest = self.known, self.marks, []
+        for u in units:
+            pieces = _WORD_AND_MARKS.fullmatch(u)
+            if pieces is None:
+                rest.append(u)
+                continue
+            word, mark = pieces.groups()
+            ids = known.get(word) or self._piece(known, word, _SPACE)
+            if mark:
+                known[u] = ids = ids + (marks.get(mark) or self._piece(marks, mark, ""))
+                self.held += len(u) + len(ids) + self.ENTRY
+        self._learn_joined(rest)
+
+    def _piece(self, table: dict[str, bytes], piece: str, before: str) -> bytes:
+        """The model's ids of one piece of the pre-tokenizer, kept in ``table``."""
+        written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        ids = table[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(before + written)])
+        self.held += len(piece) + len(ids) + self.ENTRY
+        return ids
+
+    def _learn_joined(self, units: list[str]) -> None:
         for i in range(0, len(units), 5000):
             part = units[i : i + 5000]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
