@@ -3,6 +3,7 @@ import gzip
 import json
 import tarfile
 import types
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import Observation
@@ -166,6 +167,61 @@ def test_written_archives_read_back(spark, tmp_path):
         assert rows(archives.archive_lines(spark, made), "member", "value") == [("m1", "a"), ("m1", "b"), ("m2", "c")]
 
 
+@pytest.mark.parametrize("ending", [".zip", ".tar", ".tar.gz"])
+def test_long_members_are_not_held_in_memory(spark, tmp_path, monkeypatch, ending):
+    import tracemalloc
+
+    import pandas as pd
+    import pyspark
+
+    class Lines:
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            self.run = run
+            return self
+
+        def collect(self):
+            batches = (pd.DataFrame({"member": ["m1", "m2"] * 500, "value": [f"{k} {i} {'x' * 1000}" for i in range(1000)]}) for k in range(60))
+            return [{"path": p} for frame in self.run(batches) for p in frame["path"]]
+
+    monkeypatch.setattr(sinks, "HELD", 2_000_000, raising=False)
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    tracemalloc.start()
+    try:
+        (made,) = sinks.write_archives(Lines(), str(tmp_path / "a"), ending)
+        assert tracemalloc.get_traced_memory()[1] < 20_000_000  # of 60 MB
+    finally:
+        tracemalloc.stop()
+    monkeypatch.undo()
+    got = archives.archive_lines(spark, [made]).selectExpr("member", "block", "line", "split(value, ' ')[0] * 1000 + split(value, ' ')[1] as at", "length(value) as n")
+    for k, m in enumerate(("m1", "m2")):
+        one = [int(r["at"]) for r in got.where(f"member = '{m}' and n > 1000").orderBy("block", "line").collect()]
+        assert one == list(range(k, 60_000, 2))
+
+
+def test_members_of_a_plain_tar_are_split(spark, tmp_path):
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    texts = {"a.csv": 'k,l\n1,"x\ny"\r\n2,ä\n\n3,"long\n\nnote"\n4,\r5,z', "none.csv": "", "b.csv": "k,l\n" + "".join(f"{i},{'v' * (i % 9)}\n" for i in range(50))}
+    with tarfile.open(tmp_path / "a.tar", "w") as t:
+        for name, text in texts.items():
+            (tmp_path / name).write_bytes(text.encode())
+            t.add(tmp_path / name, name)
+    want = [(n, x) for n, text in texts.items() for x in text.replace("\r\n", "\n").replace("\r", "\n").removesuffix("\n").split("\n") if text]
+    try:
+        for most in (1, 7, 64, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", f"{most}b")
+            lines = archives.archive_lines(spark, [str(tmp_path / "a.tar")])
+            assert lines.rdd.getNumPartitions() == sum(-(-len(x.encode()) // most) for x in texts.values())
+            assert [(r["member"], r["value"]) for r in lines.orderBy("number", "block", "line").collect()] == want
+            if most > 1:
+                read = runner.read_source(spark, {"file_archive": str(tmp_path / "a.tar"), "files": ["a.csv", "b.csv"], "delimiter": ","})
+                assert rows(read, "k", "l") == rows(spark.createDataFrame([("1", "x\ny"), ("2", "ä"), ("3", "long\n\nnote"), ("4", ""), ("5", "z"), *((str(i), "v" * (i % 9)) for i in range(50))], "k string, l string"), "k", "l")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
 def test_state_over_records(spark):
     add = lambda value, record: value + record["x"]
     states = [runner.State("sum", int, add, lambda a, b: a + b), runner.State("most", lambda: None, lambda v, r: max(v or 0, r["x"]), lambda a, b: max(a or 0, b or 0))]
