@@ -7,9 +7,11 @@ from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from graphweft.ingest import runner
 from graphweft.model import FileSpec, Graph
+from graphweft.plans import files, fixture
 from graphweft.plans.store import GraphStore
 from graphweft.sources import archives, delimited, readers, sinks
 from graphweft.sources.positions import first_rows
@@ -222,6 +224,15 @@ def test_members_of_a_plain_tar_are_split(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
 
 
+def test_counts_while_writing_needs_little_disk_for_its_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "shared_folder", lambda spark, label: str(tmp_path / label))
+    g = fixture.graph(spark, "/root/testdata/sf0.001")
+    counts = {r["what"]: r["n"] for r in files.counts_while_writing(spark, g).collect()}
+    text = g.edges.drop("file_source").select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
+    assert sum(p.stat().st_size for p in (tmp_path / "edges").glob("part-*")) < text / 4
+    assert counts["nodes rows"] == g.nodes.count() and counts["losing publications"] == g.edges.where("publications like '%|PMID%'").count()
+
+
 def test_state_over_records(spark):
     add = lambda value, record: value + record["x"]
     states = [runner.State("sum", int, add, lambda a, b: a + b), runner.State("most", lambda: None, lambda v, r: max(v or 0, r["x"]), lambda a, b: max(a or 0, b or 0))]
