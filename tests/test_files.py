@@ -3,6 +3,7 @@ import gzip
 import json
 import tarfile
 import types
+import uuid
 from types import SimpleNamespace
 
 import pytest
@@ -233,6 +234,24 @@ def test_counts_while_writing_needs_little_disk_for_its_text(spark, tmp_path, mo
     assert counts["nodes rows"] == g.nodes.count() and counts["losing publications"] == g.edges.where("publications like '%|PMID%'").count()
 
 
+def test_quoted_breaks_never_stand_on_disk_as_a_whole(spark, tmp_path, monkeypatch):
+    most, read_csv = [], delimited.read_csv
+
+    def read(spark, paths, form):
+        most.append(sum(p.stat().st_size for p in tmp_path.glob("*/part-*.txt")))
+        return read_csv(spark, paths, form)
+
+    monkeypatch.setattr(files, "TURN", 400_000, raising=False)
+    monkeypatch.setattr(readers, "shared_folder", lambda spark, label: f"{tmp_path}/{label}-{uuid.uuid4().hex}")
+    monkeypatch.setattr(delimited, "read_csv", read)
+    g = fixture.graph(spark, "/root/testdata/sf0.001")
+    got = files.csv_quoted_breaks(spark, g)
+    assert len(most) > 2 and max(most) < 600_000 and not list(tmp_path.glob("*/part-*.txt"))
+    note = F.concat(F.lit('say "'), F.col("id"), F.lit('",\n# no comment,\n'), F.repeat(F.coalesce("object", F.lit("none")), 12), F.lit("\n\n"), "predicate")
+    want = g.edges.select("id", F.length(note).alias("n_chars"), F.md5(note).alias("note_md5"), "score")
+    assert got.dtypes == want.dtypes and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_state_over_records(spark):
     add = lambda value, record: value + record["x"]
     states = [runner.State("sum", int, add, lambda a, b: a + b), runner.State("most", lambda: None, lambda v, r: max(v or 0, r["x"]), lambda a, b: max(a or 0, b or 0))]
